@@ -10,6 +10,7 @@ Null and empty texts have no tokens. Rows with null or repeated ids are counted
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 #: Pieces in the broadcast table and their longest; pieces a task keeps while counting, and how many of them it sends.
 FREQUENT, LONGEST, COUNTING, SENT = 16_384, 32, 200_000, 4_096
 #: Pieces in a worker's cache; a full one is emptied.
-CACHED = 400_000
+CACHED = 600_000
 #: Splitting characters of str.split() that the tokenizers take for text.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Where a text has none of these, lower-casing it whole changes no count: no special string, no letter whose lower case depends.
+_APART = re.compile("<\\||[^\x00-\u024f]|\u0130")
 _SPACE = re.compile("[\x09-\x0d ]+")
 #: Letters that keep one code point when lower-cased and that composition leaves alone, then marks that form one pre-token.
 _PLAIN = re.compile("([%s]+)([.,!?;:]*)" % "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1))
@@ -60,12 +63,15 @@ class Library:
         """What may be encoded apart: runs without white space if the vocabulary marks word ends, else the text."""
         if self.ends is None:
             return [text] if text else []
+        if not _APART.search(text):
+            text = text.lower()
         return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
+    def words(self, words: list[str]) -> list[bytes]:
         """Ids of words that hold only letters, many in one text: each ends with the one token that has the suffix."""
         ids = np.array(self.encode([" ".join(words)])[0], "<u4")
-        return np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
+        raw, at = ids.tobytes(), [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()]
+        return [raw[i:j] for i, j in itertools.pairwise(at)]
 
 
 def tokenizer(path: str) -> Library:
@@ -92,46 +98,41 @@ class Cache(dict):
     def __init__(self, name: str, count: bool):
         super().__init__()
         self.library, self.count = tokenizer(resolved(name)), count
-        self.known: dict[str, bytes] = {}
 
-    def _keep(self, piece: str, ids: bytes) -> None:
-        self[piece] = len(ids) // 4 if self.count else ids
+    def _value(self, ids):
+        return len(ids) if self.count else np.array(ids, "<u4").tobytes()
 
-    def learn(self, texts: list[list[str]], tier=None) -> None:
+    def learn(self, texts: list[list[str]], tier=()) -> None:
         """Make sure that every piece of the texts is in ``tier`` or here."""
-        if self.library.ends is None and len(self) > 1000:
-            self.clear()
         every = set().union(*texts)
-        if tier:
-            every -= tier.keys()
-        new = every - self.keys()
-        if len(self) + len(new) > CACHED:
+        new = [x for x in every if x not in self and x not in tier]
+        if self.library.ends is None or len(self) + len(new) > CACHED:
             self.clear()
-            new = every
+            new = [x for x in every if x not in tier]
         split, rest, fresh = [], [], set()
-        if len(self.known) > CACHED:
-            self.known.clear()
         for x in new:
             if self.library.ends is not None and (m := _PLAIN.fullmatch(x)):
-                word, marks = m[1].lower(), m[2]
-                split.append((x, word, marks))
-                if word not in self.known:
+                word, marks = m.groups()
+                word = word.lower()
+                if word not in self:
                     fresh.add(word)
-                if marks and marks not in self.known:
-                    self.known[marks] = np.array(self.library.encode([marks])[0], "<u4").tobytes()
+                if word is not x and (marks or word != x):
+                    split.append((x, word, marks))
+                    if marks and marks not in self:
+                        self[marks] = self._value(self.library.encode([marks])[0])
             else:
                 rest.append(x)
         fresh = list(fresh)
         for i in range(0, len(fresh), 256):
             part = fresh[i : i + 256]
-            for x, ids in zip(part, self.library.words(part), strict=True):
-                self.known[x] = ids.tobytes()
+            found = self.library.words(part)
+            self.update(zip(part, [len(x) // 4 for x in found] if self.count else found, strict=True))
         for x, word, marks in split:
-            self._keep(x, self.known[word] + self.known[marks] if marks else self.known[word])
+            self[x] = self[word] + self[marks] if marks else self[word]
         for i in range(0, len(rest), 1000):
             part = rest[i : i + 1000]
             for x, ids in zip(part, self.library.encode(part)):
-                self._keep(x, np.array(ids, "<u4").tobytes())
+                self[x] = self._value(ids)
 
 
 def _heavy(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
