@@ -37,7 +37,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Sieve:
-    """A bitmap over the low bits of 64-bit keys: keeps every key that it was built from and few others.
+    """A bitmap with two places for each 64-bit key: keeps every key that it was built from and few others.
 
     Its size follows the number of keys and is bounded by SIEVE_BYTES. Beyond that bound nothing is
     broadcast and ``keeps`` lets everything through, so a join after it gives the same rows at a higher cost.
@@ -50,8 +50,10 @@ class Sieve:
         self.bits = None
         if size // 8 > SIEVE_BYTES:
             return
-        at = F.col(column).bitwiseAND(F.lit(size - 1)) + 1  # bitmap buckets begin at 1
-        parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        low = F.col(column).bitwiseAND(F.lit(size - 1))
+        high = F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(size - 1))
+        places = keys.select(F.explode(F.array(low + 1, high + 1)).alias("at"))  # bitmap buckets begin at 1
+        parts = places.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
         whole = np.zeros(size // 8, np.uint8)
         for row in parts.toLocalIterator():
             begin = (row.part - 1) * 4096
@@ -62,5 +64,7 @@ class Sieve:
     def keeps(self, keys: np.ndarray) -> np.ndarray:
         if self.bits is None:
             return np.ones(len(keys), bool)
-        at = keys.view(np.uint64) & self.mask
-        return (self.bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        keys, out = keys.view(np.uint64), np.ones(len(keys), bool)
+        for at in (keys & self.mask, (keys >> np.uint64(32)) & self.mask):
+            out &= (self.bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out

@@ -67,7 +67,7 @@ def _occurrences(buf, starts, ids, places, hashes) -> dict[str, np.ndarray]:
     for i in np.flatnonzero(~whole):
         c[i] = xxhash.xxh3_64_intdigest(data[lo[i] : hi[i]], seed=int(places[i] - lo[i]) + 1)
     doc, h = ids[row], hashes[places]
-    key = K.mix(K.mix(doc.view(np.uint64)) + h + (places - first).astype(np.uint64))
+    key = h ^ doc.view(np.uint64) ^ ((lo - first).astype(np.uint64) << np.uint64(13)) ^ (doc.view(np.uint64) << np.uint64(33))
     return {"h": h, "c": K.mix(c), "doc": doc, "lo": lo - first, "hi": hi - first, "key": key, "at": lo, "to": hi}
 
 
@@ -79,14 +79,15 @@ def _shared(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.Reco
             places = places[sieve.keeps(hashes[places])]
             if len(places):
                 x = _occurrences(buf, starts, ids[row : row + len(starts) - 1], places, hashes)
-                yield pa.RecordBatch.from_arrays([K.signed(x["h"]), K.signed(x["c"]), pa.array(x["doc"]), pa.array(x["lo"].astype(np.int32)), pa.array(x["hi"].astype(np.int32)), K.signed(x["key"])], names=["h", "c", "doc", "lo", "hi", "key"])
+                yield pa.RecordBatch.from_arrays([K.signed(x["h"]), K.signed(x["c"]), pa.array(x["doc"]), pa.array(x["lo"].astype(np.int32)), pa.array(x["hi"].astype(np.int32))], names=["h", "c", "doc", "lo", "hi"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], owners: Sieve, hot: Sieve | None) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], twice: Sieve, owners: Sieve, hot: Sieve | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, buf, starts in K.slabs(batch.column(1)):
             places, hashes = anchors(buf, starts)
+            places = places[twice.keeps(hashes[places])]
             if not len(places):
                 continue
             x = _occurrences(buf, starts, ids[row : row + len(starts) - 1], places, hashes)
@@ -217,15 +218,17 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= SPAN)
     counts = texts.mapInArrow(_hashes, "h bigint").groupBy("h").count().where("count > 1").select("h")
     twice = Sieve(stored(counts, "anchors"), "h")
-    seen = stored(texts.mapInArrow(lambda it: _shared(it, twice), "h bigint, c bigint, doc bigint, lo int, hi int, key bigint"), "occurrences")
-    contexts = stored(seen.groupBy("h", "c").agg(F.min(F.struct("doc", "lo", "key")).alias("first"), F.count("*").alias("n")), "contexts")
+    seen = stored(texts.mapInArrow(lambda it: _shared(it, twice), "h bigint, c bigint, doc bigint, lo int, hi int"), "occurrences")
+    contexts = stored(seen.groupBy("h", "c").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")), "contexts")
     copies = seen.join(contexts.where("n > 1").select("h", "c", F.col("first.doc").alias("d0"), F.col("first.lo").alias("l0")), ["h", "c"])
     copies = copies.where("doc <> d0 or lo <> l0").select("doc", "lo", "hi")
     several = stored(contexts.groupBy("h").count().where("count > 1"), "several")
-    owners = Sieve(stored(contexts.join(several, "h").select("first.key"), "owners"), "key")
+    doc, lo = F.col("first.doc"), F.col("first.lo").cast("bigint")
+    key = F.col("h").bitwiseXOR(doc).bitwiseXOR(F.shiftleft(lo, 13)).bitwiseXOR(F.shiftleft(doc, 33))  # as in _occurrences
+    owners = Sieve(stored(contexts.join(several, "h").select(key.alias("key")), "owners"), "key")
     crowded = several.where(F.col("count") > HOT).select("h")
     hot = Sieve(crowded, "h") if crowded.limit(1).count() else None
-    rows = texts.mapInArrow(lambda it: _contexts(it, owners, hot), "h bigint, doc bigint, lo int, text binary, hot boolean")
+    rows = texts.mapInArrow(lambda it: _contexts(it, twice, owners, hot), "h bigint, doc bigint, lo int, text binary, hot boolean")
     if hot:
         rows = stored(rows, "contexts")
     cold = rows.where("not hot").select("h", "doc", "lo", "text").repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_sorted, "doc bigint, lo int, hi int")
