@@ -61,7 +61,7 @@ def _occurrences(buf, starts, ids, places, hashes) -> dict[str, np.ndarray]:
     c = np.zeros(len(places), np.uint64)
     whole = (lo == places - _REACH) & (hi == places + SPAN)
     own = places[whole]
-    for at in (-68, -36, -4, 0, 32, 64, 68):
+    for at in (-68, -36, -4, 0, 32, 64, 68):  # blocks of 32 that cover 68 bytes before and 100 after
         c[whole] = c[whole] * np.uint64(K._MULT) + hashes[own + at]
     data = buf.tobytes() if not whole.all() else b""
     for i in np.flatnonzero(~whole):
@@ -107,7 +107,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
     packed = np.zeros(n, np.int64)
     for i in range(7):
         packed = (packed << 9) | wide[i : n + i]
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     change = np.ones(n, bool)
     change[1:] = packed[order[1:]] != packed[order[:-1]]
     h, levels = 7, []
@@ -127,7 +127,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
             continue
         own = order[open_]
         key = ranks[own] * (n + 1) + ranks[np.minimum(own + h, n)] + 1
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[open_] = own[again]
         key = key[again]
         moved = np.ones(len(key), bool)
@@ -160,6 +160,13 @@ def repeats(texts: list[bytes], docs: np.ndarray, begins: np.ndarray, span: int
         same &= ranks[a + at] == ranks[b + at]
         at = min(at + h, span - h) if at < span - h else span
     run = np.concatenate([[0], np.cumsum(~same)])
+    # only runs of two or more matter
+    shared = np.zeros(len(order), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    order, run = order[shared], run[shared]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc, start = docs[owner[order]], begins[owner[order]] + offset[order]
     by = np.lexsort((start, doc, run))
     run, doc, start = run[by], doc[by], start[by]
