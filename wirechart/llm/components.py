@@ -41,9 +41,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     star = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_contract, "u bigint, v bigint"), "star")
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # a hub is mostly the least of its neighbours already; only the others are looked up, in a table of known size
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"), "least")
+        large = both.where("v > u").join(least, "u", "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).where("u <> v")
+        large = stored(large.distinct(), "star")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = stored(small, "star")
         # done when every node has one link and no root has one: then each link leads to the least node

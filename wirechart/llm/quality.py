@@ -122,7 +122,8 @@ def estimates(rows: DataFrame, group: str, steps: int = STEPS, sound: float = SO
     own = stored(start.select(group, "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in _P], *[(1 / spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _P for j in range(i + 1)]), "centres")
     for _ in range(steps):
         far = rows.join(own, group).select(group, *RATES, _distance().alias("d2"))
-        cuts = far.groupBy(group).agg(F.percentile_approx("d2", sound, 1000).alias("cut"))
+        # a written table has a known size, so a small one is broadcast and a hot group isn't gathered
+        cuts = stored(far.groupBy(group).agg(F.percentile_approx("d2", sound, 1000).alias("cut")), "cuts")
         near = far.join(cuts, group).where("d2 <= cut")
         sums = near.groupBy(group).agg(*[F.avg(r).alias(f"m{i}") for i, r in enumerate(RATES)], *[F.covar_pop(RATES[i], RATES[j]).alias(f"c{i}{j}") for i in _P for j in range(i + 1)])
         inverse = _inverse(lambda i, j: F.col(f"c{i}{j}") + (SPREAD[i] ** 2 if i == j else 0.0))
