@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from wirechart.llm import kernels as K
 from wirechart.llm.shared import Sieve, stored
 
-SPAN, GRAM, HOT, SHARD = 100, 32, 20_000, 1 << 20
+SPAN, GRAM, SHARD = 100, 32, 1 << 20
 _REACH = SPAN - GRAM
+#: Contexts of one anchor that still fit a shard.
+HOT = SHARD // (SPAN + _REACH)
 
 
 def anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
