@@ -145,17 +145,37 @@ def minima(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def permutations(n: int, seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """Odd factors: x * factor modulo 2**32 is a bijection, so the least image is a MinHash value of mixed hashes."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signatures(items: np.ndarray, first: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """MinHash values (uint32) of the runs of items that begin at ``first``, all of them with items: one row a run."""
+    short = (items >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(first), len(factors)), np.uint32)
     for j, factor in enumerate(factors):
-        out[:, j] = (np.minimum.reduceat(items * factor, first) >> np.uint64(32)).astype(np.uint32)
+        out[:, j] = np.minimum.reduceat(short * factor, first)
     return out
 
 
+def alike(items: list[np.ndarray], first: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of pairs of sets, side a and side b each as items and where every set begins: 100 * intersection >= percent * union.
+
+    At most 2048 pairs; elements are compared by 53 bits of their hashes.
+    """
+    n = len(first[0])
+    sides = []
+    for own, begin in zip(items, first):
+        pair = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(begin, len(own))))
+        sides.append(np.unique((pair << np.uint64(53)) | (own >> np.uint64(11))))
+    both = np.concatenate(sides)
+    both.sort()
+    count = lambda keys: np.bincount((keys >> np.uint64(53)).astype(np.int64), minlength=n)
+    inter = count(both[1:][both[1:] == both[:-1]])
+    union = count(both) - inter
+    return (union > 0) & (100 * inter >= percent * union)
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     """The rows of a matrix as an Arrow column of bytes."""
     rows = np.ascontiguousarray(rows)
