@@ -44,7 +44,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     least = least[: len(inside)][inside] & ~high
     fresh = np.ones(len(least), bool)
     fresh[1:] = least[1:] != least[:-1]
-    return np.unique(least[fresh]).astype(np.int64), hashes
+    return K.distinct(least[fresh]).astype(np.int64), hashes
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
