@@ -91,11 +91,16 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    for j in range(1, k):
-        out *= np.uint64(_MULT)
-        out += hashes[j : j + n]
-    return mix(out)
+    # runs of 1, 2, 4 .. items; those that add up to k are joined
+    have, size, base, out, part = hashes, 1, _MULT, None, 0
+    while True:
+        if k & size:
+            out = have if out is None else out[: len(have) - part] * np.uint64(base) + have[part:]
+            part += size
+        if size * 2 > k:
+            return mix(out[:n])
+        have = have[: len(have) - size] * np.uint64(base) + have[size:]
+        size, base = size * 2, base * base & ((1 << 64) - 1)
 
 
 def within(first: np.ndarray, k: int, n: int) -> np.ndarray:
