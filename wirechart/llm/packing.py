@@ -44,6 +44,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, size: int, end: int) -
                     length.append(len(own) // 4)
                     crc.append(zlib.crc32(own))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "length", "ids_crc32"])
+    cache.clear()  # a worker that waits for its next task holds little
 
 
 class Bins:

@@ -14,12 +14,14 @@ from __future__ import annotations
 import random
 import string
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from pyspark.ml.classification import RandomForestClassificationModel
+
 LABELLED, TREES, DEPTH, SEED = 3000, 30, 7, 7
 KINDS = {
     "aws_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -128,15 +130,21 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
 
 
 def _vectors(findings: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings))
 
 
 def trained(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
+    from pyspark.ml.classification import RandomForestClassifier
+
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(_vectors(labelled))
 
 
 def scored(findings: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
     """Findings with score, the forest's share of votes for a secret, and is_secret."""
+    from pyspark.ml.functions import vector_to_array
+
     score: Column = vector_to_array("probability")[1]
     out = model.transform(_vectors(findings)).withColumn("score", score)
     return out.select(*findings.columns, "score", (F.col("score") >= threshold).alias("is_secret"))

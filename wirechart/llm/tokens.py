@@ -25,17 +25,29 @@ from pyspark.sql import functions as F
 #: Pieces in the broadcast table and their longest; pieces a task keeps while counting, and how many of them it sends.
 FREQUENT, LONGEST, COUNTING, SENT = 16_384, 32, 200_000, 4_096
 #: Pieces in a worker's cache; a full one is emptied.
-CACHED = 600_000
+CACHED = 400_000
 #: Splitting characters of str.split() that the tokenizers take for text.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Where a text has none of these, lower-casing it whole changes no count: no special string, no letter whose lower case depends.
-_APART = re.compile("<\\||[^\x00-\u024f]|\u0130")
+_ODD = "\x1c\x1d\x1e\x1f"
+_BEYOND = re.compile("[^\x00-\u024f]|\u0130")
 _SPACE = re.compile("[\x09-\x0d ]+")
 #: Letters that keep one code point when lower-cased and that composition leaves alone, then marks that form one pre-token.
 _PLAIN = re.compile("([%s]+)([.,!?;:]*)" % "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1))
 _loaded: dict = {}
 
 
+def _plain(text: str) -> bool:
+    """Lower-casing the whole text changes no count: no special string, no letter whose lower case depends."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _BEYOND.search(text)
+
+
 class Library:
     """A tokenizer of a file, loaded once in each worker."""
 
@@ -63,9 +75,11 @@ class Library:
         """What may be encoded apart: runs without white space if the vocabulary marks word ends, else the text."""
         if self.ends is None:
             return [text] if text else []
-        if not _APART.search(text):
+        if _plain(text):
             text = text.lower()
-        return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
+        if any(x in text for x in _ODD):
+            return [x for x in _SPACE.split(text) if x]
+        return text.split()
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words that hold only letters, many in one text: each ends with the one token that has the suffix."""
@@ -174,6 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch], name: str, table) -> Iterator[pa.R
             get = both.__getitem__
             n = np.fromiter((sum(map(get, x)) for x in cut), np.int64, len(cut))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n)], names=["key", "n_tokens"])
+    cache.clear()  # a worker that waits for its next task holds little
 
 
 class _Both(dict):
