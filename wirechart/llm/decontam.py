@@ -128,6 +128,7 @@ def _spans(inside: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
+@K.frugal
 def _scan(batches: Iterator[pa.RecordBatch], held, copy: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     prints = held.value
     for batch in batches:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +19,19 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def frugal(task):
+    """Wrap a generator of a task so that its worker gives freed memory back to the system at the end."""
+
+    @functools.wraps(task)
+    def run(*args, **named):
+        yield from task(*args, **named)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64; grows by doubling and is kept for later slabs."""
     have = _powers.get(base)

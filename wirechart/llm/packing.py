@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirechart.llm import kernels as K
 from wirechart.llm.shared import stored
 from wirechart.llm.tokens import cached
 
@@ -26,6 +27,7 @@ SEQUENCE, END, OPEN = 4096, 1, 2048
 DEALT = 100_000
 
 
+@K.frugal
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
     cache, last = cached(name, False), np.array([end], "<u4").tobytes()
     for batch in batches:
@@ -79,6 +81,7 @@ class Bins:
         return bin_, self.size - free
 
 
+@K.frugal
 def _pack(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
     bins, base = Bins(size, most), TaskContext.get().partitionId() << 40
     for batch in batches:

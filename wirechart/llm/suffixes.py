@@ -47,6 +47,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return K.distinct(least[fresh]).astype(np.int64), hashes
 
 
+@K.frugal
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, buf, starts in K.slabs(batch.column(1)):
@@ -73,6 +74,7 @@ def _occurrences(buf, starts, ids, places, hashes) -> dict[str, np.ndarray]:
     return {"h": h, "c": K.mix(c), "doc": doc, "lo": lo - first, "hi": hi - first, "key": key, "at": lo, "to": hi}
 
 
+@K.frugal
 def _shared(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -84,6 +86,7 @@ def _shared(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([K.signed(x["h"]), K.signed(x["c"]), pa.array(x["doc"]), pa.array(x["lo"].astype(np.int32)), pa.array(x["hi"].astype(np.int32))], names=["h", "c", "doc", "lo", "hi"])
 
 
+@K.frugal
 def _contexts(batches: Iterator[pa.RecordBatch], twice: Sieve, owners: Sieve, hot: Sieve | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -189,6 +192,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, span: int = SPAN) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + span).astype(np.int32))], names=["doc", "lo", "hi"])
 
 
+@K.frugal
 def _sorted(batches: Iterator[pa.RecordBatch], limit: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Repeats in rows (h, doc, lo, text) in order of h; a suffix array holds whole groups of h, about ``limit`` bytes."""
     held: list = []
@@ -210,6 +214,7 @@ def _sorted(batches: Iterator[pa.RecordBatch], limit: int = SHARD) -> Iterator[p
         yield out
 
 
+@K.frugal
 def _windows(batches: Iterator[pa.RecordBatch], span: int = SPAN) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digest, doc, start = [], [], []
@@ -258,6 +263,7 @@ def _united(runs: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(depth)[:n] > 0).astype(np.int8), [0]]))).reshape(-1, 2)
 
 
+@K.frugal
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {x: [] for x in ("text", "n_bytes", "n_removed", "spans")}

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirechart.llm import kernels as K
+
 #: Pieces in the broadcast table and their longest; pieces a task keeps while counting, and how many of them it sends.
 FREQUENT, LONGEST, COUNTING, SENT = 16_384, 32, 200_000, 4_096
 #: Pieces in a worker's cache; a full one is emptied.
@@ -149,6 +151,7 @@ class Cache(dict):
                 self[x] = self._value(ids)
 
 
+@K.frugal
 def _heavy(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     pieces = tokenizer(resolved(name)).pieces
@@ -177,6 +180,7 @@ def cached(name: str, count: bool) -> Cache:
     return _held[count, name]
 
 
+@K.frugal
 def _count(batches: Iterator[pa.RecordBatch], name: str, table) -> Iterator[pa.RecordBatch]:
     tier, cache = table.value, cached(name, True)
     for batch in batches:
