@@ -47,11 +47,15 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every bit of the result depends on every bit of x."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x, y = x >> np.uint64(30), x
+    x ^= y
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    y = x >> np.uint64(27)
+    x ^= y
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=y)
+    x ^= y
+    return x
 
 
 def slabs(texts: pa.Array, limit: int = SLAB) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -170,13 +174,20 @@ def permutations(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signatures(items: np.ndarray, first: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """MinHash values (uint32) of the runs of items that begin at ``first``, all of them with items: one row a run."""
+def signatures(items: np.ndarray, first: np.ndarray, factors: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+    """MinHash values (uint32) of the runs of items that begin at ``first``, all of them with items: one row a run.
+
+    A run goes on to the next one, or to ``end`` where items between two runs belong to none.
+    """
     short = (items >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(first), len(factors)), np.uint32)
+    cuts = first if end is None else np.stack([first, end], axis=1).ravel()[:-1]
+    out = np.empty((len(factors), len(first)), np.uint32)
+    scaled = np.empty_like(short)
     for j, factor in enumerate(factors):
-        out[:, j] = np.minimum.reduceat(short * factor, first)
-    return out
+        np.multiply(short, factor, out=scaled)
+        least = np.minimum.reduceat(scaled, cuts)
+        out[j] = least if end is None else least[::2]
+    return np.ascontiguousarray(out.T)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -190,18 +201,24 @@ def distinct(values: np.ndarray) -> np.ndarray:
 def alike(items: list[np.ndarray], first: list[np.ndarray], percent: int) -> np.ndarray:
     """Of pairs of sets, side a and side b each as items and where every set begins: 100 * intersection >= percent * union.
 
-    At most 2048 pairs; elements are compared by 53 bits of their hashes.
+    At most 2048 pairs; elements are compared by 52 bits of their hashes.
     """
     n = len(first[0])
-    sides = []
-    for own, begin in zip(items, first):
-        pair = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(begin, len(own))))
-        sides.append(distinct((pair << np.uint64(53)) | (own >> np.uint64(11))))
-    both = np.concatenate(sides)
-    both.sort()
-    count = lambda keys: np.bincount((keys >> np.uint64(53)).astype(np.int64), minlength=n)
-    inter = count(both[1:][both[1:] == both[:-1]])
-    union = count(both) - inter
+    # pair, then element, then side: one order serves both sets and what they share
+    keys = np.empty(sum(map(len, items)), np.uint64)
+    done = 0
+    for side, (own, begin) in enumerate(zip(items, first)):
+        part = keys[done : done + len(own)]
+        np.right_shift(own, np.uint64(12), out=part)
+        part <<= np.uint64(1)
+        part |= np.repeat((np.arange(n, dtype=np.uint64) << np.uint64(53)) | np.uint64(side), np.diff(np.append(begin, len(own))))
+        done += len(own)
+    keys = distinct(keys)
+    edges = np.append(np.searchsorted(keys, np.arange(n, dtype=np.uint64) << np.uint64(53)), len(keys))
+    shared = np.zeros(len(keys) + 2, np.int64)
+    np.cumsum((keys[1:] ^ keys[:-1]) == 1, out=shared[2 : len(keys) + 1])
+    inter = shared[edges[1:]] - shared[edges[:-1]]
+    union = np.diff(edges) - inter
     return (union > 0) & (100 * inter >= percent * union)
 
 
