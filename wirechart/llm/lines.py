@@ -139,7 +139,8 @@ def fuzzy_lines(documents: DataFrame, least: int = LEAST, width: int = SHINGLE,
     own = [F.struct(F.get("bands", F.lit(b)).bitwiseXOR(F.lit(b)).alias("region"), F.get("bands", F.lit((b + 1) % BANDS)).alias("tail")) for b in range(BANDS)]
     bands = classes.select(F.inline(F.array(*own)), F.col("key").alias("id"))
     bands = bands.repartition("region").sortWithinPartitions("region", "tail", "id")
-    pairs = stored(bands.mapInArrow(lambda it: _neighbours(it, SMALL, NEAR), "a bigint, b bigint").distinct(), "pairs")
+    found = bands.mapInArrow(lambda it: _neighbours(it, SMALL, NEAR), "a bigint, b bigint, crowded boolean")
+    pairs = stored(found.where("not crowded").select("a", "b").distinct(), "pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     sieve = Sieve(wanted, "key")
     found = ids.mapInArrow(lambda it: _fetch(it, sieve, least), "key bigint, text string").join(wanted, "key", "left_semi")

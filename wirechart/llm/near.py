@@ -2,8 +2,8 @@
 
 Documents with the same shingle set form one class, found by a key of the whole set; only one of each class goes on.
 Each of ``TREES`` signature orders sorts the classes. Neighbours that share the first ``DEPTH`` values are candidates;
-in crowded regions of an order the depth grows until the groups are small, and next neighbours stay candidates at
-any depth. Candidates are confirmed on the full sets, and links become components.
+in crowded regions, small groups that agree further and next neighbours are. Candidates are confirmed on the full sets,
+and links become components; then a crowded region that holds several components is compared in full (``crowded``).
 
 A pair at the threshold of 0.8 shares no prefix in any tree with a chance of (1 - 0.8**4)**16 = 2e-4, one at 0.9 of 2e-8.
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
 from wirechart.llm.components import components
+from wirechart.llm.crowded import joined
 from wirechart.llm.shared import Sieve, stored
 
 TREES, DEPTH, LEVELS = 16, 4, 6
@@ -75,8 +76,9 @@ def _lengths(same: np.ndarray) -> np.ndarray:
 
 @K.frugal
 def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows (region, tail, id, n) in order: region, then the rest of the signature.
+    """Candidate pairs (a, b, false) from rows (region, tail, id, n) in order: region, then the rest of the signature.
 
+    Rows of regions that aren't compared in full follow as (region, id, true).
     tail: bytes of MinHash values, or two of them in a bigint; without n, sets of all sizes are paired.
     """
 
@@ -86,7 +88,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Ite
             if depth:
                 alike = alike & (tail[1:, depth - 1] == tail[:-1, depth - 1])
             levels.append((np.concatenate([[0], np.cumsum(~alike)]), _lengths(alike)))
-        found = []
+        crowd = (levels[0][1] > small) | (region == cut_region)
+        found = [np.stack([region[crowd], ids[crowd], np.ones(crowd.sum(), np.int64)])] if crowd.any() else []
         for lag in range(1, min(small, len(ids))):
             take = np.zeros(len(ids) - lag, bool)
             for run, length in levels:
@@ -96,14 +99,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Ite
             take &= (10 * np.minimum(n[lag:], n[:-lag]) >= 8 * np.maximum(n[lag:], n[:-lag])) & (ids[lag:] != ids[:-lag])
             at = np.flatnonzero(take)
             if len(at):
-                found.append(np.stack([ids[at], ids[at + lag]]))
+                found.append(np.stack([np.minimum(ids[at], ids[at + lag]), np.maximum(ids[at], ids[at + lag]), np.zeros(len(at), np.int64)]))
         if found:
-            both = np.concatenate(found, axis=1)
-            both = np.unique(np.sort(both, axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2] > 0)], names=["a", "b", "crowded"])
         return None
 
-    held = None
+    held = cut_region = None
     for batch in batches:
         if not len(batch):
             continue
@@ -115,6 +117,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Ite
         # the last region may go on; a very long one is cut, and its next neighbours carry over
         cut = int(np.searchsorted(held[0], held[0][-1], "left"))
         if cut == 0 and len(held[0]) > 200_000:
+            cut_region = held[0][0]
             if (out := pairs(*held)) is not None:
                 yield out
             held = [x[-near:] for x in held]
@@ -127,15 +130,33 @@ def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Ite
 
 
 def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, levels: int = LEVELS) -> DataFrame:
-    """Distinct pairs (a, b) of class representatives from classes(rep, n, marks) that are neighbours in some tree."""
+    """Of classes(rep, n, marks), distinct pairs (a, b, false) of representatives that are neighbours in some tree, and
+    (region, rep, true) for the regions that need an exact pass."""
     width = 4 * levels
     rows = classes.select("rep", "n", "marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.select("rep", "n", "tree", F.substring("marks", F.col("tree") * width + 1, F.lit(width)).alias("own"))
     rows = rows.select(F.xxhash64("tree", F.substring("own", 1, 4 * depth)).alias("region"), F.substring("own", 4 * depth + 1, 4 * (levels - depth)).alias("tail"), F.col("rep").alias("id"), "n")
+    whole = rows
     hot = rows.groupBy("region").count().where(F.col("count") > HOT).select("region", F.lit(True).alias("hot"))
     rows = rows.join(hot, "region", "left").withColumn("region", F.when(F.col("hot"), F.xxhash64("region", "tail")).otherwise(F.col("region")))
     rows = rows.select("region", "tail", "id", "n").repartition("region").sortWithinPartitions("region", "tail", "id")
-    return rows.mapInArrow(lambda it: _neighbours(it, SMALL, NEAR), "a bigint, b bigint").distinct()
+    found = rows.mapInArrow(lambda it: _neighbours(it, SMALL, NEAR), "a bigint, b bigint, crowded boolean")
+    # a region that was cut deeper before it was dealt out is still one for the exact pass
+    return found.unionByName(whole.join(hot, "region", "left_semi").select(F.col("region").alias("a"), F.col("id").alias("b"), F.lit(True).alias("crowded"))).distinct()
+
+
+def crowds(found: DataFrame) -> DataFrame:
+    """(region, id) of the crowded regions that ``_neighbours`` found."""
+    return found.where("crowded").select(F.col("a").alias("region"), F.col("b").alias("id"))
+
+
+@K.frugal
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, buf, starts in K.slabs(batch.column(1)):
+            items, begin = shingles(buf, starts, k)
+            own = [K.distinct(items[begin[d] : begin[d + 1]]).tobytes() for d in range(len(starts) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(own)), pa.array(own, pa.binary())], names=["id", "items"])
 
 
 @K.frugal
@@ -206,8 +227,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     real = sketch.where("n > 0 and doc_id is not null")
     keys = ["n", "key_a", "key_b"]
     classes = stored(real.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks")), "classes")
-    pairs = stored(candidates(classes), "pairs")
-    roots = components(links(pairs, ids, k, percent))
+    found = stored(candidates(classes), "pairs")
+    roots = components(links(found.where("not crowded").select("a", "b"), ids, k, percent))
+    sets = lambda wanted: chosen(ids, wanted).dropDuplicates(["doc_id"]).mapInArrow(lambda it: _sets(it, k), "id bigint, items binary")
+    roots = joined(crowds(found), roots, sets, percent)
     members = classes.drop("marks").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("component_id"))
     out = sketch.drop("marks").join(members, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
