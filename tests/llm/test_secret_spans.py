@@ -1,0 +1,21 @@
+"""Secrets of any length are found whole."""
+
+import random
+import string
+
+from wirechart.llm import secret_scan
+
+
+def test_long_values_and_whole_keys(spark):
+    rng = random.Random(6)
+    run = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    body = "\n".join(run(64) for _ in range(400))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    values = [("assignment", "secret=" + run(3000)), ("opaque", run(200_000)), ("opaque", "a" * 100 + "1" + run(50)), ("github_token", "ghp_" + run(400)), ("private_key", key), ("private_key", "-----BEGIN EC PRIVATE KEY-----")]
+    got = secret_scan.candidates(spark.createDataFrame([(i, f"x {v} \n y", "s") for i, (_, v) in enumerate(values)], "doc_id bigint, text string, source string")).collect()
+    assert {(r.doc_id, r.kind, r.start, r.length, r.value) for r in got} == {(i, k, 2, len(v), v.removeprefix("secret=")) for i, (k, v) in enumerate(values)}
+
+
+def test_headers_without_end_stay_apart(spark):
+    text = "-----BEGIN RSA PRIVATE KEY-----\nzz " * 3000
+    assert secret_scan.candidates(spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")).where("kind = 'private_key'").count() == 3000

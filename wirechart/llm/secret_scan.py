@@ -2,8 +2,9 @@
 
 The forest is trained on labelled findings (value, before, path, label); ``labelled_findings`` makes at most
 ``LABELLED`` of them by rule, and a caller's own table with the same columns may take its place. All features are
-native expressions on the candidate's length, its character transitions, the part of it that dictionary words cover,
+native expressions on the whole candidate, however long: its length, its character transitions, the part of it that dictionary words cover,
 its path and the words beside it. Fitting and scoring stay on the JVM; each text is scanned whole, and a finding is a row.
+A private key goes on to its END line; one without is its header line.
 
 Null and empty texts have no candidates; null ids and paths are kept; repeated rows repeat their findings; an empty
 table gives no findings. Other columns play no part.
@@ -25,14 +26,14 @@ if TYPE_CHECKING:
 LABELLED, TREES, DEPTH, SEED = 3000, 30, 7, 7
 KINDS = {
     "aws_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,255}",
-    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,255}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}+",
     "google_key": r"AIza[0-9A-Za-z_-]{35}",
-    "stripe_key": r"[rs]k_live_[0-9A-Za-z]{16,255}",
+    "stripe_key": r"[rs]k_live_[0-9A-Za-z]{16,}+",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
-    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_]{0,32}[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?[^\s\"',;]{6,512}",
-    "opaque": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,512}={0,2}",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:(?!-----[BE])[\s\S])*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
+    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_]{0,32}[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?[^\s\"',;]{6,}+",
+    "opaque": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 PATTERN = "|".join(KINDS.values())
 WORDS = ("password", "secret", "example", "sample", "token", "test", "user", "admin", "change", "your", "here", "value", "null", "none", "true", "false", "key", "api", "config", "default", "string", "dummy", "fake", "index", "http", "www", "com", "name", "data", "file", "path", "main", "service", "the", "and", "tion", "ing", "ent", "for", "with", "that", "this")
@@ -96,6 +97,9 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
     word = lambda: "".join(syllable() for _ in range(rng.randint(1, 3)))
     alnum, hexa, upper = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits
     names = ("password", "token", "secret", "api_key", "access_key", "db_password", "auth_token")
+    own = random.Random(seed + 1)
+    # half of the private keys are whole, the others without an END line; drawn apart, so that the other findings stay the same
+    body = lambda: own.choice(("", "\n" + "\n".join("".join(own.choice(alnum + "+/") for _ in range(64)) for _ in range(own.randint(3, 25))) + "\n-----END RSA PRIVATE KEY-----"))
     lead = lambda: f"{word()} {word()} "
     named = lambda: f"{lead()}{rng.choice(names)}{rng.choice(('=', ': ', ' = '))}"
     real = [
@@ -103,7 +107,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
         lambda: (rng.choice(("ghp_", "gho_")) + pick(alnum, 36), rng.choice((lead, named))()),
         lambda: ("sk_live_" + pick(alnum, 24), rng.choice((lead, named))()),
         lambda: ("xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lead()),
-        lambda: ("-----BEGIN RSA PRIVATE KEY-----", lead()),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----" + body(), lead()),
         lambda: (pick(hexa, rng.choice((16, 18, 24, 32, 40, 64))), named()),
         lambda: (pick(alnum, rng.randint(12, 44)), named()),
         lambda: (pick(alnum + "+/", rng.randint(24, 60)), named()),
