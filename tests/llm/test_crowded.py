@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from wirechart.llm import crowded, near
+from wirechart.llm import crowded, lines, near
+from wirechart.llm import kernels as K
 
 
 def templated(pairs, seed=4):
@@ -37,3 +38,18 @@ def test_shared_items_are_counted_exactly(left):
         for j in range(got.shape[1]):
             b = j if left == 40 else j + left
             assert got[a, j] == (len(np.intersect1d(sets[a], sets[b])) if a < b else 0)
+
+
+def test_lines_in_a_crowd(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base, rows = word(153), []
+    for i in range(400):
+        both = base + word(10)
+        rows += [(2 * i, both + word(18)), (2 * i + 1, both + word(18))]
+    got = {r.doc_id: r.kept for r in lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    items, begin, end = lines._shingles([t for _, t in rows], lines.SHINGLE, True)
+    marks = K.signatures(items, begin, lines._FACTORS, end).reshape(800, lines.BANDS, lines.ROWS)
+    meet = (marks[0::2] == marks[1::2]).all(axis=2).any(axis=1)
+    assert meet.sum() >= 399
+    assert got == {i: i % 2 == 0 or not meet[i // 2] for i in range(800)}

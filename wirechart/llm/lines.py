@@ -6,7 +6,8 @@ of ``ROWS`` values are candidates, confirmed on their full shingle sets (``SHING
 Of each component the first line stays: least doc_id, then line number.
 
 A pair at the threshold shares no band with a chance of (1 - 0.8**3)**10 = 8e-4, one at 0.9 of 2e-6. In a crowded band
-next neighbours of the signature order and groups that agree further are compared, as in the forest of ``near``.
+small groups that agree on the next band too and next neighbours in the order of its hash are compared, as in ``near``;
+then a crowded band that holds several components is compared in full (``crowded``).
 
 Null texts have no lines; rows with a null id are left alone; rows that share an id are one document, whose lines at
 the same number go or stay together. Empty tables give empty results.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
 from wirechart.llm.components import components
-from wirechart.llm.near import _neighbours
+from wirechart.llm.crowded import joined
+from wirechart.llm.near import _neighbours, crowds
 from wirechart.llm.shared import Sieve, stored
 
 LEAST, SHINGLE, PERCENT = 40, 8, 80
@@ -129,6 +131,22 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
                 yield part.filter(pa.array(keep)).select(["a", "b"])
 
 
+@K.frugal
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), 1024):
+            part = batch.slice(i, 1024)
+            items, begin, end = _shingles(part.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([K.distinct(items[a:b]).tobytes() for a, b in zip(begin, end)], pa.binary())], names=["id", "items"])
+
+
+def _texts(ids: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(key, text) of the lines whose keys are in wanted(key)."""
+    sieve = Sieve(wanted, "key")
+    found = ids.mapInArrow(lambda it: _fetch(it, sieve, least), "key bigint, text string").join(wanted, "key", "left_semi")
+    return found.groupBy("key").agg(F.min("text").alias("text"))
+
+
 def fuzzy_lines(documents: DataFrame, least: int = LEAST, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per line that takes part: doc_id, line (from 0), key, root (of its class) and kept."""
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
@@ -140,19 +158,19 @@ def fuzzy_lines(documents: DataFrame, least: int = LEAST, width: int = SHINGLE,
     bands = classes.select(F.inline(F.array(*own)), F.col("key").alias("id"))
     bands = bands.repartition("region").sortWithinPartitions("region", "tail", "id")
     found = bands.mapInArrow(lambda it: _neighbours(it, SMALL, NEAR), "a bigint, b bigint, crowded boolean")
-    pairs = stored(found.where("not crowded").select("a", "b").distinct(), "pairs")
+    found = stored(found.distinct(), "pairs")
+    pairs = found.where("not crowded").select("a", "b")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    sieve = Sieve(wanted, "key")
-    found = ids.mapInArrow(lambda it: _fetch(it, sieve, least), "key bigint, text string").join(wanted, "key", "left_semi")
-    texts = stored(found.groupBy("key").agg(F.min("text").alias("text")), "texts")
+    texts = stored(_texts(ids, wanted, least), "texts")
     both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, width, percent), "a bigint, b bigint")
-    roots = components(links)
-    joined = classes.select("key", "key_b", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sets = lambda own: _texts(ids, own.withColumnRenamed("id", "key"), least).mapInArrow(lambda it: _sets(it, width), "id bigint, items binary")
+    roots = joined(crowds(found), components(links), sets, percent)
+    placed = classes.select("key", "key_b", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # classes in a component of more than one, and the first line of each component
-    joined = stored(joined, "roots")
-    firsts = joined.groupBy("root").agg(F.min("first").alias("stays"))
-    named = joined.join(firsts, "root").select("key", "key_b", "root", "stays")
+    placed = stored(placed, "roots")
+    firsts = placed.groupBy("root").agg(F.min("first").alias("stays"))
+    named = placed.join(firsts, "root").select("key", "key_b", "root", "stays")
     out = rows.select("doc_id", "line", "key", "key_b").join(named, ["key", "key_b"])
     return out.select("doc_id", "line", "key", "root", ((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line") == F.col("stays.line"))).alias("kept"))
 
