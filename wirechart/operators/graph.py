@@ -1,7 +1,7 @@
 """Analytics over a service graph: edges(from_service, to_service, ...) as DataFrames.
 
-Everything is hash aggregation, equi joins and windows; walks are level-by-level joins with a depth bound, so each
-level is one distributed join and no path is built on the driver.
+Everything is hash aggregation, equi joins and windows; walks are level-by-level joins, so each level is
+one distributed join and no path is built on the driver. Cycles and reach have no bound unless a caller sets one.
 """
 
 from __future__ import annotations
@@ -62,17 +62,19 @@ def isolated(services: DataFrame, edges: DataFrame) -> DataFrame:
     return services.where("endpoints > 0").join(touched, "service", "left_anti")
 
 
-def _levels(start: DataFrame, step, depth: int) -> DataFrame:
-    """The union of start and ``depth`` applications of step."""
+def _levels(start: DataFrame, step, depth: int | None) -> DataFrame:
+    """The union of start and ``depth`` applications of step, or as many as give rows."""
     found, last = [start], start
-    for _ in range(depth):
-        last = step(last)
+    while depth is None or len(found) <= depth:
+        last = step(last).localCheckpoint()
+        if last.isEmpty():
+            break
         found.append(last)
     return reduce(DataFrame.unionByName, found)
 
 
-def cycles(edges: DataFrame, longest: int = 7) -> DataFrame:
-    """Elementary cycles of at most ``longest`` services as 'a>b>..>a' from the least name on."""
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Elementary cycles as 'a>b>..>a' from the least name on; with ``longest``, those of at most so many services."""
     e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
     start = e.where("to_service > from_service").select(F.col("from_service").alias("root"), F.col("to_service").alias("at"), F.concat(F.lit(">"), "from_service", F.lit(">"), "to_service", F.lit(">")).alias("path"))
 
@@ -80,26 +82,28 @@ def cycles(edges: DataFrame, longest: int = 7) -> DataFrame:
         nxt = walk.join(e, walk["at"] == e["from_service"]).where("to_service > root").where(F.instr("path", F.concat(F.lit(">"), "to_service", F.lit(">"))) == 0)
         return nxt.select("root", F.col("to_service").alias("at"), F.concat("path", "to_service", F.lit(">")).alias("path"))
 
-    walks = _levels(start, step, longest - 2)
+    walks = _levels(start, step, None if longest is None else longest - 2)
     closed = walks.join(e, (walks["at"] == e["from_service"]) & (walks["root"] == e["to_service"]), "left_semi")
     return closed.select(F.concat(F.substring("path", F.lit(2), F.length("path") - 2), F.lit(">"), "root").alias("cycle"))
 
 
-def blast_radius(edges: DataFrame, target: DataFrame, deepest: int = 30) -> DataFrame:
+def blast_radius(edges: DataFrame, target: DataFrame) -> DataFrame:
     """Services that reach a target (service) and their least distance; the frontier is anti-joined each level, so cycles end."""
     e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
     seen = target.select("service", F.lit(0).alias("depth"))
     last = seen
-    for d in range(1, deepest + 1):
+    d = 0
+    while True:
+        d += 1
         nxt = e.join(last.select(F.col("service").alias("to_service")), "to_service").select(F.col("from_service").alias("service")).distinct()
-        last = nxt.join(seen.select("service"), "service", "left_anti").withColumn("depth", F.lit(d))
+        last = nxt.join(seen.select("service"), "service", "left_anti").withColumn("depth", F.lit(d)).localCheckpoint()
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
     return seen.where("depth > 0")
 
 
-def chain_walk(edges: DataFrame, depth: int = 4) -> DataFrame:
+def chain_walk(edges: DataFrame, depth: int = 20) -> DataFrame:
     """Walks from every caller: root, path 'a>b', depth, is_cycle (its end is on the path already; such a node isn't expanded)."""
     e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
     start = e.select(F.col("from_service").alias("root")).distinct().select("root", F.col("root").alias("at"), F.col("root").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("is_cycle"))

@@ -75,7 +75,7 @@ _CYCLES = """x AS (SELECT DISTINCT from_service AS a, to_service AS b FROM g WHE
 
 @query(f"WITH RECURSIVE {NATIONS}, {_CYCLES} SELECT cycle FROM cyc")
 def circular_deps(spark, d):
-    return G.cycles(nation_calls(spark, d))
+    return G.cycles(nation_calls(spark, d), 7)
 
 
 @query("SELECT c_custkey AS service, 1 AS endpoints FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -107,7 +107,7 @@ _WALK = """x AS (SELECT DISTINCT from_service AS a, to_service AS b FROM g WHERE
 
 @query(f"WITH RECURSIVE {NATIONS}, {_WALK} SELECT root, path, depth, is_cycle, is_cycle OR cur NOT IN (SELECT a FROM x) AS is_leaf FROM walk")
 def chain_walk(spark, d):
-    return G.chain_walk(nation_calls(spark, d))
+    return G.chain_walk(nation_calls(spark, d), 4)
 
 
 @query(f"WITH {EVENTS} SELECT from_service, to_service, min(event_id) AS edge_seq, 0.9 AS confidence FROM t WHERE event_id % 3 = (SELECT 0) GROUP BY ALL".replace("0.9", "CAST(0.9 AS DOUBLE)"))
@@ -149,7 +149,7 @@ def graph_edges_merged(spark, d):
   UNION ALL SELECT 'warning', 'tight-coupling', from_service || '>' || to_service, calls FROM pc WHERE calls * 10 >= total * 4 AND calls >= 3""")
 def insights_union(spark, d):
     calls = nation_calls(spark, d)
-    return G.insights(calls, G.cycles(calls))
+    return G.insights(calls, G.cycles(calls, 7))
 
 
 @query(f"WITH {NATIONS} SELECT service FROM (SELECT 'NATION_9' AS service UNION SELECT to_service FROM g WHERE from_service = 'NATION_9' UNION SELECT from_service FROM g WHERE to_service = 'NATION_9')")
