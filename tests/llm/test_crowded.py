@@ -53,3 +53,38 @@ def test_lines_in_a_crowd(spark):
     meet = (marks[0::2] == marks[1::2]).all(axis=2).any(axis=1)
     assert meet.sum() >= 399
     assert got == {i: i % 2 == 0 or not meet[i // 2] for i in range(800)}
+
+
+def test_short_lines_and_marks(spark):
+    rows = [(1, "Yes.\n\n---\nno"), (2, "yes.\n---\n\nNO!"), (3, None), (4, "yes.")]
+    out = {r.doc_id: (r.text, r.n_removed) for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {1: ("Yes.\n\n---\nno", 0), 2: ("---\n\nNO!", 1), 3: (None, 0), 4: ("", 1)}
+
+
+def test_three_thousand_lines_with_one_head(spark):
+    """Each has one partner at 0.824 and is at 0.781 to all others: recall by the pairs that brute force finds."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, rows = word(107), []
+    for i in range(1500):
+        both = head + word(3)
+        rows += [(2 * i, both + word(11)), (2 * i + 1, both + word(11))]
+    sets = [{t[p : p + 8] for p in range(len(t) - 7)} for _, t in rows]
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = [i for i in range(1500) if alike(sets[2 * i], sets[2 * i + 1])]
+    gone = {r.doc_id for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).where("n_removed > 0").collect()}
+    assert len(want) == 1500 and len(gone & {2 * i + 1 for i in want}) >= 0.99 * len(want)
+
+
+def test_a_sieve_in_parts_keeps_all_its_keys(spark, monkeypatch):
+    from wirechart.llm import shared
+
+    monkeypatch.setattr(shared, "SIEVE_BYTES", 5000)
+    keys = spark.range(9000).selectExpr("xxhash64(id) as key")
+    want = np.array([r.key for r in keys.collect()], np.int64)
+    assert shared.passes(9000) == 3
+    parts = [shared.Sieve(keys, "key", p, 3) for p in range(3)]
+    assert np.all(sum(s.keeps(want).astype(int) for s in parts) == 1)
+    other = np.random.default_rng(0).integers(1, 1 << 62, 100_000)
+    assert sum(s.keeps(other).sum() for s in parts) < 5000
+    assert len(lines._texts(spark.createDataFrame([(1, "ab cd")], "doc_id bigint, text string"), shared.stored(keys, "keys")).collect()) == 0

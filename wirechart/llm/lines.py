@@ -1,35 +1,38 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard confirmation, union-find.
 
-Lines of at least ``LEAST`` characters take part, lower-cased and without surrounding white space; shorter ones say too
-little and stay. Equal lines form one class by a 128-bit hash. Of the others, lines that agree on one of ``BANDS`` bands
-of ``ROWS`` values are candidates, confirmed on their full shingle sets (``SHINGLE`` characters, Jaccard of 0.8 or more).
-Of each component the first line stays: least doc_id, then line number.
+Every line with a letter or digit takes part, lower-cased and without surrounding white space; blank lines and mere
+punctuation say nothing and stay. Equal lines form one class by a 128-bit hash, whatever their length. Of lines of
+``SHINGLE`` characters and more, those that agree on one of ``BANDS`` bands of ``ROWS`` values are candidates, confirmed on
+their full shingle sets (Jaccard of 0.8 or more); shorter lines have no shingle and only equal ones. Of each
+component the first line stays: least doc_id, then line number.
 
 A pair at the threshold shares no band with a chance of (1 - 0.8**3)**10 = 8e-4, one at 0.9 of 2e-6. In a crowded band
 small groups that agree on the next band too and next neighbours in the order of its hash are compared, as in ``near``;
 then a crowded band that holds several components is compared in full (``crowded``).
 
 Null texts have no lines; rows with a null id are left alone; rows that share an id are one document, whose lines at
-the same number go or stay together. Empty tables give empty results.
+the same number go or stay together. Texts and lines of any length are read whole; a text is in memory once or twice.
+Empty tables give empty results; other columns pass through ``drop_lines``, n_removed replaces one of that name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
 from wirechart.llm.components import components
 from wirechart.llm.crowded import joined
 from wirechart.llm.near import _neighbours, crowds
-from wirechart.llm.shared import Sieve, stored
+from wirechart.llm.shared import TEXTS, Sieve, sieved, stored
 
-LEAST, SHINGLE, PERCENT = 40, 8, 80
+SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 10, 3
 SMALL, NEAR = 32, 4
 #: Distinct lines that a task remembers before it begins anew.
@@ -38,21 +41,22 @@ SEEN = 200_000
 SLAB = 1 << 17
 _FACTORS = K.permutations(BANDS * ROWS, 23)
 _LETTER = np.uint64(0xD6E8FEB86659FD93)
+_SAYS = re.compile(r"[^\W_]")
 
 
 def _normal(line: str) -> str:
     return line.strip().lower()
 
 
-def _lines(ids: list, texts: list, least: int) -> tuple[list, list, list[str]]:
+def _lines(ids: list, texts: list) -> tuple[list, list, list[str]]:
     docs, numbers, lines = [], [], []
     for doc, text in zip(ids, texts):
         if text:
             for number, line in enumerate(text.split("\n")):
-                if len(line) >= least and len(line := _normal(line)) >= least:
+                if _SAYS.search(line):
                     docs.append(doc)
                     numbers.append(number)
-                    lines.append(line)
+                    lines.append(_normal(line))
     return docs, numbers, lines
 
 
@@ -78,27 +82,27 @@ def _shingles(lines: list[str], width: int, whole: bool = False) -> tuple[np.nda
     return items[keep], begin - shift, end - shift
 
 
-def _slabs(batch: pa.RecordBatch, least: int) -> Iterator[tuple[list, list, list[str]]]:
+def _slabs(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[str]]]:
     """Lines of a batch in runs of about a slab of text."""
     n, size = len(batch), max(1, batch.column(1).nbytes)
     step = max(1, int(n * SLAB / size))
     for i in range(0, n, step):
         part = batch.slice(i, step)
-        docs, numbers, lines = _lines(part.column(0).to_pylist(), part.column(1).to_pylist(), least)
+        docs, numbers, lines = _lines(part.column(0).to_pylist(), part.column(1).to_pylist())
         if lines:
             yield docs, numbers, lines
 
 
 @K.frugal
-def _sketch(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Every line with its key; a line that equals an earlier one of the task has null bands, as the first of them has them."""
+def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Every line with its key; a line of no shingle has null bands, and one that equals an earlier one of the task, as the first of them has them."""
     seen: set[bytes] = set()
     for batch in batches:
-        for docs, numbers, lines in _slabs(batch, least):
+        for docs, numbers, lines in _slabs(batch):
             keys = _digests(lines)
             if len(seen) > SEEN:
                 seen.clear()
-            fresh = np.array([x not in seen and not seen.add(x) for x in keys.view("V16").ravel().tolist()], bool)
+            fresh = np.array([len(line) >= width and x not in seen and not seen.add(x) for line, x in zip(lines, keys.view("V16").ravel().tolist())], bool)
             bands = np.zeros((0, BANDS), np.uint64)
             if fresh.any():
                 items, begin, end = _shingles([lines[i] for i in np.flatnonzero(fresh)], width, True)
@@ -110,9 +114,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterat
 
 
 @K.frugal
-def _fetch(batches: Iterator[pa.RecordBatch], sieve: Sieve, least: int) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, lines in _slabs(batch, least):
+        for _, _, lines in _slabs(batch):
             keys = _digests(lines)[:, 0].copy()
             at = np.flatnonzero(sieve.keeps(keys))
             if len(at):
@@ -140,46 +144,56 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([K.distinct(items[a:b]).tobytes() for a, b in zip(begin, end)], pa.binary())], names=["id", "items"])
 
 
-def _texts(ids: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(key, text) of the lines whose keys are in wanted(key)."""
-    sieve = Sieve(wanted, "key")
-    found = ids.mapInArrow(lambda it: _fetch(it, sieve, least), "key bigint, text string").join(wanted, "key", "left_semi")
-    return found.groupBy("key").agg(F.min("text").alias("text"))
+def _texts(ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the lines whose keys are in wanted(key), a written table."""
+    found = sieved([(wanted, "key")], None, lambda sieve: ids.mapInArrow(lambda it: _fetch(it, sieve), "key bigint, text string"), "lines")
+    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
-def fuzzy_lines(documents: DataFrame, least: int = LEAST, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per line that takes part: doc_id, line (from 0), key, root (of its class) and kept."""
+def _placed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(lines (doc_id, line, key, root, rest), classes (root, rest, first) of more than one line)."""
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    rows = stored(ids.mapInArrow(lambda it: _sketch(it, least, width), "doc_id bigint, line int, key bigint, key_b bigint, bands array<bigint>"), "lines")
-    # classes go by the first half of the key from here on; two lines that share it but not the second half stay apart
-    classes = stored(rows.groupBy("key", "key_b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
+    rows = stored(ids.mapInArrow(lambda it: _sketch(it, width), "doc_id bigint, line int, key bigint, key_b bigint, bands array<bigint>"), "lines", TEXTS)
     # a band's rows are ordered by the next band, so lines that agree on it too are neighbours
-    own = [F.struct(F.get("bands", F.lit(b)).bitwiseXOR(F.lit(b)).alias("region"), F.get("bands", F.lit((b + 1) % BANDS)).alias("tail")) for b in range(BANDS)]
-    bands = classes.select(F.inline(F.array(*own)), F.col("key").alias("id"))
+    bands = rows.where("bands is not null").select(F.col("key").alias("id"), "bands", F.posexplode("bands").alias("b", "h"))
+    bands = bands.select(F.col("h").bitwiseXOR(F.col("b")).alias("region"), F.get("bands", (F.col("b") + 1) % BANDS).alias("tail"), "id")
     bands = bands.repartition("region").sortWithinPartitions("region", "tail", "id")
     found = bands.mapInArrow(lambda it: _neighbours(it, SMALL, NEAR), "a bigint, b bigint, crowded boolean")
     found = stored(found.distinct(), "pairs")
     pairs = found.where("not crowded").select("a", "b")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    texts = stored(_texts(ids, wanted, least), "texts")
+    texts = stored(_texts(ids, wanted), "texts")
     both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, width, percent), "a bigint, b bigint")
-    sets = lambda own: _texts(ids, own.withColumnRenamed("id", "key"), least).mapInArrow(lambda it: _sets(it, width), "id bigint, items binary")
+    sets = lambda own: _texts(ids, own.withColumnRenamed("id", "key")).mapInArrow(lambda it: _sets(it, width), "id bigint, items binary")
     roots = joined(crowds(found), components(links), sets, percent)
-    placed = classes.select("key", "key_b", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    # classes in a component of more than one, and the first line of each component
-    placed = stored(placed, "roots")
-    firsts = placed.groupBy("root").agg(F.min("first").alias("stays"))
-    named = placed.join(firsts, "root").select("key", "key_b", "root", "stays")
-    out = rows.select("doc_id", "line", "key", "key_b").join(named, ["key", "key_b"])
-    return out.select("doc_id", "line", "key", "root", ((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line") == F.col("stays.line"))).alias("kept"))
+    # classes go by both halves of the key; in a component, whose links were confirmed on texts, by its root
+    known = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    placed = rows.select("doc_id", "line", "key", "key_b").join(stored(known, "roots").withColumnRenamed("node", "key"), "key", "left")
+    placed = placed.select("doc_id", "line", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("root").isNull(), F.col("key_b")).otherwise(0).alias("rest"))
+    placed = stored(placed, "placed")
+    classes = placed.groupBy("root", "rest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return placed, classes.select("root", "rest", "first")
+
+
+def _is_first() -> Column:
+    return (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
+
+
+def fuzzy_lines(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per line that takes part: doc_id, line (from 0), key, root (of its class) and kept."""
+    placed, classes = _placed(documents, width, percent)
+    out = placed.join(classes, ["root", "rest"], "left")
+    return out.select("doc_id", "line", "key", "root", F.coalesce(_is_first(), F.lit(True)).alias("kept"))
 
 
-def drop_lines(documents: DataFrame, least: int = LEAST, width: int = SHINGLE, percent: int = PERCENT, keep: tuple[str, ...] | None = None) -> DataFrame:
+def drop_lines(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The documents without the lines that repeat an earlier one; texts are rejoined from the others, and n_removed is added."""
-    gone = fuzzy_lines(documents, least, width, percent).where("not kept").groupBy("doc_id").agg(F.array_distinct(F.collect_list("line")).alias("gone"))
-    columns = list(keep or documents.columns)
-    rows = documents.select(*columns).join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")).select(*columns, "n_removed")
+    placed, classes = _placed(documents, width, percent)
+    gone = placed.join(classes, ["root", "rest"]).where(~_is_first()).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    columns = [c for c in keep or documents.columns if c != "n_removed"]
+    rows = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id")).join(gone, "doc_id", "left")
+    lines = F.split("row.text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns], F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wirechart.llm import kernels as K
 from wirechart.llm.components import components
 from wirechart.llm.crowded import joined
-from wirechart.llm.shared import Sieve, stored
+from wirechart.llm.shared import TEXTS, Sieve, sieved, stored
 
 TREES, DEPTH, LEVELS = 16, 4, 6
 #: Groups of up to SMALL rows are compared in full, of larger ones NEAR neighbours; a region beyond HOT is cut deeper before it is dealt out.
@@ -105,7 +105,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Ite
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2] > 0)], names=["a", "b", "crowded"])
         return None
 
-    held = cut_region = None
+    held = cut_region = last = None
     for batch in batches:
         if not len(batch):
             continue
@@ -113,7 +113,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch], small: int, near: int) -> Ite
         wide = np.frombuffer(b"".join(tail.to_pylist()), np.uint32).reshape(len(batch), -1) if pa.types.is_binary(tail.type) else tail.to_numpy().view(np.uint32).reshape(-1, 2)[:, ::-1]
         sizes = batch.column(3).to_numpy() if batch.num_columns > 3 else np.ones(len(batch), np.int64)
         new = [batch.column(0).to_numpy(), wide, batch.column(2).to_numpy(), sizes]
+        # a row may come from several tasks
+        fresh = np.ones(len(batch), bool)
+        fresh[1:] = (new[0][1:] != new[0][:-1]) | (new[2][1:] != new[2][:-1])
+        fresh[0] = (int(new[0][0]), int(new[2][0])) != last
+        last = int(new[0][-1]), int(new[2][-1])
+        new = [x[fresh] for x in new]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if not len(held[0]):
+            continue
         # the last region may go on; a very long one is cut, and its next neighbours carry over
         cut = int(np.searchsorted(held[0], held[0][-1], "left"))
         if cut == 0 and len(held[0]) > 200_000:
@@ -169,11 +177,11 @@ def _fetch(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.Recor
 
 
 def chosen(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents whose bigint id is in ids(id), found on the map side where the ids fit a sieve."""
+    """(doc_id, text) of the documents whose bigint id is in ids(id), found on the map side in bounded passes."""
     keyed = stored(ids.mapInArrow(_mixed, "id bigint, key bigint"), "ids")
-    sieve = Sieve(keyed, "key")
-    found = documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null").mapInArrow(lambda it: _fetch(it, sieve), "doc_id bigint, text string")
-    return found.join(keyed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi") if sieve.bits is None else found
+    every = documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null")
+    found = sieved([(keyed, "key")], None, lambda sieve: every.mapInArrow(lambda it: _fetch(it, sieve), "doc_id bigint, text string"), "texts")
+    return found.join(keyed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
 
 @K.frugal
@@ -214,7 +222,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
 def links(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose documents' shingle sets hold 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(chosen(documents, ids), "texts")
+    texts = chosen(documents, ids)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
     return both.mapInArrow(lambda it: _confirm(it, k, percent), "a bigint, b bigint").distinct()
@@ -223,7 +231,7 @@ def links(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataF
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id, kept."""
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketch = stored(ids.mapInArrow(lambda it: _sketch(it, k), "doc_id bigint, n bigint, key_a bigint, key_b bigint, marks binary"), "sketch")
+    sketch = stored(ids.mapInArrow(lambda it: _sketch(it, k), "doc_id bigint, n bigint, key_a bigint, key_b bigint, marks binary"), "sketch", TEXTS)
     real = sketch.where("n > 0 and doc_id is not null")
     keys = ["n", "key_a", "key_b"]
     classes = stored(real.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks")), "classes")

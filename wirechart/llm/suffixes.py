@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
-from wirechart.llm.shared import Sieve, stored
+from wirechart.llm.shared import TEXTS, Sieve, sieved, stored
 
 SPAN, GRAM, SHARD = 100, 32, 1 << 20
 _REACH = SPAN - GRAM
@@ -87,20 +87,21 @@ def _shared(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.Reco
 
 
 @K.frugal
-def _contexts(batches: Iterator[pa.RecordBatch], twice: Sieve, owners: Sieve, hot: Sieve | None) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], several: Sieve, owners: Sieve, hot: Sieve) -> Iterator[pa.RecordBatch]:
+    """The contexts that owners(key) names, by anchors that are among several(h); hot: those of an anchor that is spread."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, buf, starts in K.slabs(batch.column(1)):
             places, hashes = anchors(buf, starts)
-            places = places[twice.keeps(hashes[places])]
+            places = places[several.keeps(hashes[places])]
             if not len(places):
                 continue
             x = _occurrences(buf, starts, ids[row : row + len(starts) - 1], places, hashes)
-            keep = np.flatnonzero(owners.keeps(x["key"]))
+            keep = np.flatnonzero(owners.keeps(x["key"], x["h"]))
             if len(keep):
                 data = buf.tobytes()
                 texts = [data[i:j] for i, j in zip(x["at"][keep].tolist(), x["to"][keep].tolist())]
-                much = hot.keeps(x["h"][keep]) if hot else np.zeros(len(keep), bool)
+                much = hot.keeps(x["h"][keep])
                 yield pa.RecordBatch.from_arrays([K.signed(x["h"][keep]), pa.array(x["doc"][keep]), pa.array(x["lo"][keep].astype(np.int32)), pa.array(texts, pa.binary()), pa.array(much)], names=["h", "doc", "lo", "text", "hot"])
 
 
@@ -231,28 +232,23 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     """(doc, lo, hi): byte ranges of documents(doc_id, text) whose strings also start earlier; they may overlap."""
     texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= SPAN)
     counts = texts.mapInArrow(_hashes, "h bigint").groupBy("h").count().where("count > 1").select("h")
-    twice = Sieve(stored(counts, "anchors"), "h")
-    seen = stored(texts.mapInArrow(lambda it: _shared(it, twice), "h bigint, c bigint, doc bigint, lo int, hi int"), "occurrences")
+    twice = stored(counts, "anchors", TEXTS)
+    seen = sieved([(twice, "h")], None, lambda own: texts.mapInArrow(lambda it: _shared(it, own), "h bigint, c bigint, doc bigint, lo int, hi int"), "occurrences")
     contexts = stored(seen.groupBy("h", "c").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")), "contexts")
     copies = seen.join(contexts.where("n > 1").select("h", "c", F.col("first.doc").alias("d0"), F.col("first.lo").alias("l0")), ["h", "c"])
     copies = copies.where("doc <> d0 or lo <> l0").select("doc", "lo", "hi")
     several = stored(contexts.groupBy("h").count().where("count > 1"), "several")
     doc, lo = F.col("first.doc"), F.col("first.lo").cast("bigint")
     key = F.col("h").bitwiseXOR(doc).bitwiseXOR(F.shiftleft(lo, 13)).bitwiseXOR(F.shiftleft(doc, 33))  # as in _occurrences
-    owners = Sieve(stored(contexts.join(several, "h").select(key.alias("key")), "owners"), "key")
-    crowded = several.where(F.col("count") > HOT).select("h")
-    hot = Sieve(crowded, "h") if crowded.limit(1).count() else None
-    rows = texts.mapInArrow(lambda it: _contexts(it, twice, owners, hot), "h bigint, doc bigint, lo int, text binary, hot boolean")
-    if hot:
-        rows = stored(rows, "contexts")
+    owners = stored(contexts.join(several, "h").select("h", key.alias("key")), "owners")
+    crowded = stored(several.where(F.col("count") > HOT).select("h"), "crowded")
+    tables = [(several.select("h"), "h"), (owners, "key"), (crowded, "h")]
+    rows = sieved(tables, "h", lambda *own: texts.mapInArrow(lambda it: _contexts(it, *own), "h bigint, doc bigint, lo int, text binary, hot boolean"), "contexts")
     cold = rows.where("not hot").select("h", "doc", "lo", "text").repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_sorted, "doc bigint, lo int, hi int")
-    out = copies.unionByName(cold)
-    if hot:
-        windows = stored(rows.where("hot").mapInArrow(_windows, "digest binary, doc bigint, start int"), "windows")
-        firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = windows.join(firsts, "digest").where("doc <> first.doc or start <> first.start")
-        out = out.unionByName(later.select("doc", F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi")))
-    return out
+    windows = stored(rows.where("hot").mapInArrow(_windows, "digest binary, doc bigint, start int"), "windows")
+    firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(firsts, "digest").where("doc <> first.doc or start <> first.start")
+    return copies.unionByName(cold).unionByName(later.select("doc", F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi")))
 
 
 def _united(runs: np.ndarray, n: int) -> np.ndarray:
