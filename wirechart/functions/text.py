@@ -22,13 +22,17 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def norm_path(path: Column) -> Column:
-    """Template values, ``:id`` and numbers become {x}, slashes collapse, none at the end."""
-    out = F.regexp_replace(path, r"\$?\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*", "{x}")
-    out = F.regexp_replace(F.regexp_replace(out, "[0-9]+", "{x}"), "/+", "/")
+def template_path(path: Column) -> Column:
+    """Template values and ``:id`` become {x}, slashes collapse, none at the end; the root stays."""
+    out = F.regexp_replace(F.regexp_replace(path, r"\$?\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*", "{x}"), "/+", "/")
     return F.when(out == "/", out).otherwise(F.regexp_replace(out, "/$", ""))
 
 
+def norm_path(path: Column) -> Column:
+    """``template_path`` with runs of digits as {x} too: for paths that were seen in use."""
+    return template_path(F.regexp_replace(F.regexp_replace(path, r"\$?\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*", "{x}"), "[0-9]+", "{x}"))
+
+
 def combine_paths(prefix: Column, route: Column) -> Column:
     """A prefix and a route with one slash between; an empty route leaves the prefix."""
     trim = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^/+|/+$", "")
@@ -37,12 +41,10 @@ def combine_paths(prefix: Column, route: Column) -> Column:
 
 
 def kebab(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1-$2"))
-
-
-def snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
+    """Lower case words with hyphens between, from camel case, snake case and dots."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1-$2"), "[^A-Za-z0-9]+", "-"))
 
 
-def first_url(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<>)}\]]+"), F.lit(0))
+def referenced_urls(text: Column) -> Column:
+    """The distinct http URLs of a text in their order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<>)}\]]+"), F.lit(0)))

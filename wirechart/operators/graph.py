@@ -1,7 +1,7 @@
 """Analytics over a service graph: edges(from_service, to_service, ...) as DataFrames.
 
 Everything is hash aggregation, equi joins and windows; walks are level-by-level joins, so each level is
-one distributed join and no path is built on the driver. Cycles and reach have no bound unless a caller sets one.
+one distributed join over edges written once, and no path is built on the driver. Cycles and reach have no bound unless a caller sets one.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirechart.storage import written
+
 #: Thresholds of the insights: services called, callers, share and number of calls for tight coupling.
 FAN_OUT, FAN_IN, TIGHT_SHARE, TIGHT_CALLS = 3, 4, 0.4, 3
 
@@ -50,10 +52,17 @@ def tight_coupling(calls: DataFrame) -> DataFrame:
     return counts.withColumn("total", total).where(f"calls * 10 >= total * {int(TIGHT_SHARE * 10)} and calls >= {TIGHT_CALLS}")
 
 
-def unresolved(calls: DataFrame, examples: int = 3) -> DataFrame:
-    """Per service: n unresolved calls (to_service null) and the first raw URLs by call_seq."""
-    rows = calls.where("to_service is null").withColumn("r", F.row_number().over(Window.partitionBy("from_service").orderBy("call_seq")))
-    return rows.groupBy("from_service").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "raw_url")))), lambda x: x["raw_url"]), ",").alias("examples"))
+def unresolved(calls: DataFrame, examples: int = 3, salts: int = 64) -> DataFrame:
+    """Per service: n unresolved calls (to_service null) and the first raw URLs by call_seq.
+
+    The least examples are taken for each salt of a service first, so no service is sorted in one task.
+    """
+    rows = calls.where("to_service is null").select("from_service", "call_seq", "raw_url")
+    salt = F.pmod(F.xxhash64("call_seq", "raw_url"), F.lit(salts))
+    rank = F.row_number().over(Window.partitionBy("from_service", "salt").orderBy("call_seq", "raw_url"))
+    part = rows.withColumn("salt", salt).withColumn("r", rank).groupBy("from_service", "salt").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("r") <= examples, F.struct("call_seq", "raw_url"))).alias("first"))
+    whole = part.groupBy("from_service").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, examples).alias("first"))
+    return whole.select("from_service", "n", F.array_join(F.transform("first", lambda x: x["raw_url"]), ",").alias("examples"))
 
 
 def isolated(services: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,7 +75,7 @@ def _levels(start: DataFrame, step, depth: int | None) -> DataFrame:
     """The union of start and ``depth`` applications of step, or as many as give rows."""
     found, last = [start], start
     while depth is None or len(found) <= depth:
-        last = step(last).localCheckpoint()
+        last = written(step(last), "level")
         if last.isEmpty():
             break
         found.append(last)
@@ -75,7 +84,7 @@ def _levels(start: DataFrame, step, depth: int | None) -> DataFrame:
 
 def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """Elementary cycles as 'a>b>..>a' from the least name on; with ``longest``, those of at most so many services."""
-    e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
+    e = written(edges.where("from_service <> to_service").select("from_service", "to_service").distinct(), "edges")
     start = e.where("to_service > from_service").select(F.col("from_service").alias("root"), F.col("to_service").alias("at"), F.concat(F.lit(">"), "from_service", F.lit(">"), "to_service", F.lit(">")).alias("path"))
 
     def step(walk: DataFrame) -> DataFrame:
@@ -89,14 +98,15 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
 
 def blast_radius(edges: DataFrame, target: DataFrame) -> DataFrame:
     """Services that reach a target (service) and their least distance; the frontier is anti-joined each level, so cycles end."""
-    e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
+    e = written(edges.where("from_service <> to_service").select("from_service", "to_service").distinct(), "edges")
     seen = target.select("service", F.lit(0).alias("depth"))
     last = seen
     d = 0
     while True:
         d += 1
         nxt = e.join(last.select(F.col("service").alias("to_service")), "to_service").select(F.col("from_service").alias("service")).distinct()
-        last = nxt.join(seen.select("service"), "service", "left_anti").withColumn("depth", F.lit(d)).localCheckpoint()
+        last = nxt.join(seen.select("service"), "service", "left_anti").withColumn("depth", F.lit(d))
+        last = written(last, "frontier")
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
@@ -105,7 +115,7 @@ def blast_radius(edges: DataFrame, target: DataFrame) -> DataFrame:
 
 def chain_walk(edges: DataFrame, depth: int = 20) -> DataFrame:
     """Walks from every caller: root, path 'a>b', depth, is_cycle (its end is on the path already; such a node isn't expanded)."""
-    e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
+    e = written(edges.where("from_service <> to_service").select("from_service", "to_service").distinct(), "edges")
     start = e.select(F.col("from_service").alias("root")).distinct().select("root", F.col("root").alias("at"), F.col("root").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("is_cycle"))
 
     def step(walk: DataFrame) -> DataFrame:

@@ -30,11 +30,21 @@ def ranked(df: DataFrame, key: str, rules: list[tuple[Column, dict[str, Column]]
     return df.withColumns(out)
 
 
+def one_row_a_side(rows: DataFrame, keys: list[str], columns: dict[str, Column], is_after: Column) -> DataFrame:
+    """(keys, before, after): the last row of each key on either side as a struct, null where a side has none; one shuffle, no join."""
+    seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    side = lambda c: F.max_by(F.when(c, row), F.when(c, seq))
+    return rows.groupBy(*keys).agg(side(~is_after).alias("before"), side(is_after).alias("after"))
+
+
 def diff(before: DataFrame, after: DataFrame, keys: list[str], fields: str) -> DataFrame:
-    """Full outer diff of two tables (keys, fields map<string,string>): change, severity, removed and added fields and types."""
-    b = before.select(*keys, F.col(fields).alias("b"), F.lit(True).alias("in_b"))
-    a = after.select(*keys, F.col(fields).alias("a"), F.lit(True).alias("in_a"))
-    both = b.join(a, keys, "full_outer")
+    """Full outer diff of two tables (keys, fields map<string,string>): change, severity, removed and added fields.
+
+    A key that repeats on a side counts with its last row: the greatest seq where the table has that column.
+    """
+    both = one_row_a_side(before.withColumn("_after", F.lit(False)).unionByName(after.withColumn("_after", F.lit(True)), allowMissingColumns=True), keys, {"f": F.col(fields)}, F.col("_after"))
+    both = both.withColumns({"b": F.col("before.f"), "a": F.col("after.f"), "in_b": F.when(F.col("before").isNotNull(), True), "in_a": F.when(F.col("after").isNotNull(), True)})
     gone = F.array_sort(F.array_except(F.map_keys("b"), F.map_keys("a")))
     new = F.array_sort(F.array_except(F.map_keys("a"), F.map_keys("b")))
     both = both.withColumn("removed_fields", F.when(F.col("in_a") & F.col("in_b"), gone)).withColumn("added_fields", F.when(F.col("in_a") & F.col("in_b"), new))

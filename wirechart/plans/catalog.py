@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from wirechart.functions import text as X
 from wirechart.operators import graph as G
+from wirechart.operators import reports as P
 from wirechart.operators import tables as R
-from wirechart.plans.bindings import EVENTS, NATIONS, PAGES, ROLES, TOPICS, event_calls, nation_calls, page_endpoints, role_calls, table, topic_events
+from wirechart.plans.bindings import EVENTS, NATIONS, PAGES, ROLES, SPARSE, TOPICS, event_calls, nation_calls, page_endpoints, role_calls, supplier_calls, table, topic_events
+from wirechart.storage import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,19 +71,21 @@ def tight_coupling(spark, d):
 
 _CYCLES = """x AS (SELECT DISTINCT from_service AS a, to_service AS b FROM g WHERE from_service <> to_service), walk AS (
   SELECT a AS root, b AS cur, '>' || a || '>' || b || '>' AS path, 2 AS n FROM x WHERE b > a
-  UNION ALL SELECT root, b, path || b || '>', n + 1 FROM walk JOIN x ON cur = a WHERE b > root AND position('>' || b || '>' IN path) = 0 AND n < 7),
+  UNION ALL SELECT root, b, path || b || '>', n + 1 FROM walk JOIN x ON cur = a WHERE b > root AND position('>' || b || '>' IN path) = 0),
   cyc AS (SELECT substring(path, 2, length(path) - 2) || '>' || root AS cycle FROM walk JOIN x ON cur = a AND root = b)"""
 
 
-@query(f"WITH RECURSIVE {NATIONS}, {_CYCLES} SELECT cycle FROM cyc")
+@query(f"WITH RECURSIVE {SPARSE}, {_CYCLES} SELECT cycle FROM cyc")
 def circular_deps(spark, d):
-    return G.cycles(nation_calls(spark, d), 7)
+    return G.cycles(supplier_calls(spark, d))
 
 
-@query("SELECT c_custkey AS service, 1 AS endpoints FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""WITH e AS (SELECT o_custkey AS f, o_custkey * 7 % 1500 AS t FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'), c AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer)
+  SELECT c_custkey AS service, c_nationkey AS endpoints FROM c WHERE c_nationkey > 0 AND c_custkey NOT IN (SELECT f FROM e WHERE f <> t) AND c_custkey NOT IN (SELECT t FROM e WHERE f <> t)""")
 def isolated_services(spark, d):
-    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("from_service"), (-F.col("o_orderkey") - 1).alias("to_service"))
-    return G.isolated(table(spark, d, "customer").select(F.col("c_custkey").alias("service"), F.lit(1).alias("endpoints")), edges)
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    edges = urgent.select(F.col("o_custkey").alias("from_service"), (F.col("o_custkey") * 7 % 1500).alias("to_service"))
+    return G.isolated(table(spark, d, "customer").select(F.col("c_custkey").alias("service"), F.col("c_nationkey").alias("endpoints")), edges)
 
 
 @query("WITH r AS (SELECT source, d.doc_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS r FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) SELECT source AS from_service, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY r) FILTER (WHERE r <= 3) AS examples FROM r GROUP BY source")
@@ -91,28 +95,28 @@ def unresolved_summary(spark, d):
     return G.unresolved(calls)
 
 
-@query(f"""WITH RECURSIVE {NATIONS}, {_DEGREES.format('g')}, target AS (SELECT service FROM d ORDER BY in_degree DESC, service LIMIT 1),
+@query(f"""WITH RECURSIVE {SPARSE}, {_DEGREES.format('g')}, target AS (SELECT service FROM d ORDER BY in_degree DESC, service LIMIT 1),
   reach AS (SELECT service, 0 AS depth FROM target UNION SELECT from_service, depth + 1 FROM reach JOIN x ON to_service = service WHERE depth < 26)
   SELECT service, min(depth) AS depth FROM reach WHERE service NOT IN (SELECT service FROM target) GROUP BY service""")
 def blast_radius(spark, d):
-    edges = nation_calls(spark, d)
+    edges = supplier_calls(spark, d)
     target = G.degrees(edges).orderBy(F.desc("in_degree"), "service").limit(1).select("service")
     return G.blast_radius(edges, target)
 
 
 _WALK = """x AS (SELECT DISTINCT from_service AS a, to_service AS b FROM g WHERE from_service <> to_service), walk AS (
   SELECT DISTINCT a AS root, a AS cur, a AS path, 0 AS depth, false AS is_cycle FROM x
-  UNION ALL SELECT root, b, path || '>' || b, depth + 1, position('>' || b || '>' IN '>' || path || '>') > 0 FROM walk JOIN x ON cur = a WHERE NOT is_cycle AND depth < 4)"""
+  UNION ALL SELECT root, b, path || '>' || b, depth + 1, position('>' || b || '>' IN '>' || path || '>') > 0 FROM walk JOIN x ON cur = a WHERE NOT is_cycle AND depth < 20)"""
 
 
-@query(f"WITH RECURSIVE {NATIONS}, {_WALK} SELECT root, path, depth, is_cycle, is_cycle OR cur NOT IN (SELECT a FROM x) AS is_leaf FROM walk")
+@query(f"WITH RECURSIVE {SPARSE}, {_WALK} SELECT root, path, depth, is_cycle, is_cycle OR cur NOT IN (SELECT a FROM x) AS is_leaf FROM walk")
 def chain_walk(spark, d):
-    return G.chain_walk(nation_calls(spark, d), 4)
+    return G.chain_walk(supplier_calls(spark, d))
 
 
-@query(f"WITH {EVENTS} SELECT from_service, to_service, min(event_id) AS edge_seq, 0.9 AS confidence FROM t WHERE event_id % 3 = (SELECT 0) GROUP BY ALL".replace("0.9", "CAST(0.9 AS DOUBLE)"))
+@query(f"WITH {EVENTS}, c AS (SELECT from_service, to_service, event_id AS edge_seq, CAST(CASE WHEN event_id % 3 = 0 THEN 0.9 WHEN event_id % 3 = 1 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY from_service, to_service ORDER BY confidence DESC, edge_seq) AS r FROM c) SELECT from_service, to_service, edge_seq, confidence FROM r WHERE r = 1")
 def chain_edges_best(spark, d):
-    scored = event_calls(spark, d).select("from_service", "to_service", F.col("event_id").alias("edge_seq"), F.when(F.col("event_id") % 3 == 0, 0.9).otherwise(0.5).alias("confidence"))
+    scored = event_calls(spark, d).select("from_service", "to_service", F.col("event_id").alias("edge_seq"), F.when(F.col("event_id") % 3 == 0, 0.9).when(F.col("event_id") % 3 == 1, 0.7).otherwise(0.5).alias("confidence"))
     return G.best_edges(scored)
 
 
@@ -121,9 +125,17 @@ def flatten_edges(spark, d):
     return R.first_by(event_calls(spark, d), ["from_service", "to_service"], ["event_id"]).select("from_service", "to_service", "event_id")
 
 
-@query(f"WITH {NATIONS} SELECT from_service, to_service, CAST(CASE WHEN r = 1 THEN 0.95 ELSE 0.6 END AS DOUBLE) AS confidence FROM g WHERE r = 1")
+_SURE = "CAST(CASE WHEN r = 1 THEN 0.95 WHEN r <= 4 THEN 0.7 ELSE 0.6 END AS DOUBLE)"
+
+
+def _scored(spark, d):
+    r = F.col("r")
+    return nation_calls(spark, d).withColumn("confidence", F.when(r == 1, 0.95).when(r <= 4, 0.7).otherwise(0.6))
+
+
+@query(f"WITH {NATIONS}, c AS (SELECT from_service, to_service, {_SURE} AS confidence FROM g) SELECT * FROM c WHERE confidence >= 0.7")
 def min_confidence(spark, d):
-    return nation_calls(spark, d).select("from_service", "to_service", F.when(F.col("r") == 1, 0.95).otherwise(0.6).alias("confidence")).where("confidence >= 0.7")
+    return P.shown_edges(_scored(spark, d).select("from_service", "to_service", "confidence"), 0.7)
 
 
 _TOPIC = "SELECT p.service AS from_service, s.service AS to_service, min(p.topic) AS topic, CAST(0.8 AS DOUBLE) AS confidence FROM e p JOIN e s ON p.topic = s.topic AND p.direction = 'publish' AND s.direction = 'subscribe' GROUP BY ALL"
@@ -144,28 +156,27 @@ def graph_edges_merged(spark, d):
     return G.merged_edges(nation_calls(spark, d), G.topic_edges(topic_events(spark, d)), specs)
 
 
-@query(f"""WITH RECURSIVE {NATIONS}, {_CYCLES.replace('x AS', 'y AS').replace('FROM x', 'FROM y').replace('JOIN x', 'JOIN y')}, {_DEGREES.format('g')}, pc AS (SELECT from_service, to_service, count(*) AS calls, CAST(sum(count(*)) OVER (PARTITION BY from_service) AS BIGINT) AS total FROM g WHERE from_service <> to_service GROUP BY 1, 2)
+@query(f"""WITH RECURSIVE {SPARSE}, {_CYCLES.replace('x AS', 'y AS').replace('FROM x', 'FROM y').replace('JOIN x', 'JOIN y')}, {_DEGREES.format('g')}, pc AS (SELECT from_service, to_service, count(*) AS calls, CAST(sum(count(*)) OVER (PARTITION BY from_service) AS BIGINT) AS total FROM g WHERE from_service <> to_service GROUP BY 1, 2)
   SELECT 'error' AS severity, 'circular-dependency' AS type, cycle AS subject, CAST(length(cycle) - length(replace(cycle, '>', '')) AS BIGINT) AS n FROM cyc UNION ALL SELECT 'warning', 'high-fan-out', service, out_degree FROM d WHERE out_degree >= 3 UNION ALL SELECT 'warning', 'high-fan-in', service, in_degree FROM d WHERE in_degree >= 4
   UNION ALL SELECT 'warning', 'tight-coupling', from_service || '>' || to_service, calls FROM pc WHERE calls * 10 >= total * 4 AND calls >= 3""")
 def insights_union(spark, d):
-    calls = nation_calls(spark, d)
-    return G.insights(calls, G.cycles(calls, 7))
+    calls = supplier_calls(spark, d)
+    return G.insights(calls, G.cycles(calls))
 
 
-@query(f"WITH {NATIONS} SELECT service FROM (SELECT 'NATION_9' AS service UNION SELECT to_service FROM g WHERE from_service = 'NATION_9' UNION SELECT from_service FROM g WHERE to_service = 'NATION_9')")
+@query(f"WITH {SPARSE} SELECT service FROM (SELECT 'NATION_10' AS service UNION SELECT to_service FROM g WHERE from_service = 'NATION_10' UNION SELECT from_service FROM g WHERE to_service = 'NATION_10')")
 def one_hop_neighbourhood(spark, d):
-    return G.neighbourhood(nation_calls(spark, d), spark.range(1).select(F.lit("NATION_9").alias("service")))
+    return G.neighbourhood(supplier_calls(spark, d), spark.range(1).select(F.lit("NATION_10").alias("service")))
 
 
-@query(f"WITH {NATIONS} SELECT CAST(round(avg(CASE WHEN r = 1 THEN 0.95 ELSE 0.6 END), 6) AS DOUBLE) AS avg_confidence, count(*) AS hops FROM g")
+@query(f"WITH {NATIONS} SELECT CAST(round(avg({_SURE}), 6) AS DOUBLE) AS avg_confidence, count(*) AS hops FROM g")
 def avg_confidence(spark, d):
-    return nation_calls(spark, d).agg(F.round(F.avg(F.when(F.col("r") == 1, 0.95).otherwise(0.6)), 6).alias("avg_confidence"), F.count("*").alias("hops"))
+    return _scored(spark, d).agg(F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.count("*").alias("hops"))
 
 
-@query(f"WITH {NATIONS} SELECT CASE WHEN calls >= 900 THEN 'high' WHEN calls >= 700 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM g GROUP BY 1")
+@query(f"WITH {NATIONS} SELECT CASE WHEN {_SURE} >= 0.9 THEN 'high' WHEN {_SURE} >= 0.7 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM g GROUP BY 1")
 def confidence_bands(spark, d):
-    band = F.when(F.col("calls") >= 900, "high").when(F.col("calls") >= 700, "medium").otherwise("low")
-    return nation_calls(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    return _scored(spark, d).groupBy(P.band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PAGES} SELECT page_id, host, path, norm FROM p")
@@ -310,12 +321,6 @@ def shared_dependencies(spark, d):
     return uses.where(F.size("u") >= 2).select("library", F.size("u").cast("bigint").alias("n"), F.array_join("u", ",").alias("used_by"))
 
 
-@query(f"WITH {PAGES}, h AS (SELECT DISTINCT host FROM p) SELECT a.host AS from_service, b.host AS to_service FROM h a JOIN h b ON a.host <> b.host AND regexp_replace(a.host, '^[^.]+\\.', '') = b.host")
-def spec_dependencies(spark, d):
-    h = page_endpoints(spark, d).select("host").distinct()
-    return h.select(F.col("host").alias("from_service"), F.regexp_replace("host", r"^[^.]+\.", "").alias("host")).where("from_service <> host").join(h, "host").select("from_service", F.col("host").alias("to_service"))
-
-
 _DIFF = """k AS (SELECT l_suppkey AS s, l_partkey AS p, o_orderdate < TIMESTAMP '1996-01-01' AS old, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   b AS (SELECT s, p, list_sort(list_distinct(list(f))) AS b FROM k WHERE old GROUP BY ALL), a AS (SELECT s, p, list_sort(list_distinct(list(f))) AS a FROM k WHERE NOT old GROUP BY ALL),
   j AS (SELECT s, p, a, b, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') ELSE '' END AS removed_fields, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') ELSE '' END AS added_fields FROM b FULL JOIN a USING (s, p)),
@@ -326,8 +331,10 @@ _DIFF = """k AS (SELECT l_suppkey AS s, l_partkey AS p, o_orderdate < TIMESTAMP
 def _diffed(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     old = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")
-    side = lambda c: rows.where(c).groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.map_from_entries(F.transform(F.collect_set("l_returnflag"), lambda x: F.struct(x, x))).alias("fields"))
-    return R.diff(side(old), side(~old), ["s", "p"], "fields")
+    fields = F.map_from_entries(F.transform(F.collect_set("l_returnflag"), lambda x: F.struct(x, x)))
+    # both sides come from one aggregation, written once
+    sides = written(rows.groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), old.alias("old")).agg(fields.alias("fields")), "sides")
+    return R.diff(sides.where("old").drop("old"), sides.where("not old").drop("old"), ["s", "p"], "fields")
 
 
 @query(f"WITH {_DIFF} SELECT s, p, change, severity FROM x")

@@ -1,20 +1,185 @@
-"""Source trees and saved documents as DataFrames."""
+"""Source trees as DataFrames: files of a language, interface files, service roots, configuration and saved documents.
+
+Spark's own file sources leave out names that begin with a dot or an underscore, so trees are read by a Python data
+source: the driver lists names only, tasks read the contents. A file that can't be read or decoded is a row with an
+error and without content, so nothing is lost silently.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import os
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Folders below a root that are never read.
+SKIPPED = ["node_modules", "vendor", "dist", "build", ".git", "__pycache__", ".venv", "venv", "env", ".env", "target", "bin", "obj", ".gradle", "coverage", ".nyc_output", ".next", ".nuxt", "out"]
+#: The files that mark the root of a service, in the order in which a folder is judged, with their language.
+MARKERS = [
+    ("go.mod", "go"),
+    ("pom.xml", "java"),
+    ("build.gradle", "java"),
+    ("build.gradle.kts", "java"),
+    ("*.csproj", "csharp"),
+    ("*.sln", "csharp"),
+    ("pyproject.toml", "python"),
+    ("requirements.txt", "python"),
+    ("Pipfile", "python"),
+    ("setup.py", "python"),
+    ("setup.cfg", "python"),
+    ("package.json", "typescript"),
+]
+#: What is read of a language, sources and configuration alike, as patterns of a path below the root.
+LANGUAGES = {
+    "typescript": r"\.(?:ts|tsx|js|mjs)$|(?:^|/)\.env[^/]*$|(?:^|/)package\.json$",
+    "java": r"\.(?:java|kt)$|(?:^|/)(?:application|bootstrap)[^/]*\.(?:properties|ya?ml)$",
+    "csharp": r"\.cs$|(?:^|/)appsettings[^/]*\.json$",
+    "python": r"\.py$|(?:^|/)\.env[^/]*$|(?:^|/)(?:settings|config)[^/]*\.(?:toml|ini|cfg)$",
+    "go": r"\.go$|\.proto$",
+}
+#: Sources that are left out of extraction: tests and generated code.
+TESTS = r"(?:^|/)(?:tests?|__tests__|spec|testdata|migrations)/|\.(?:spec|test|d)\.[jt]sx?$|_test\.go$|(?:^|/)test_[^/]*\.py$|Tests?\.(?:java|kt|cs)$|\.pb\.go$|_pb2(?:_grpc)?\.py$"
+#: Interface files by kind.
+SPECS = r"(?i)(?:^|/)(?:[^/]*\.)?(?:openapi|swagger)\.(?:json|ya?ml)$|(?:^|/)(?:openapi|swagger)/.*\.(?:json|ya?ml)$|(?:^|/)api-(?:spec|docs)\.(?:json|ya?ml)$"
+PROTOS, GRAPHQL = r"\.proto$", r"\.(?:graphql|gql)$|(?:^|/)schema\.(?:ts|js)$"
+#: Files of a listing for each task.
+PART = 200
+SCHEMA = "service string, root string, path string, content string, bytes bigint, modified double, error string"
+
+
+@dataclass
+class _Part(InputPartition):
+    files: list[tuple[str, str, str]]
+
+
+class SourceTree(DataSource):
+    """Format ``source_tree``: options roots (JSON list of [service, folder]), pattern (of paths below a root), skipped (JSON list)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options)
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options):
+        self.roots = json.loads(options["roots"])
+        self.pattern = re.compile(options.get("pattern", ""))
+        self.skipped = set(json.loads(options.get("skipped", json.dumps(SKIPPED))))
+
+    def partitions(self) -> list[_Part]:
+        names = [(service, root, path) for service, root in self.roots for path in walked(root, self.skipped) if self.pattern.search(path)]
+        return [_Part(names[i : i + PART]) for i in range(0, len(names), PART)] or [_Part([])]
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        for service, root, path in part.files:
+            content, size, modified, error = None, None, None, None
+            try:
+                whole = os.path.join(root, path)
+                modified = os.path.getmtime(whole)
+                with open(whole, "rb") as f:
+                    raw = f.read()
+                size, content = len(raw), raw.decode("utf-8-sig")
+            except (OSError, UnicodeDecodeError) as e:
+                error = f"{type(e).__name__}: {e}"
+            yield service, root, path, content, size, modified, error
+
+
+def walked(root: str, skipped: set[str]) -> Iterator[str]:
+    """Paths below a root in order, without folders of those names; the root's own name doesn't count."""
+    for folder, folders, files in os.walk(root):
+        folders[:] = sorted(x for x in folders if x not in skipped)
+        for name in sorted(files):
+            yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
+
 
-#: Folders whose files are never read.
-SKIPPED = ["node_modules", "dist", "build", ".git"]
+def source_files(spark: SparkSession, roots: str | dict[str, str], pattern: str = "", skipped: list[str] = SKIPPED) -> DataFrame:
+    """SCHEMA for the files below a root, or below the root of each service; one that fails has an error in place of content."""
+    named = roots if isinstance(roots, dict) else {os.path.basename(os.path.normpath(roots)): roots}
+    spark.dataSource.register(SourceTree)
+    return spark.read.format("source_tree").options(roots=json.dumps(list(named.items())), pattern=pattern, skipped=json.dumps(skipped)).load()
 
 
-def source_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path and content of the files below ``root`` whose name fits the glob, without those in SKIPPED folders.
+def of_language(files: DataFrame, language: str, tests: bool = False) -> DataFrame:
+    """The files that a language's extraction reads."""
+    out = files.where(F.col("path").rlike(LANGUAGES[language]))
+    return out if tests else out.where(~F.col("path").rlike(TESTS))
 
-    Folders are dropped by the files' metadata, so their contents aren't decoded. An unreadable file is left out.
+
+def of_kind(files: DataFrame, pattern: str) -> DataFrame:
+    """Interface files: SPECS, PROTOS or GRAPHQL."""
+    return files.where(F.col("path").rlike(pattern))
+
+
+def capped(files: DataFrame, most: int = 200) -> DataFrame:
+    """The first files of each service, by path: what data stores and libraries are looked for in."""
+    from pyspark.sql import Window
+
+    return files.withColumn("_r", F.row_number().over(Window.partitionBy("service").orderBy("path"))).where(F.col("_r") <= most).drop("_r")
+
+
+def _rank(name: Column) -> Column:
+    rank = F.lit(None).cast("int")
+    for i, (marker, _) in reversed(list(enumerate(MARKERS))):
+        fits = name.endswith(marker[1:]) if marker.startswith("*") else name == marker
+        rank = F.when(fits, i).otherwise(rank)
+    return rank
+
+
+def service_roots(files: DataFrame, depth: int = 3) -> DataFrame:
+    """(root, folder, depth, marker, language): the uppermost folders with a marker, at most ``depth`` below a root.
+
+    files(root, path, content). A workspace's package.json in the root itself marks nothing. Each folder is joined with
+    its own ancestors, so what lies below a claimed folder is found by an equi join.
     """
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    skipped = "/(" + "|".join(x.replace(".", r"\.") for x in SKIPPED) + ")/"
-    files = read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return files.where(~F.col("path").rlike(skipped))
+    parts = F.split("path", "/")
+    rows = files.select("root", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("folder"), F.element_at(parts, -1).alias("name"), (F.size(parts) - 1).alias("depth"), "content")
+    workspace = (F.col("depth") == 0) & (F.col("name") == "package.json") & F.get_json_object("content", "$.workspaces").isNotNull()
+    marked = rows.withColumn("rank", _rank(F.col("name"))).where(F.col("rank").isNotNull() & (F.col("depth") <= depth) & ~F.coalesce(workspace, F.lit(False)))
+    best = marked.groupBy("root", "folder", "depth").agg(F.min(F.struct("rank", "name")).alias("m"))
+    names = F.array(*[F.lit(x) for _, x in MARKERS])
+    best = best.select("root", "folder", "depth", F.col("m.name").alias("marker"), F.get(names, F.col("m.rank")).alias("language"))
+    steps = F.split("folder", "/")
+    above = best.where("depth > 0").select("root", F.col("folder").alias("own"), F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.array_join(F.slice(steps, 1, i), "/")))).alias("folder")).where("folder <> own")
+    nested = above.join(best.select("root", "folder"), ["root", "folder"], "left_semi").select("root", F.col("own").alias("folder"))
+    return best.join(nested, ["root", "folder"], "left_anti").orderBy("root", "depth", "folder")
+
+
+#: Where a specification of a service is looked for, in order.
+SPEC_PLACES = ["openapi.yaml", "openapi.yml", "openapi.json", "swagger.yaml", "swagger.yml", "swagger.json", "docs/openapi.yaml", "docs/swagger.yaml", "docs/swagger.json", "api/openapi.yaml"]
+
+
+def spec_presence(files: DataFrame) -> DataFrame:
+    """(service, spec_file): the first of SPEC_PLACES that a service has; null without any."""
+    places = F.create_map(*[F.lit(x) for i, p in enumerate(SPEC_PLACES) for x in (p, i)])
+    rank = F.try_element_at(places, F.col("path"))
+    return files.groupBy("service").agg(F.min_by("path", rank).alias("spec_file"))
+
+
+def saved_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A saved output document as one row; without a schema, as a variant column ``document``."""
+    if schema:
+        return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("document"))
+
+
+def settings(folder: str, given: dict, names: tuple[str, ...] = (".wirechart.json", "wirechart.config.json")) -> dict:
+    """The first configuration file of a folder that parses, overlaid with the given values that aren't None."""
+    for name in names:
+        try:
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                found = json.load(f)
+        except (OSError, ValueError):
+            continue
+        return found | {k: v for k, v in given.items() if v is not None}
+    return {k: v for k, v in given.items() if v is not None}
