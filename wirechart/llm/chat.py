@@ -1,14 +1,17 @@
 """Chat formatting: records of any known layout become canonical turns, turns become one marked text with a loss mask.
 
-A layout is known by its fingerprint, a hash of the record's nested field paths without types of leaves. ``Mapping``
-says declaratively where turns are found: a list of messages, or single fields each with a role. Only native
-expressions are used.
+A layout is known by its fingerprint, a hash of the record's nested field paths without types of leaves and without
+fields that say nothing about the layout (``OPTIONAL``). ``Mapping`` says declaratively where turns are found: a list of
+messages, or single fields each with a role. A text may be a string or a list of parts with a text each; null is an
+empty text, and the turn stays. Only native expressions are used.
 
 Escaping: inside a text, a control string gets a backslash after its first character, and one that already looks like
 that gets one more. So no control string is left in a text, and taking one backslash away restores it.
 
 Null texts and roles are empty; turns are ordered by turn, role and text, so ties and repeated rows have one order;
-a null id forms a conversation of its own; unknown layouts give no turns and keep their fingerprint for a report.
+a null id forms a conversation of its own; unknown layouts give no turns and are listed by ``unknown_layouts``. Texts of
+any length are formatted whole, within the size of a variant (128 MiB a conversation). Empty tables give empty results,
+and columns of other names pass through, but for those that a step adds, which replace theirs.
 """
 
 from __future__ import annotations
@@ -46,10 +49,27 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+#: Fields beside a text or a record that don't change how it is read.
+OPTIONAL = ("id", "name", "source", "lang", "language", "model", "created", "timestamp", "score", "weight", "category", "title", "metadata", "tool_call_id", "type")
+
+
 def shape(record: Column) -> Column:
-    """The nested field paths of a variant in one string: its schema without the kinds of leaves."""
+    """The nested field paths of a variant in one string: its schema without the kinds of leaves and without OPTIONAL fields.
+
+    A list of parts as a text counts as a leaf, and so does a list without items.
+    """
     bare = F.regexp_replace(F.schema_of_variant(record), r"(?<=: |ARRAY<)(?!OBJECT|ARRAY)[A-Z]+(\(\d+(,\d+)?\))?", "_")
-    return F.regexp_replace(bare, r"\s", "")
+    bare = F.regexp_replace(bare, r"\s", "")
+    bare = F.regexp_replace(bare, rf"(?<=[<,])(?:{'|'.join(OPTIONAL)}):(?:_|OBJECT<[^<>]*>|ARRAY<_>),?", "")
+    bare = F.regexp_replace(bare, r",(?=>)", "")
+    return F.regexp_replace(bare, r"(?<=\b(?:content|text|value):)ARRAY<(?:OBJECT<(?:[^<>]*)>|_)>", "_")
+
+
+def text_of(record: Column, path: str) -> Column:
+    """The text at a path: a string, or the texts of a list of parts joined; empty for null."""
+    parts = F.try_variant_get(record, path, "array<variant>")
+    part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(~F.startswith(F.schema_of_variant(p), F.lit("OBJECT")), F.try_variant_get(p, "$", "string")), F.lit(""))
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(F.coalesce(F.try_variant_get(record, path, "string"), F.lit("")))
 
 
 def record_fingerprint(record: Column) -> Column:
@@ -62,13 +82,14 @@ class Mapping:
 
     fields: the record's fields, by whose shape it is known: "messages[]:content,role" or "instruction,output".
     messages: path of a list, with the names of its role and text fields; or turns: (role, path) in order.
-    roles: names used by the layout for the canonical roles.
+    roles: names used by the layout for the canonical roles. spare: paths whose turn is left out where the text is empty.
     """
 
     fields: str
     messages: tuple[str, str, str] | None = None
     turns: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
+    spare: tuple[str, ...] = ()
 
     @property
     def shape(self) -> str:
@@ -76,7 +97,8 @@ class Mapping:
         parts = []
         for part in sorted(self.fields.split(" ")):
             name, _, inner = part.partition("[]:")
-            parts.append(f"{name}:ARRAY<OBJECT<{','.join(f'{x}:_' for x in sorted(inner.split(',')))}>>" if inner else f"{name}:_")
+            # a name with [] and no fields stands for a list without items
+            parts.append(f"{name}:ARRAY<OBJECT<{','.join(f'{x}:_' for x in sorted(inner.split(',')))}>>" if inner else f"{name[:-2]}:ARRAY<_>" if name.endswith("[]") else f"{name}:_")
         return f"OBJECT<{','.join(parts)}>"
 
     @property
@@ -90,9 +112,10 @@ class Mapping:
             names = F.create_map(*[F.lit(x) for pair in self.roles.items() for x in pair]) if self.roles else None
             own = lambda m: F.coalesce(F.try_variant_get(m, f"$.{role}", "string"), F.lit(""))
             known = (lambda m: F.coalesce(F.element_at(names, own(m)), own(m))) if names is not None else own
-            return F.transform(items, lambda m: F.struct(known(m).alias("role"), F.coalesce(F.try_variant_get(m, f"$.{text}", "string"), F.lit("")).alias("text")))
-        found = [F.struct(F.lit(role).alias("role"), F.try_variant_get(record, f"$.{path}", "string").alias("text")) for role, path in self.turns]
-        return F.filter(F.array(*found), lambda t: t["text"].isNotNull() & ((t["text"] != "") | (t["role"] == "assistant")))
+            return F.transform(items, lambda m: F.struct(known(m).alias("role"), text_of(m, f"$.{text}").alias("text")))
+        turn = lambda role, path: F.struct(F.lit(role).alias("role"), text_of(record, f"$.{path}").alias("text"))
+        found = F.array(*[F.when(text_of(record, f"$.{path}") != "", turn(role, path)) if path in self.spare else turn(role, path) for role, path in self.turns])
+        return F.array_compact(found)
 
 
 #: Layouts that are known without further configuration.
@@ -104,8 +127,9 @@ MAPPINGS = (
     Mapping("completion prompt", turns=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt response", turns=(("user", "prompt"), ("assistant", "response"))),
     Mapping("instruction output", turns=(("user", "instruction"), ("assistant", "output"))),
-    Mapping("input instruction output", turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Mapping("prompt response system", turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping("input instruction output", turns=(("user", "instruction"), ("user", "input"), ("assistant", "output")), spare=("input",)),
+    Mapping("prompt response system", turns=(("system", "system"), ("user", "prompt"), ("assistant", "response")), spare=("system",)),
+    *[Mapping(x, messages=(x[:-2], "role", "content")) for x in ("messages[]", "turns[]", "conversations[]")],
     Mapping("answer question", turns=(("user", "question"), ("assistant", "answer"))),
 )
 
@@ -118,6 +142,11 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     return records.withColumn("fingerprint", record_fingerprint(F.col(record))).withColumn("turns", found)
 
 
+def unknown_layouts(records: DataFrame, record: str = "record") -> DataFrame:
+    """(fingerprint, shape, n) of canonical_turns' rows that no mapping reads."""
+    return records.where("turns is null").groupBy("fingerprint", shape(F.col(record)).alias("shape")).agg(F.count("*").alias("n"))
+
+
 #: Schemas of tables with a row for each turn, by the hash of their paths: the columns of conversation, order, role and text.
 ROW_LAYOUTS = {
     fingerprint(["conv_id", "turn", "role", "text"]): ("conv_id", "turn", "role", "text"),
@@ -137,6 +166,12 @@ def turns_of_rows(rows: DataFrame, columns: tuple[str, str, str, str] | None = N
     return packed.select("conv_id", F.transform("sorted", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
+def records_of_rows(rows: DataFrame) -> DataFrame:
+    """(conv_id, record) from a table with a row for each turn: one variant a conversation, in the layout that ``turns[]:role,text`` reads."""
+    turns = turns_of_rows(rows)
+    return turns.select("conv_id", F.to_variant_object(F.struct("turns")).alias("record"))
+
+
 def formatted(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turns): adds the text and loss_mask, an array of (start, length) in code points, from 0."""
     marked = lambda t: F.concat(F.lit(START + OPEN), escaped(t["role"]), F.lit(CLOSE), escaped(t["text"]), F.lit(END))

@@ -15,7 +15,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = F.lit("</s>[INST] ok [/INST]")
     more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), ok.alias("text"))
-    out = chat.formatted(chat.turns_of_rows(rows.unionByName(more)))
+    # every conversation becomes a record of one of two layouts, and each record is read by its own fingerprint
+    record = chat.records_of_rows(rows.unionByName(more))
+    other = F.to_variant_object(F.struct(F.transform(F.try_variant_get("record", "$.turns", "array<struct<role: string, text: string>>"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    record = record.withColumn("record", F.when(F.col("conv_id") % 2 == 0, other).otherwise(F.col("record")))
+    out = chat.formatted(chat.canonical_turns(record).select("conv_id", "turns"))
     out = out.withColumn("back", chat.read_back(F.col("text"))).withColumn("loss", F.array_join(chat.loss_texts(F.col("text"), F.col("loss_mask")), ""))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("text").cast("bigint").alias("formatted_chars"))
