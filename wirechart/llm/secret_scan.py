@@ -2,19 +2,22 @@
 
 The forest is trained on labelled findings (value, before, path, label); ``labelled_findings`` makes at most
 ``LABELLED`` of them by rule, and a caller's own table with the same columns may take its place. All features are
-native expressions on the whole candidate, however long: its length, its character transitions, the part of it that dictionary words cover,
-its path and the words beside it. Fitting and scoring stay on the JVM; each text is scanned whole, and a finding is a row.
-A private key goes on to its END line; one without is its header line.
+native expressions on the whole candidate, however long: its length, how likely its letters follow one another, the
+part of it that dictionary words cover, its path and the words beside it. The dictionary is the ``WORDS_KEPT`` most
+frequent words of all texts, counted over the whole table, and the transitions are those of its words; the driver sees
+those words alone. Fitting and scoring stay on the JVM; each text is scanned whole, and a finding is a row. A private
+key goes on to its END line; one without is its header line.
 
 Null and empty texts have no candidates; null ids and paths are kept; repeated rows repeat their findings; an empty
-table gives no findings. Other columns play no part.
+table gives no findings. Columns of other names play no part.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import string
-
+from collections import Counter
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,8 @@ if TYPE_CHECKING:
     from pyspark.ml.classification import RandomForestClassificationModel
 
 LABELLED, TREES, DEPTH, SEED = 3000, 30, 7, 7
+#: Words of the dictionary, and their least and greatest length.
+WORDS_KEPT, SHORTEST, LONGEST = 2000, 3, 24
 KINDS = {
     "aws_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}+",
@@ -36,11 +41,13 @@ KINDS = {
     "opaque": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 PATTERN = "|".join(KINDS.values())
-WORDS = ("password", "secret", "example", "sample", "token", "test", "user", "admin", "change", "your", "here", "value", "null", "none", "true", "false", "key", "api", "config", "default", "string", "dummy", "fake", "index", "http", "www", "com", "name", "data", "file", "path", "main", "service", "the", "and", "tion", "ing", "ent", "for", "with", "that", "this")
+#: Words of names and settings that prose may lack.
+WORDS = ("password", "secret", "example", "sample", "token", "test", "user", "admin", "change", "your", "here", "value", "null", "none", "true", "false", "key", "api", "config", "default", "string", "dummy", "fake", "index", "http", "www", "com", "name", "data", "file", "path", "main", "service")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 SECRET_WORDS = r"(?i)(password|passwd|pwd|secret|token|key|credential|auth|login|bearer)\W*$|(?i)(password|passwd|secret|token|key|credential)"
 DIGEST_WORDS = r"(?i)(sha1|sha256|md5|commit|digest|checksum|hash|uuid|etag|revision|integrity)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your|xxxx|\*\*\*|<|\$\{|test)"
-FEATURES = ("f_length", "f_transitions", "f_pairs", "f_digits", "f_capitals", "f_distinct", "f_covered", "f_hex", "f_prefix", "f_secret_near", "f_digest_near", "f_placeholder", "f_test_path")
+FEATURES = ("f_length", "f_transitions", "f_runs", "f_digits", "f_capitals", "f_distinct", "f_covered", "f_hex", "f_prefix", "f_secret_near", "f_digest_near", "f_placeholder", "f_test_path")
 
 
 def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
@@ -64,7 +71,26 @@ def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
     return rows.select("doc_id", "path", "n", "start", "length", "kind", value.alias("value"), named.alias("before"))
 
 
-def features(findings: DataFrame) -> DataFrame:
+def dictionary(documents: DataFrame, kept: int = WORDS_KEPT) -> list[tuple[str, int]]:
+    """The most frequent lower-case words of all texts with their counts, at most ``kept``, and WORDS once each."""
+    words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\w-])[a-z]{{{SHORTEST},{LONGEST}}}(?![\w-])"), F.lit(0))).alias("word"))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(kept)
+    found = Counter({r.word: r["count"] for r in top.toLocalIterator()})
+    found.update(WORDS)
+    return sorted(found.items())
+
+
+def transitions(words: list[tuple[str, int]]) -> list[float]:
+    """Log probability of each letter after each other, with additive smoothing, row by row of the alphabet; a word's count weighs by its logarithm."""
+    n = len(_ALPHABET)
+    counts = [[0.5] * n for _ in range(n)]
+    for word, times in words:
+        for a, b in zip(word, word[1:]):
+            counts[_ALPHABET.index(a)][_ALPHABET.index(b)] += 1 + math.log(times)
+    return [math.log(x / sum(row)) for row in counts for x in row]
+
+
+def features(findings: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
     """Adds the FEATURES of findings(value, before, path)."""
     value, before, path = (F.coalesce(F.col(c), F.lit("")) for c in ("value", "before", "path"))
     size = F.greatest(F.length(value), F.lit(1))
@@ -72,14 +98,21 @@ def features(findings: DataFrame) -> DataFrame:
     removed = lambda c, pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1"), "[^aB1]", "-")
     yes = lambda c: c.cast("double")
+    # places of letters in the alphabet, 0 for anything else; what isn't a pair of letters is as unlikely as the rarest pair
+    table = transitions(words)
+    likely = F.array(*[F.lit(x) for x in table])
+    places = F.transform(F.split(F.lower(value), ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(_ALPHABET), c)))
+    pair = lambda a, b: F.when((a > 0) & (b > 0), F.get(likely, (a - 1) * len(_ALPHABET) + b - 1)).otherwise(F.lit(min(table)))
+    steps = F.zip_with(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, 2, F.size(places)), pair)
+    known = "|".join(sorted((w for w, _ in words), key=lambda w: (-len(w), w)))
     return findings.withColumns({
         "f_length": F.log1p(F.length(value).cast("double")),
-        "f_transitions": share(F.length(F.regexp_replace(kinds, r"(.)\1*", "x"))),
-        "f_pairs": share(removed(F.lower(value), r"(?:[bcdfghjklmnpqrstvwxz][aeiouy]|[aeiouy][bcdfghjklmnpqrstvwxz])")),
-        "f_digits": share(removed(value, "[^0-9]") * -1 + F.length(value)),
+        "f_transitions": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(steps), F.lit(1)),
+        "f_runs": share(F.length(F.regexp_replace(kinds, r"(.)\1*", "x"))),
+        "f_digits": share(removed(value, "[0-9]")),
         "f_capitals": share(removed(value, "[A-Z]")),
         "f_distinct": share(F.size(F.array_distinct(F.split(value, "")))),
-        "f_covered": share(removed(F.lower(value), "|".join(WORDS))),
+        "f_covered": share(removed(F.lower(value), f"(?:{known})")),
         "f_hex": yes(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "f_prefix": yes(value.rlike(r"^(AKIA|gh[pousr]_|xox[abprs]-|AIza|[rs]k_live_|eyJ|-----BEGIN)")),
         "f_secret_near": yes(before.rlike(SECRET_WORDS)),
@@ -133,28 +166,32 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
     return spark.createDataFrame(rows, "value string, before string, path string, label double")
 
 
-def _vectors(findings: DataFrame) -> DataFrame:
+def _vectors(findings: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings))
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings, words))
 
 
-def trained(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
-    from pyspark.ml.classification import RandomForestClassifier
+class Scanner:
+    """A forest with the dictionary that its features were made from."""
 
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(_vectors(labelled))
+    def __init__(self, labelled: DataFrame, words: list[tuple[str, int]], trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+        from pyspark.ml.classification import RandomForestClassifier
 
+        self.words = words
+        self.forest: RandomForestClassificationModel = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(_vectors(labelled, words))
 
-def scored(findings: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """Findings with score, the forest's share of votes for a secret, and is_secret."""
-    from pyspark.ml.functions import vector_to_array
+    def scored(self, findings: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """Findings with score, the forest's share of votes for a secret, and is_secret."""
+        from pyspark.ml.functions import vector_to_array
 
-    score: Column = vector_to_array("probability")[1]
-    out = model.transform(_vectors(findings)).withColumn("score", score)
-    return out.select(*findings.columns, "score", (F.col("score") >= threshold).alias("is_secret"))
+        score: Column = vector_to_array("probability")[1]
+        out = self.forest.transform(_vectors(findings, self.words)).withColumn("score", score)
+        return out.select(*findings.columns, "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
-def scan(documents: DataFrame, model: RandomForestClassificationModel | None = None, path: str = "source") -> DataFrame:
-    """Every candidate of every whole text with its score and verdict."""
-    model = model or trained(labelled_findings(documents.sparkSession))
-    return scored(candidates(documents, path), model)
+def scan(documents: DataFrame, scanner: Scanner | None = None, path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
+    """Every candidate of every whole text with its score and verdict; without a scanner, one is trained on the documents' own dictionary."""
+    if scanner is None:
+        scanner = Scanner(labelled_findings(documents.sparkSession) if labelled is None else labelled, dictionary(documents))
+    return scanner.scored(candidates(documents, path))
