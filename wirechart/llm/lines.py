@@ -173,7 +173,8 @@ def _placed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     placed = placed.select("doc_id", "line", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("root").isNull(), F.col("key_b")).otherwise(0).alias("rest"))
     placed = stored(placed, "placed")
     classes = placed.groupBy("root", "rest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return placed, classes.select("root", "rest", "first")
+    # a written table has a known size: a small one is broadcast, and a hot class of a large one is split by the join
+    return placed, stored(classes.select("root", "rest", "first"), "classes")
 
 
 def _is_first() -> Column:
@@ -193,7 +194,7 @@ def drop_lines(documents: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     gone = placed.join(classes, ["root", "rest"]).where(~_is_first()).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     columns = [c for c in keep or documents.columns if c != "n_removed"]
     rows = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id")).join(gone, "doc_id", "left")
-    lines = F.split("row.text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    # the lines are split once: as an element, not again for each of them
+    kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.element_at(F.transform(F.array(F.split("row.text", "\n")), kept), 1))
     return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns], F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
