@@ -4,7 +4,8 @@ Pieces are dealt to tasks by a hash, in numbers that follow their total; each ta
 bitset keyed by free space. A piece goes to the open bin with the least room that holds it; when a new bin is needed and
 all are open, the fullest closes. Only pieces' lengths move, never their tokens.
 
-Null and empty texts are one piece that holds only the end id. Rows with null or repeated ids are packed as documents of their own.
+Null and empty texts are one piece that holds only the end id. Rows with null or repeated ids are packed as documents of their own;
+texts of any length are cut into pieces whole. Empty tables give empty results, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
-from wirechart.llm.shared import stored
+from wirechart.llm.shared import TEXTS, stored
 from wirechart.llm.tokens import cached
 
 SEQUENCE, END, OPEN = 4096, 1, 2048
@@ -93,10 +94,10 @@ def pack(documents: DataFrame, name: str, size: int = SEQUENCE, end: int = END,
     """Per piece of documents(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     kind = dict(documents.dtypes)["doc_id"]
     cut = documents.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, name, size, end), f"doc_id {kind}, piece int, length bigint, ids_crc32 bigint")
-    cut = stored(cut, "pieces")
+    cut = stored(cut, "pieces", TEXTS)
     tasks = max(1, round(cut.count() / dealt))
     # the order within a task is a hash's, so it is the same when a task runs again and mixes long and short pieces
     order = [F.xxhash64("doc_id", "piece", "ids_crc32"), *cut.columns]
-    rows = cut.repartition(tasks, F.xxhash64("doc_id", "piece", "length")).sortWithinPartitions(*order)
+    rows = cut.repartition(tasks, F.xxhash64("doc_id", "piece", "length", "ids_crc32")).sortWithinPartitions(*order)
     out = rows.mapInArrow(lambda it: _pack(it, size, most_open), f"doc_id {kind}, piece int, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return out.select("doc_id", "piece", (F.col("piece").cast("bigint") * size).alias("start"), "length", "ids_crc32", "sequence_id", "offset")
