@@ -233,7 +233,7 @@ def resolve(calls: DataFrame, services: DataFrame, hints: DataFrame, endpoints:
     best = best.groupBy("call_id").agg(F.min(F.struct("rank", "tie", "target", "resolved_path")).alias("b"))
     sure = F.create_map(*[F.lit(x) for pair in ({"0": 0.95} | CONFIDENCE).items() for x in pair])
     found = best.select("call_id", c("b.target").alias("resolved_service"), c("b.resolved_path").alias("resolved_path"), F.element_at(sure, c("b.rank")).alias("confidence"), c("b.rank").alias("rank"))
-    return calls.drop("url_host", "var").join(found, "call_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    return calls.drop("url_host", "var", "confidence", "rank").join(found, "call_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
 def target_endpoints(resolved: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -191,8 +191,97 @@ _SIDES = """x AS (SELECT o_orderkey % 50 AS a, o_orderkey AS seq, 'T' || o_order
 @query(f"""WITH {_SIDES} SELECT 's' AS service, 'POST' AS method, '/' || a AS path, CASE WHEN nc THEN 'removed' WHEN nb THEN 'added' WHEN fb <> fc OR tb <> tc THEN 'changed' ELSE 'same' END AS change,
   CASE WHEN nc THEN 'breaking' WHEN nb THEN 'non-breaking' WHEN fb <> fc OR tb <> tc THEN 'breaking' ELSE 'none' END AS severity, CASE WHEN NOT nb AND NOT nc AND fb <> fc THEN 'f' || fb ELSE '' END AS removed_fields, CASE WHEN NOT nb AND NOT nc AND fb <> fc THEN 'f' || fc ELSE '' END AS added_fields FROM j""")
 def diff_documents(spark, d):
+    return _document_changes(spark, d).select("service", "method", "path", "change", "severity", "removed_fields", "added_fields")
+
+
+def _document_changes(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
     rows = o.select(F.lit("s").alias("service"), F.lit("POST").alias("method"), F.concat(F.lit("/"), (k % 50).cast("string")).alias("path"), k.alias("seq"), F.concat(F.lit("T"), "o_orderstatus").alias("body_type"), F.create_map(F.concat(F.lit("f"), (k % 7).cast("string")), F.lit("string")).alias("body_fields"), F.lit(None).cast("string").alias("response_type"), F.lit(None).cast("map<string, string>").alias("response_fields"), (k % 3).alias("m"), (k % 50 % 11).alias("g"))
     before, after = rows.where("m = 0 and g <> 1").drop("m", "g"), rows.where("m = 1 and g <> 2").drop("m", "g")
-    return P.diff_documents(before, after).select("service", "method", "path", "change", "severity", "removed_fields", "added_fields")
+    return P.diff_documents(before, after)
+
+
+@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, CAST(3 * i + 2 AS INTEGER) AS line, s % 4 <> 3 AS conditional, CASE WHEN s % 4 <> 3 THEN 'if x' || s END AS condition_hint FROM h WHERE n % 5 = 1")
+def conditional_calls(spark, d):
+    body = F.when(F.col("s") % 4 == 3, "public void f<s>() {\n  call();\n}\n").otherwise("if (x<s>) {\n  call();\n}\n")
+    h = trees.handlers(spark, d).where("n % 5 = 1")
+    text = F.replace(body, F.lit("<s>"), F.col("s").cast("string"))
+    name = F.concat(F.lit("nation-"), F.col("n").cast("string")).alias("service")
+    files = h.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", text.alias("a")))), lambda x: x["a"]), "").alias("content")).withColumn("path", F.lit("A.java"))
+    made = h.select(name, F.lit("A.java").alias("path"), (3 * F.col("i") + 2).alias("line"))
+    return C.conditional(made, files).select("service", "line", "conditional", "condition_hint")
+
+
+def _registry(spark, d):
+    t = trees.graph_inputs(spark, d)
+    return t, S.registry(S.registry_writes(t["services"], t["hints"], t["endpoints"]))
+
+
+@query(f"""WITH {HANDLERS}, m AS (SELECT DISTINCT n, t FROM h), k AS (SELECT n, t, 'NEXT_NATION_' || lpad(CAST(t AS VARCHAR), 2, '0') || '_URL' AS key FROM m WHERE t // 10 <> n)
+  SELECT 'client' AS map, 'nation-' || n AS map_key, 'nation-' || n AS service FROM m UNION ALL SELECT 'client', 'nation' || n, 'nation-' || n FROM m UNION ALL SELECT 'host', 'inner-' || t, 'nation-' || (t // 10) FROM k UNION ALL SELECT 'env', key, 'nation-' || (t // 10) FROM k""")
+def registry_maps(spark, d):
+    return _registry(spark, d)[1].where("map <> 'fragment'").select("map", "map_key", "service")
+
+
+@query(f"""WITH {HANDLERS}, c AS (SELECT *, s % 5 AS f, 'nation-' || (t // 10) AS up FROM h WHERE t // 10 <> n) SELECT s AS call_id, CASE f WHEN 0 THEN '2b' WHEN 1 THEN '4a' WHEN 2 THEN '5a' WHEN 3 THEN '3c' ELSE '3b' END AS rank,
+  CASE WHEN f < 3 THEN up ELSE 'nation-' || t END AS resolved_service, CASE f WHEN 0 THEN '/x' WHEN 1 THEN '/y' WHEN 2 THEN '/z/{{x}}' WHEN 4 THEN '/w' END AS resolved_path, CAST(CASE f WHEN 1 THEN 0.95 ELSE 0.85 END AS DOUBLE) AS confidence FROM c""")
+def resolve_by_hints(spark, d):
+    t, maps = _registry(spark, d)
+    h = trees.handlers(spark, d).where("cast(t div 10 as int) <> n")
+    form, key, to = F.col("s") % 5, F.concat(F.lit("NEXT_NATION_"), F.lpad(F.col("t").cast("string"), 2, "0"), F.lit("_URL")), F.col("t").cast("string")
+    url = F.when(form == 0, key).when(form == 1, F.concat(F.lit("http://inner-"), to, F.lit("/y"))).when(form == 2, F.concat(F.lit("${"), key, F.lit("}/z/${id}"))).when(form == 3, F.concat(F.lit("nation"), to)).otherwise(F.concat(F.lit("lb://Nation"), to, F.lit("Service/w")))
+    made = h.select(F.col("s").alias("call_id"), F.col("n").alias("svc_seq"), F.col("i").alias("ep_seq"), F.lit(1).alias("call_seq"), F.concat(F.lit("nation-"), F.col("n").cast("string")).alias("service"), F.lit("GET").alias("method"), url.alias("raw_url"), F.lit(None).cast("string").alias("pre_service"), F.lit(None).cast("string").alias("pre_path"))
+    out = S.resolve(made, t["services"], t["hints"], t["endpoints"], maps)
+    return out.select("call_id", "rank", "resolved_service", "resolved_path", "confidence")
+
+
+def _endpoint_edges(spark, d):
+    h = trees.handlers(spark, d)
+    name = lambda c: F.concat(F.lit("nation-"), F.col(c).cast("string"))
+    label = lambda c, i: F.concat(F.lit("GET /"), name(c), F.lit("/supplier/"), i.cast("string"))
+    return h.select(name("n").alias("from_service"), label("n", F.col("i")).alias("from_endpoint"), name("t").alias("to_service"), label("t", F.lit(0)).alias("to_endpoint"), F.when(F.col("s") % 2 == 0, 0.95).otherwise(0.6).alias("confidence"), F.col("i").alias("edge_seq"))
+
+
+@query(f"WITH {HANDLERS}, n AS (SELECT DISTINCT n FROM h) SELECT DISTINCT 'nation-' || h.n AS from_service, 'nation' || h.n AS from_controller, 'nation-' || t AS to_service, 'nation' || t AS to_controller FROM h JOIN n ON n.n = h.t")
+def controller_edges(spark, d):
+    ends = trees.graph_inputs(spark, d)["endpoints"].withColumn("path", F.concat(F.lit("src/nation"), F.col("svc_seq").cast("string"), F.lit(".controller.ts")))
+    return P.controller_edges(_endpoint_edges(spark, d), ends)
+
+
+@query(f"WITH {HANDLERS}, m AS (SELECT n, count(*) AS k FROM h GROUP BY n) SELECT 'nation-' || n AS service, CASE WHEN n % 2 = 0 THEN 'go' ELSE 'unknown' END AS language, CASE WHEN n % 2 = 0 THEN 'gin' ELSE 'unknown' END AS framework, k AS endpoints, CASE WHEN n % 2 = 0 THEN 'source' ELSE 'specification' END AS origin FROM m")
+def graph_nodes(spark, d):
+    both = trees.graph_inputs(spark, d)["endpoints"].groupBy("service", "svc_seq").agg(F.count("*").alias("endpoints")).withColumns({"language": F.lit("go"), "framework": F.lit("gin")})
+    return P.graph_nodes(both.where("svc_seq % 2 = 0"), both)
+
+
+@query(f"WITH {HANDLERS}, e AS (SELECT 'nation-' || n AS from_service, 'nation-' || t AS to_service, n, s FROM h) SELECT from_service, to_service, count(*) AS n FROM e WHERE (from_service, to_service) IN (SELECT from_service, to_service FROM e WHERE n % 4 = 0) GROUP BY 1, 2")
+def chain_subgraph(spark, d):
+    edges = _endpoint_edges(spark, d)
+    chain = edges.where(F.regexp_extract("from_service", r"(\d+)$", 1).cast("int") % 4 == 0)
+    return P.chain_subgraph(edges, chain)[0].groupBy("from_service", "to_service").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, 'nation-' || t AS to_service, s % 2 = 0 AS sure FROM h WHERE s % 2 = 0 AND (n % 3 = 0 OR t % 3 = 0)")
+def shown_edges(spark, d):
+    chosen = trees.graph_inputs(spark, d)["services"].where("svc_seq % 3 = 0")
+    return P.shown_edges(_endpoint_edges(spark, d), 0.7, chosen).select(F.col("from_service").alias("service"), "to_service", (F.col("confidence") > 0.9).alias("sure"))
+
+
+@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, 'GET' AS method, '/nation-' || n || '/supplier/' || i AS full_path FROM h WHERE contains('/nation-' || n || '/supplier/' || i, 'n-1')")
+def search_endpoints(spark, d):
+    nothing = F.lit(None).cast("string")
+    return P.search(trees.graph_inputs(spark, d)["endpoints"].withColumns({"summary": nothing, "controller": nothing}), "N-1").select("service", "method", "full_path")
+
+
+@query(f"""WITH {_SIDES}, r AS (SELECT a, nb, nc, fb, fc, CASE WHEN nc THEN 'removed' WHEN nb THEN 'added' WHEN fb <> fc OR tb <> tc THEN 'changed' END AS change FROM j)
+  SELECT CASE WHEN change = 'added' THEN 1 ELSE 0 END AS n, CASE WHEN change = 'added' THEN 'NON-BREAKING ' ELSE 'BREAKING ' END || change || ' s:POST /' || a || CASE WHEN change = 'changed' AND fb <> fc THEN ' -f' || fb || ' +f' || fc ELSE '' END AS text FROM r WHERE change IS NOT NULL""")
+def diff_report(spark, d):
+    return P.diff_report(_document_changes(spark, d))
+
+
+@query("SELECT 0 AS n, 'ERROR circular-dependency: ' || n_name || ' (' || n_regionkey || ')' AS text FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 2, 'INFO isolated: ' || n_name || ' (' || n_regionkey || ')' FROM nation WHERE n_nationkey % 3 <> 0")
+def insight_lines(spark, d):
+    third = F.col("n_nationkey") % 3 == 0
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.when(third, "error").otherwise("info").alias("severity"), F.when(third, "circular-dependency").otherwise("isolated").alias("type"), F.col("n_name").alias("subject"), F.col("n_regionkey").cast("bigint").alias("n"))
+    return P.insight_lines(rows)

@@ -1,0 +1,103 @@
+"""A whole scan: from the folders of services to every table of the model."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wirechart.operators import calls as C
+from wirechart.operators import detect as D
+from wirechart.operators import endpoints as E
+from wirechart.operators import facts as T
+from wirechart.operators import interfaces as I
+from wirechart.operators import reports as P
+from wirechart.operators import resolve as S
+from wirechart.operators import usage as U
+from wirechart.plugins import Registry, registry
+from wirechart.sources import files as sources
+from wirechart.storage import written
+
+#: Express handlers are often passed by name: their calls are looked for so many lines after the route.
+EXPRESS_REACH = 20
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def extract(files: DataFrame, plugins: Registry = registry) -> dict[str, DataFrame]:
+    """services, endpoints, calls, hints, types, messages, stores and imports of files(service, path, content).
+
+    Every service is read by the language that detection finds; GraphQL and, in Go, proto files add endpoints.
+    """
+    detected = written(D.detect(files, plugins.rules()), "services")
+    tables: dict[str, list[DataFrame]] = {x: [] for x in ("endpoints", "calls", "hints", "types", "messages", "stores", "imports")}
+    present = {r.language for r in detected.select("language").distinct().collect()}
+    # without any known language one stands for the columns of the empty tables
+    for language in [x for x in sources.LANGUAGES if x in present] or ["typescript"]:
+        own = files.join(detected.where(F.col("language") == language).select("service"), "service", "left_semi")
+        own = sources.of_language(own, language).select("service", "path", "content")
+        found = written(E.richest(E.endpoints(own, language)), "endpoints")
+        tables["endpoints"].append(found)
+        made = [C.outbound_calls(own, language), C.grpc_calls(own, language), C.graphql_calls(own)]
+        if language == "java":
+            made.append(C.feign_calls(own))
+        made = _all(made)
+        near = C.by_handler(made, found.where("framework <> 'express'"), own, language)
+        if language == "typescript":
+            near = near.unionByName(C.by_handler(made, found.where("framework = 'express'"), own, language, EXPRESS_REACH), allowMissingColumns=True)
+        tables["calls"].append(C.conditional(near, own))
+        tables["hints"].append(T.url_hints(own, language))
+        tables["types"].append(T.payload_types(own, language))
+        tables["messages"].append(U.messages(own, language))
+        tables["stores"].append(U.stores(sources.capped(own), language))
+        tables["imports"].append(U.imports(own, language).where(U.internal(F.col("import_path"), language)))
+    schemas = sources.of_kind(files, sources.GRAPHQL)
+    declared = I.graphql_endpoints(schemas).withColumnRenamed("endpoint", "full_path").withColumn("route", F.col("full_path"))
+    rpcs = I.grpc_endpoints(sources.of_kind(files, sources.PROTOS)).withColumnRenamed("endpoint", "full_path").withColumn("route", F.col("full_path"))
+    places = files.select("service", "path")
+    tables["endpoints"].append(declared.join(places, "path").withColumn("line", F.lit(0)))
+    tables["endpoints"].append(rpcs.join(places, "path").withColumn("line", F.lit(0)).join(detected.where("language = 'go'").select("service"), "service", "left_semi"))
+    if (more := plugins.endpoints(files, detected)) is not None:
+        tables["endpoints"].append(more)
+    return {"services": detected} | {name: written(_all(parts), name) for name, parts in tables.items()}
+
+
+def connect(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """resolved calls, chains, their edges and shared libraries of extracted tables."""
+    order = F.row_number().over(Window.orderBy("service")) - 1  # services are few; calls and endpoints are numbered within them
+    services = written(tables["services"].select("service").withColumn("svc_seq", order), "numbered")
+    own = Window.partitionBy("service").orderBy("path", "line", "method", "full_path")
+    ends = tables["endpoints"].withColumn("ep_seq", F.row_number().over(own) - 1).join(services, "service").withColumn("path_", F.concat(F.lit("/"), F.regexp_replace("route", "^/", "")))
+    place = ends.select("service", "path", F.col("line").alias("head"), "svc_seq", "ep_seq")
+    calls = tables["calls"].join(first_at(place), ["service", "path", "head"]).withColumn("call_id", F.xxhash64("service", "path", "line", "call_seq", "raw_url"))
+    for c in ("pre_service", "pre_path"):
+        if c not in calls.columns:
+            calls = calls.withColumn(c, F.lit(None).cast("string"))
+    ends = written(ends.select("svc_seq", "ep_seq", "service", "method", F.col("path_").alias("path"), "full_path", F.col("path").alias("file"), "request", "response", "summary"), "ends")
+    hints = tables["hints"].join(services, "service").withColumn("hint_seq", F.row_number().over(Window.partitionBy("service").orderBy("path", "line", "key")) - 1)
+    maps = S.registry(S.registry_writes(services, written(hints, "hints"), ends))
+    resolved = written(S.resolve(written(calls, "calls"), services, hints, ends, maps), "resolved")
+    chains = written(S.call_chains(ends, resolved, S.target_endpoints(resolved, ends)), "chains")
+    return {"numbered_endpoints": ends, "resolved": resolved, "chains": chains, "edges": S.chain_edges(chains), "libraries": U.shared_libraries(tables["imports"])}
+
+
+def first_at(place: DataFrame) -> DataFrame:
+    """One endpoint for each place: several methods of one handler share its calls."""
+    return place.groupBy("service", "path", "head").agg(F.min(F.struct("svc_seq", "ep_seq")).alias("e")).select("service", "path", "head", "e.svc_seq", "e.ep_seq")
+
+
+def scan(spark: SparkSession, roots: dict[str, str], plugins: Registry = registry) -> dict[str, DataFrame]:
+    """All tables for the folders of named services; specifications come with their endpoints and dependencies."""
+    files = written(sources.source_files(spark, roots).where("error is null"), "files")
+    tables = extract(files.select("service", "path", "content"), plugins)
+    documents = sources.of_kind(files, sources.SPECS).select(F.concat_ws("/", "service", "path").alias("path"), "content")
+    specs = I.openapi_specs(documents)
+    return tables | connect(tables) | {"specs": specs, "spec_endpoints": I.openapi_endpoints(documents), "dependencies": I.spec_dependencies(specs), "files": files.drop("content")}
+
+
+def save_scan(tables: dict[str, DataFrame], path: str) -> None:
+    """Every table of a scan as JSON lines below path."""
+    P.save(path, **{n: t for n, t in tables.items() if n != "files"})
