@@ -1,4 +1,9 @@
-"""A training corpus from ``documents`` in five stages, each an operator of ``wirechart.llm`` on what the one before kept."""
+"""A training corpus from ``documents`` in five stages, each an operator of ``wirechart.llm`` on what the one before kept.
+
+Odd rows fare as in each operator: null and empty texts fail the quality rules; rows with a null id keep their lines and are
+in no group of copies; rows that share an id are one document to the dedups; texts of any length are read whole; empty
+tables give no rows at every stage; columns beside those of documents pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirechart.llm import decontam, lines, near, packing, quality
-from wirechart.llm.shared import read, stored
+from wirechart.llm.shared import mark, read, release, stored
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -52,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written as Parquet and read again, and what it was made from goes then."""
+    docs, begun = read(spark, sf_dir, "documents"), mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
+            release(begun, keep=1)
     return docs
