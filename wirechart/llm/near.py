@@ -8,7 +8,8 @@ and links become components; then a crowded region that holds several components
 A pair at the threshold of 0.8 shares no prefix in any tree with a chance of (1 - 0.8**4)**16 = 2e-4, one at 0.9 of 2e-8.
 
 Documents without words or with a null text are linked with nothing. Rows with a null id are left alone; rows that
-share an id are one document. Empty tables give empty results, and other columns play no part.
+share an id are one document. Texts of any length are read whole. Empty tables give empty results, and other columns play
+no part.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ only rows of the arcs that it takes and overflow.
 
 The driver sees one count for each arc, a number set by parameters and not by the data. Rows are ranked within their
 arc only, and a slot is the arc's base in its shard plus that rank, so no shard is gathered in a task. Ties and repeated
-rows have ranks of their own; null ids hash like any value, null texts have size 8 and checksum 0.
+rows have ranks of their own; null ids hash like any value, null texts have size 8 and checksum 0. Texts of any length are
+read whole, an empty table gives no rows, and other columns play no part. Rows equal in id and text share an arc.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ a broadcast table of the most frequent pieces of the whole corpus, then in the w
 encoded by the library and kept. Counts are those of the library for the whole text, whatever the tables hold. Pieces
 themselves are never shuffled: each task sends only its own heaviest ones, pre-aggregated, to choose the table.
 
-Null and empty texts have no tokens. Rows with null or repeated ids are counted like any other; other columns play no part.
+Null and empty texts have no tokens; texts of any length are counted whole. Rows with null or repeated ids are counted like
+any other; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
