@@ -285,3 +285,34 @@ def insight_lines(spark, d):
     third = F.col("n_nationkey") % 3 == 0
     rows = spark.read.parquet(f"{d}/nation.parquet").select(F.when(third, "error").otherwise("info").alias("severity"), F.when(third, "circular-dependency").otherwise("isolated").alias("type"), F.col("n_name").alias("subject"), F.col("n_regionkey").cast("bigint").alias("n"))
     return P.insight_lines(rows)
+
+
+@query(f"WITH {HANDLERS}, f AS (SELECT n, t FROM h WHERE i = 0 ORDER BY 'nation-' || n LIMIT 1) SELECT '' AS place, 'nation-' || n || ' GET /nation-' || n || '/supplier/0' AS text FROM f UNION ALL SELECT '1', '  nation-' || t || ' GET /nation-' || t || '/supplier/0' FROM f")
+def trace_lines(spark, d):
+    e = _endpoint_edges(spark, d)
+    node = lambda depth, place, service, endpoint: e.select(F.col("from_service").alias("root_service"), F.col("from_endpoint").alias("root_endpoint"), place.cast("array<int>").alias("node_path"), F.lit(depth).alias("depth"), F.col(service).alias("service"), F.col(endpoint).alias("endpoint"), F.lit(False).alias("is_cycle"), F.lit(False).alias("is_unresolved"))
+    chains = node(0, F.array(), "from_service", "from_endpoint").unionByName(node(1, F.array(F.lit(1)), "to_service", "to_endpoint"))
+    return P.trace(chains, "SUPPLIER/0").select(F.array_join("node_path", ".").alias("place"), "text")
+
+
+def _plain_calls(spark, d):
+    h = trees.handlers(spark, d)
+    name = lambda c: F.concat(F.lit("nation-"), F.col(c).cast("string"))
+    return h.select(F.col("n").alias("svc_seq"), F.col("i").alias("ep_seq"), F.lit(1).alias("call_seq"), name("n").alias("service"), F.lit("a.go").alias("path"), F.col("s").alias("line"), F.lit("GET").alias("method"), F.concat(F.lit("http://"), name("t"), F.lit("/x")).alias("raw_url"), name("t").alias("resolved_service"))
+
+
+@query(f"WITH {HANDLERS}, f AS (SELECT n, t FROM h WHERE i = 0 ORDER BY n LIMIT 1) SELECT 0 AS part, 0 AS seq, 'nation-' || n || ' GET /nation-' || n || '/supplier/0' AS text FROM f UNION ALL SELECT 2, 1, 'GET http://nation-' || t || '/x → nation-' || t FROM f")
+def explain_lines(spark, d):
+    nothing = F.lit(None).cast("string")
+    ends = trees.graph_inputs(spark, d)["endpoints"].withColumns({"request": nothing, "response": nothing})
+    return P.explain(ends, _plain_calls(spark, d), "supplier/0")
+
+
+@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, 'a.go' AS path, s AS line, 'http://nation-' || t || '/x' AS raw_url, 'nation-' || t AS resolved_service FROM h WHERE t = 1 ORDER BY service, path, line LIMIT 10")
+def call_sites(spark, d):
+    return P.call_sites(_plain_calls(spark, d), "NATION-1")
+
+
+@query("""WITH j AS (SELECT '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS r FROM nation) SELECT '{"meta":{"schemaVersion":"1.0"},"nations":[' || string_agg(r, ',' ORDER BY r) || ']}' AS document FROM j""")
+def saved_document(spark, d):
+    return P.document(nations=spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey"))
