@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirechart.llm import chat, decontam, lines, near, packing, quality, secret_scan, sharding, suffixes, tokens
+from wirechart.llm import chat, decontam, lines, near, packing, periodic, quality, secret_scan, sharding, suffixes, tokens
 from wirechart.llm.shared import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(periodic.planted(read(spark, sf_dir, "documents"))).withColumn("best", periodic.longest(F.col("runs")))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint")
+    return out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_decontaminate, op4_shard, op5_line_dedup, op6_near_duplicates, op7_pack, op8_secret_scan, op9_quality, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_decontaminate, op4_shard, op5_line_dedup, op6_near_duplicates, op7_pack, op8_secret_scan, op9_quality, op10_token_counts, op13_periodic_runs, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
