@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirechart.llm import chat, decontam, lines, near, packing, periodic, quality, secret_scan, sharding, suffixes, tokens
+from wirechart.llm import chat, decontam, lines, near, packing, periodic, quality, repair, secret_scan, sharding, suffixes, tokens
 from wirechart.llm.shared import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = repair.damaged(said)
+    fixed = repair.Repair(rows)
+    out = said.select("conv_id").distinct().alias("o")
+    for more in (repair.gaps(rows), fixed.summaries(), fixed.digests()):
+        out = out.join(more.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic.periodic_runs(periodic.planted(read(spark, sf_dir, "documents"))).withColumn("best", periodic.longest(F.col("runs")))
     said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
@@ -81,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_decontaminate, op4_shard, op5_line_dedup, op6_near_duplicates, op7_pack, op8_secret_scan, op9_quality, op10_token_counts, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_decontaminate, op4_shard, op5_line_dedup, op6_near_duplicates, op7_pack, op8_secret_scan, op9_quality, op10_token_counts, op11_repair, op13_periodic_runs, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,6 +145,55 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, doc_
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)
 """
 
+_REPAIR_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+), rows AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM rows, range(2) AS r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faults AS (
+  SELECT *, left(role, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '' ELSE 't' END AS f FROM numbered
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 's': ''} AS b, {'c': 1000000000::BIGINT, 's': ''} AS o, {'c': 1000000000::BIGINT, 's': ''} AS q, {'c': 1000000000::BIGINT, 's': ''} AS a FROM (SELECT DISTINCT conv_id FROM damaged)
+  UNION ALL
+  SELECT conv_id, i, {'c': b.c + 2, 's': b.s || 'D'},
+    list_min([{'c': o.c + 2, 's': o.s || 'D'}, {'c': b.c + p + CASE WHEN x = 's' THEN 0 ELSE 1000000000 END, 's': b.s || 'K'}]),
+    list_min(list_concat([{'c': q.c + 2, 's': q.s || 'D'}], list_transform([b, o, a], lambda v: {'c': v.c + p + CASE WHEN x = 'u' THEN 0 ELSE 1 END, 's': v.s || CASE WHEN x = 'u' THEN 'K' ELSE 'R' END}))),
+    list_min([{'c': a.c + 2, 's': a.s || 'D'}, {'c': q.c + p + CASE WHEN x = 'a' THEN 0 ELSE 1 END, 's': q.s || CASE WHEN x = 'a' THEN 'K' ELSE 'R' END}])
+  FROM (
+    SELECT conv_id, i, x, p, b, o, q, list_min([a, {'c': q.c + 5, 's': q.s || 'I'}]) AS a FROM (
+      SELECT s.conv_id, r.i, r.x, CASE WHEN r.f IN ('b', 'd') THEN 1000000000 WHEN r.f = 't' THEN 5 ELSE 0 END AS p, b, o, a,
+        list_min(list_concat([q], list_transform([b, o, a], lambda v: {'c': v.c + 5, 's': v.s || 'I'}))) AS q
+      FROM steps s JOIN faults r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1))
+), ends AS (
+  SELECT steps.conv_id, list_min([b, a, {'c': q.c + 5, 's': q.s || 'I'}]) AS v FROM steps JOIN (SELECT conv_id, max(i) AS i FROM numbered GROUP BY conv_id) l USING (i) WHERE steps.conv_id IS NOT DISTINCT FROM l.conv_id
+), kept AS (
+  -- at these costs no repair inserts a row, so letter i is row i's; a conversation's rows that stay are users and assistants by turns after an opening
+  SELECT f.*, substr(v.s, CAST(f.i AS BIGINT), 1) AS letter, sum(CASE WHEN substr(v.s, CAST(f.i AS BIGINT), 1) <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY f.conv_id ORDER BY f.i) AS place
+  FROM faults f JOIN ends e ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+), opened AS (SELECT conv_id, max(CASE WHEN place = 1 AND letter = 'K' AND x = 's' THEN 1 ELSE 0 END) AS n FROM kept GROUP BY conv_id
+), said AS (
+  SELECT k.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - n) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) FILTER (WHERE letter <> 'D') AS whole
+  FROM kept k JOIN opened o ON k.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY k.conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate, count(*) FILTER (WHERE f = 't') AS truncated,
+    count(*) FILTER (WHERE x || next NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lead(x) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM faults) GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(v.c, 0) AS cost, coalesce(v.s, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN said s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _CHAT_SQL, "op3_decontaminate": _HITS_SQL, "op6_near_duplicates": _NEAR_SQL}
+    return {"op1_chat_format": _CHAT_SQL, "op3_decontaminate": _HITS_SQL, "op6_near_duplicates": _NEAR_SQL, "op11_repair": _REPAIR_SQL}
