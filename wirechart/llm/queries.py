@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirechart.llm import chat, decontam, lines, near, packing, periodic, quality, repair, secret_scan, sharding, suffixes, tokens
+from wirechart.llm import chat, decontam, language, lines, near, packing, periodic, quality, repair, secret_scan, sharding, suffixes, tokens
 from wirechart.llm.shared import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    return language.scored(read(spark, sf_dir, "documents"), trains)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic.periodic_runs(periodic.planted(read(spark, sf_dir, "documents"))).withColumn("best", periodic.longest(F.col("runs")))
     said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_decontaminate, op4_shard, op5_line_dedup, op6_near_duplicates, op7_pack, op8_secret_scan, op9_quality, op10_token_counts, op11_repair, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_decontaminate, op4_shard, op5_line_dedup, op6_near_duplicates, op7_pack, op8_secret_scan, op9_quality, op10_token_counts, op11_repair, op12_lm_score, op13_periodic_runs, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
