@@ -2,7 +2,8 @@
 
 Pieces are dealt to tasks by a hash, in numbers that follow their total; each task keeps at most ``OPEN`` open bins in a
 bitset keyed by free space. A piece goes to the open bin with the least room that holds it; when a new bin is needed and
-all are open, the fullest closes. Only pieces' lengths move, never their tokens.
+all are open, the fullest closes. Pieces arrive in blocks of at most ``BLOCK``, the longest of a block first, so short ones fill
+what long ones leave. Only pieces' lengths move, never their tokens.
 
 Null and empty texts are one piece that holds only the end id. Rows with null or repeated ids are packed as documents of their own;
 texts of any length are cut into pieces whole. Empty tables give empty results, and other columns play no part.
@@ -24,8 +25,8 @@ from wirechart.llm.shared import TEXTS, stored
 from wirechart.llm.tokens import cached
 
 SEQUENCE, END, OPEN = 4096, 1, 2048
-#: Pieces for each packing task.
-DEALT = 100_000
+#: Pieces for each packing task, and pieces that are put in order of length before they are packed.
+DEALT, BLOCK = 100_000, 1 << 14
 
 
 @K.frugal
@@ -85,9 +86,25 @@ class Bins:
 @K.frugal
 def _pack(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
     bins, base = Bins(size, most), TaskContext.get().partitionId() << 40
+    held, n = [], 0
+
+    def packed():
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        length = block.column("length").to_numpy()
+        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for i in np.argsort(-length, kind="stable").tolist():
+            sequence[i], offset[i] = bins.put(int(length[i]))
+        return pa.RecordBatch.from_arrays([*block.columns, pa.array(base + sequence), pa.array(offset)], names=[*block.schema.names, "sequence_id", "offset"])
+
     for batch in batches:
-        placed = [bins.put(x) for x in batch.column("length").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
+        if n + len(batch) > BLOCK and n:
+            yield packed()
+            held, n = [], 0
+        if len(batch):
+            held.append(batch)
+            n += len(batch)
+    if n:
+        yield packed()
 
 
 def pack(documents: DataFrame, name: str, size: int = SEQUENCE, end: int = END, most_open: int = OPEN, dealt: int = DEALT) -> DataFrame:
