@@ -85,21 +85,44 @@ class Rule:
     near: bool = False  # the match begins on the line and may go on in the lines after it
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def apply(rows: DataFrame, rules: list[Rule], names: list[str], keep: list[str]) -> DataFrame:
     """(keep, rank, rule, *names): every match of every rule on each line, in one pass; rank is the rule's place in the list."""
 
-    def matches(rank: int, rule: Rule) -> Column:
-        at = lambda m: F.struct(F.lit(rank).alias("rank"), F.lit(rule.name).alias("rule"), *[(F.nullif(F.regexp_extract(m, rule.pattern, rule.groups[n]), F.lit("")) if n in rule.groups else F.lit(rule.fixed.get(n)).cast("string")).alias(n) for n in names])
+    def matches(rank: int, rule: Rule) -> str:
+        values = [f"nullif(regexp_extract(m, {_quoted(rule.pattern)}, {rule.groups[n]}), '')" if n in rule.groups else f"cast({_quoted(rule.fixed[n]) if n in rule.fixed else 'null'} as string)" for n in names]
+        row = f"struct({rank} as rank, {_quoted(rule.name)} as rule, " + ", ".join(f"{v} as `{n}`" for v, n in zip(values, names)) + ")"
         if rule.near:
-            text = F.concat_ws("\n", "text", "ahead")
-            first = F.regexp_extract(text, rf"^[^\n]*?({rule.pattern})", 1)
-            return F.when(first != "", F.array(at(first)))
-        return F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)), at)
+            first = f"regexp_extract(concat_ws('\\n', text, ahead), {_quoted(f'^[^' + chr(92) + f'n]*?({rule.pattern})')}, 1)"
+            return f"transform(filter(array({first}), m -> m <> ''), m -> {row})"
+        return f"transform(regexp_extract_all(text, {_quoted(rule.pattern)}, 0), m -> {row})"
 
-    every = F.flatten(F.filter(F.array(*[matches(i, r) for i, r in enumerate(rules)]), lambda x: x.isNotNull()))
-    return rows.select(*keep, F.inline(every))
+    # one expression as text: hundreds of columns made one by one would take longer than the matching
+    return rows.select(*keep, F.expr(f"inline(flatten(array({', '.join(matches(i, r) for i, r in enumerate(rules))})))"))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def arguments(text: str | Column, callee: str) -> Column:
+    """The arguments of the first call of ``callee`` (a pattern) in a text, as texts; brackets nest to two levels. One empty text without such a call."""
+    text = F.col(text) if isinstance(text, str) else text
+    nested = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*"
+    inside = F.regexp_extract(text, rf"(?s)\b(?:{callee})\s*\(({nested})", 1)
+    return F.transform(F.split(inside, r",(?![^(\[{]*[)\]}])"), lambda x: F.trim(F.translate(x, "\n\t", "  ")))
+
+
+def keyword(args: Column, name: str) -> Column:
+    """The value of the first argument ``name=value`` or ``name: value``, null without one; name is a pattern."""
+    mark = rf"^\{{?\s*(?:{name})\s*[=:]"
+    return F.trim(F.regexp_replace(F.get(F.filter(args, lambda x: x.rlike(mark)), F.lit(0)), mark, ""))
+
+
+def literal(text: Column) -> Column:
+    """What a string literal holds with which a text begins, whatever its prefix; null for anything else."""
+    return F.when(text.rlike("^[A-Za-z$@]{0,2}[\"'`]"), F.regexp_extract(text, "^[A-Za-z$@]{0,2}[\"'`]([^\"'`\\n]*)", 1))

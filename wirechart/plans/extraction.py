@@ -20,7 +20,7 @@ from wirechart.sources.files import service_roots
 
 
 @query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, CAST({LINES} AS INTEGER) AS line, 'GET' AS method, '/nation-' || n || '/supplier/' || s AS full_path, {HANDLER} AS handler,
-  CASE WHEN n % 5 < 4 THEN 'Supplier' || s || 'Dto' END AS request, CASE WHEN n % 5 < 4 THEN 'Reply' || s END AS response FROM h""")
+  'Supplier' || s || 'Dto' AS request, 'Reply' || s AS response FROM h""")
 def source_endpoints(spark, d):
     rows = trees.every(trees.controllers, spark, d, E.endpoints)
     return E.richest(rows).select("service", "line", "method", "full_path", "handler", "request", "response")
@@ -31,7 +31,7 @@ def source_calls(spark, d):
     return trees.every(trees.controllers, spark, d, C.outbound_calls).select("service", "line", "call_seq", "method", "raw_url", "confidence")
 
 
-@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, CAST({CALLS} AS INTEGER) AS line, CAST({LINES} AS INTEGER) AS head FROM h WHERE n % 5 < 4")
+@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, CAST({CALLS} AS INTEGER) AS line, CAST({LINES} AS INTEGER) AS head FROM h")
 def calls_by_handler(spark, d):
     def placed(files, language):
         return C.by_handler(C.outbound_calls(files, language), E.endpoints(files, language), files, language)
@@ -39,6 +39,27 @@ def calls_by_handler(spark, d):
     return trees.every(trees.controllers, spark, d, placed).select("service", "line", "head")
 
 
+_BASE = "'http://nation-' || t"
+
+
+@query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, CAST(CASE n % 5 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END + i AS INTEGER) AS line, 'GET' AS method, {_BASE} || '/supplier/' || s AS raw_url, CAST(0.9 AS DOUBLE) AS confidence FROM h
+  UNION ALL SELECT DISTINCT 'nation-' || n, 1, 'GET', {_BASE}, 0.9 FROM h WHERE n % 5 IN (3, 4)""")
+def client_base_urls(spark, d):
+    """The only host of these sources stands where a client is made; in Python and Go that place counts as a call too."""
+    return trees.every(trees.clients, spark, d, C.outbound_calls).select("service", "line", "method", "raw_url", "confidence")
+
+
+@query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, 'src/used' AS path, CAST(i + 1 AS INTEGER) AS line, 'grpc-method://Nation' || n || '/Get' || s AS raw_url FROM h
+  UNION ALL SELECT DISTINCT 'nation-' || n, 'src/made', 1, 'grpc-service://Nation' || n FROM h""")
+def grpc_stub_calls(spark, d):
+    return trees.every(trees.stubs, spark, d, C.grpc_calls).select("service", "path", "line", "raw_url")
+
+
+@query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, CASE WHEN n % 5 < 3 THEN 'src/sent.ts' ELSE 'app/sent.py' END AS path, CAST(i + 1 AS INTEGER) AS line, CASE WHEN s % 2 = 1 THEN 'GRAPHQL_MUTATION' ELSE 'GRAPHQL_QUERY' END AS method, 'graphql-operation://Find' || s AS raw_url FROM h""")
+def graphql_operation_calls(spark, d):
+    return C.graphql_calls(trees.graphql_clients(spark, d)).select("service", "path", "line", "method", "raw_url")
+
+
 _SIMPLE = "CASE n % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'decimal' WHEN 3 THEN 'integer[]' ELSE 'datetime' END"
 
 

@@ -6,9 +6,13 @@ says what was written, so an extraction is checked against facts and not against
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wirechart.storage import written
+
 LANGUAGES = ["typescript", "java", "csharp", "python", "go"]
 #: Columns of handlers: n the nation, s the supplier, i its place in the nation, k how many there are, t the nation after n.
 HANDLERS = "h AS (SELECT n_nationkey AS n, s_suppkey AS s, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY n_nationkey) AS k, (n_nationkey + 1) % 25 AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
@@ -38,7 +42,7 @@ def _files(rows: DataFrame, language: str, path: str, head: str, body: str, tail
 
 
 def _fill_n(template: str) -> Column:
-    return F.replace(F.lit(template), F.lit("<n>"), F.col("n").cast("string"))
+    return F.replace(F.replace(F.lit(template), F.lit("<n>"), F.col("n").cast("string")), F.lit("<t>"), ((F.col("n") + 1) % 25).cast("string"))
 
 
 def controllers(spark: SparkSession, d: str, language: str) -> DataFrame:
@@ -53,12 +57,61 @@ def controllers(spark: SparkSession, d: str, language: str) -> DataFrame:
         return _files(h, language, "Controllers/NationController.cs", '[Route("nation-<n>")]\npublic class NationController : ControllerBase\n{\n', f'    [HttpGet("supplier/<s>")]\n    public async Task<Reply<s>> Supplier<s>([FromBody] Supplier<s>Dto body)\n    {{\n        await client.PostAsync("{url}", body);\n    }}\n', "}\n")
     if language == "python":
         return _files(h, language, "app/nation.py", 'router = APIRouter(prefix="/nation-<n>")\n\n', f'@router.get("/supplier/<s>", response_model=Reply<s>)\ndef supplier<s>(body: Supplier<s>Dto):\n    httpx.post("{url}")\n\n', "")
-    return _files(h, language, "nation.go", 'package main\nfunc routes(r *gin.Engine) {\n\tg := r.Group("/nation-<n>")\n', '\tg.GET("/supplier/<s>", supplier<s>)\n', "}\n", f'func supplier<s>(c *gin.Context) {{\n\thttp.Post("{url}", "json", nil)\n}}\n')
+    return _files(h, language, "nation.go", 'package main\nfunc routes(r *gin.Engine) {\n\tg := r.Group("/nation-<n>")\n', '\tg.GET("/supplier/<s>", supplier<s>)\n', "}\n", f'func supplier<s>(c *gin.Context) {{\n\tvar in Supplier<s>Dto\n\tc.ShouldBindJSON(&in)\n\thttp.Post("{url}", "json", nil)\n\tc.JSON(200, Reply<s>{{}})\n}}\n')
+
+
+def clients(spark: SparkSession, d: str, language: str) -> DataFrame:
+    """A client for each nation whose base URL names the next one, and a call for each supplier that holds a path only."""
+    base, h = "http://nation-<t>", handlers(spark, d)
+    heads = {
+        "typescript": f"const stock<n> = axios.create({{\n  timeout: 5,\n  baseURL: '{base}/',\n}});\n",
+        "java": f'WebClient stock<n> = WebClient.builder()\n    .baseUrl("{base}")\n    .build();\n',
+        "csharp": f'var stock<n> = new HttpClient();\nstock<n>.BaseAddress = new Uri("{base}");\n',
+        "python": f'stock<n> = httpx.AsyncClient(timeout=5, base_url="{base}")\n',
+        "go": f'stock<n> := resty.New().SetBaseURL("{base}")\n',
+    }
+    uses = {
+        "typescript": "const r<s> = await stock<n>.get<Reply>('supplier/<s>');\n",
+        "java": 'Object r<s> = stock<n>.get().uri("/supplier/<s>").retrieve();\n',
+        "csharp": 'var r<s> = await stock<n>.GetAsync("/supplier/<s>");\n',
+        "python": 'r<s> = await stock<n>.get("/supplier/<s>")\n',
+        "go": 'r<s>, _ := stock<n>.R().SetBody(x).Get("/supplier/<s>")\n',
+    }
+    return _files(h, language, "src/client", heads[language], uses[language], "")
+
+
+def stubs(spark: SparkSession, d: str, language: str) -> DataFrame:
+    """A gRPC stub for each nation, made in one file, and a method of it for each supplier, called in another."""
+    h = handlers(spark, d)
+    made = {
+        "typescript": "this.stock<n> = this.client.getService<Nation>('Nation<n>');\n",
+        "java": "Stub stock<n> = Nation<n>Grpc.newBlockingStub(channel);\n",
+        "csharp": "var stock<n> = new Nation<n>.Nation<n>Client(channel);\n",
+        "python": "stock<n> = nation_pb2_grpc.Nation<n>Stub(channel)\n",
+        "go": "stock<n> := pb.NewNation<n>Client(conn)\n",
+    }
+    used = {"typescript": "await this.stock<n>.Get<s>(ask);\n", "java": "var r<s> = stock<n>.Get<s>(ask);\n", "csharp": "var r<s> = await stock<n>.Get<s>Async(ask);\n", "python": "r<s> = stock<n>.Get<s>(ask)\n", "go": "r<s>, err := stock<n>.Get<s>(ctx, ask)\n"}
+    return _files(h, language, "src/made", made[language], "", "").unionByName(_files(h, language, "src/used", "", used[language], ""))
+
+
+def graphql_clients(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each supplier, held by a constant in one file and sent from another, in TypeScript or Python."""
+    h = handlers(spark, d)
+    odd = F.col("s") % 2 == 1
+    script, python = h.where("n % 5 < 3"), h.where("n % 5 >= 3")
+    kind = lambda rows: rows.withColumn("i", F.when(odd, "mutation").otherwise("query"))
+    verb = lambda rows: rows.withColumn("i", F.when(odd, "mutate({ mutation").otherwise("query({ query"))
+    each = lambda rows, path, body: rows.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("s", _fill(body).alias("a")))).alias("x")).select(F.concat(F.lit("nation-"), F.col("n").cast("string")).alias("service"), F.lit(path).alias("path"), F.array_join(F.transform("x", lambda x: x["a"]), "").alias("content"))
+    parts = [
+        each(kind(script), "src/documents.ts", "export const FIND_<s> = gql`\n  <i> Find<s> { a }\n`;\n"), each(verb(script), "src/sent.ts", "await client.<i>: FIND_<s> });\n"),
+        each(kind(python), "app/documents.py", 'FIND_<s> = gql("""\n  <i> Find<s> { a }\n""")\n'), each(python, "app/sent.py", "await session.execute(FIND_<s>)\n"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 #: Where a handler and its call stand, and what the handler is named.
 LINES = """CASE n % 5 WHEN 0 THEN 3 + 4 * i WHEN 1 THEN 4 + 4 * i WHEN 2 THEN 4 + 5 * i WHEN 3 THEN 3 + 4 * i ELSE 4 + i END"""
-CALLS = """CASE n % 5 WHEN 0 THEN 5 + 4 * i WHEN 1 THEN 6 + 4 * i WHEN 2 THEN 7 + 5 * i WHEN 3 THEN 5 + 4 * i ELSE 6 + k + 3 * i END"""
+CALLS = """CASE n % 5 WHEN 0 THEN 5 + 4 * i WHEN 1 THEN 6 + 4 * i WHEN 2 THEN 7 + 5 * i WHEN 3 THEN 5 + 4 * i ELSE 8 + k + 6 * i END"""
 HANDLER = "CASE WHEN n % 5 = 2 THEN 'Supplier' ELSE 'supplier' END || s"
 
 
@@ -103,12 +156,10 @@ def hints(spark: SparkSession, d: str, language: str) -> DataFrame:
 
 
 def every(binding, spark: SparkSession, d: str, extract) -> DataFrame:
-    """The union of extract(files, language) over all languages."""
-    out = None
-    for language in LANGUAGES:
-        own = extract(binding(spark, d, language), language)
-        out = own if out is None else out.unionByName(own)
-    return out
+    """The union of extract(files, language) over all languages; the files are written once and read by each."""
+    files = reduce(DataFrame.unionByName, [binding(spark, d, x).withColumn("language", F.lit(x)) for x in LANGUAGES])
+    files = written(files, "sources")
+    return reduce(DataFrame.unionByName, [extract(files.where(F.col("language") == x).drop("language"), x) for x in LANGUAGES])
 
 
 def markers(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +196,7 @@ def interface_files(spark: SparkSession, d: str, kind: str) -> DataFrame:
 def graph_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """services, hints, endpoints and calls of the nations: each supplier is an endpoint with one call, whose form follows its key.
 
-    The call of a nation's supplier goes to the first supplier of the next nation, but for nations whose key is 4 more
-    than a multiple of 5.
+    The call of a nation's supplier goes to the first supplier of the next nation.
     """
     h = handlers(spark, d)
     name = lambda c: F.concat(F.lit("nation-"), F.col(c).cast("string"))
@@ -159,7 +209,7 @@ def graph_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(form == 0, F.concat(F.lit("http://"), name("t"), F.lit(".prod.svc.cluster.local"), place)).when(form == 1, F.concat(F.lit("feign://"), name("t"), place)).when(form == 2, F.concat(F.lit("https://api.stripe.com/v1/"), F.col("s").cast("string")))
         .when(form == 3, F.concat(F.lit("http://"), name("t"), F.lit(".service.consul"), place)).when(form == 4, F.concat(F.lit("gateway:"), name("t"), place)).otherwise(F.lit("???"))
     )
-    calls = h.where("n % 5 <> 4").select(F.col("s").alias("call_id"), F.col("n").alias("svc_seq"), F.col("i").alias("ep_seq"), F.lit(1).alias("call_seq"), name("n").alias("service"), F.lit("GET").alias("method"), url.alias("raw_url"), F.lit(None).cast("string").alias("pre_service"), F.lit(None).cast("string").alias("pre_path"))
+    calls = h.select(F.col("s").alias("call_id"), F.col("n").alias("svc_seq"), F.col("i").alias("ep_seq"), F.lit(1).alias("call_seq"), name("n").alias("service"), F.lit("GET").alias("method"), url.alias("raw_url"), F.lit(None).cast("string").alias("pre_service"), F.lit(None).cast("string").alias("pre_path"))
     return {"services": services, "hints": hints_, "endpoints": endpoints, "calls": calls}
 
 
@@ -169,4 +219,4 @@ RESOLVED = """v AS (SELECT s AS call_id, n, i, t, 'nation-' || n AS service, s %
   CASE WHEN s % 6 = 2 THEN 'stripe-api' WHEN s % 6 = 5 THEN NULL WHEN s % 6 = 4 AND n <> 0 THEN 'nation-0' ELSE 'nation-' || t END AS resolved_service,
   CASE WHEN s % 6 = 2 THEN '/v1/' || s WHEN s % 6 = 5 THEN NULL WHEN s % 6 = 4 AND n <> 0 THEN '/0' ELSE '/supplier/0' END AS resolved_path,
   CAST(CASE s % 6 WHEN 4 THEN 0.6 WHEN 5 THEN 0.0 ELSE 0.95 END AS DOUBLE) AS confidence,
-  CASE s % 6 WHEN 0 THEN '4b' WHEN 1 THEN '3a' WHEN 2 THEN '1' WHEN 3 THEN '4c' WHEN 4 THEN '6' END AS rank FROM h WHERE n % 5 <> 4)"""
+  CASE s % 6 WHEN 0 THEN '4b' WHEN 1 THEN '3a' WHEN 2 THEN '1' WHEN 3 THEN '4c' WHEN 4 THEN '6' END AS rank FROM h)"""

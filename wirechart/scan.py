@@ -71,8 +71,9 @@ def connect(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     services = written(tables["services"].select("service").withColumn("svc_seq", order), "numbered")
     own = Window.partitionBy("service").orderBy("path", "line", "method", "full_path")
     ends = tables["endpoints"].withColumn("ep_seq", F.row_number().over(own) - 1).join(services, "service").withColumn("path_", F.concat(F.lit("/"), F.regexp_replace("route", "^/", "")))
-    place = ends.select("service", "path", F.col("line").alias("head"), "svc_seq", "ep_seq")
-    calls = tables["calls"].join(first_at(place), ["service", "path", "head"]).withColumn("call_id", F.xxhash64("service", "path", "line", "call_seq", "raw_url"))
+    place = ends.select("service", F.col("path").alias("head_path"), F.col("line").alias("head"), "svc_seq", "ep_seq")
+    # a function may serve several routes: its calls belong to each
+    calls = tables["calls"].join(first_at(place), ["service", "head_path", "head"]).withColumn("call_id", F.xxhash64("service", "path", "line", "call_seq", "raw_url", "ep_seq"))
     for c in ("pre_service", "pre_path"):
         if c not in calls.columns:
             calls = calls.withColumn(c, F.lit(None).cast("string"))
@@ -86,7 +87,7 @@ def connect(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def first_at(place: DataFrame) -> DataFrame:
     """One endpoint for each place: several methods of one handler share its calls."""
-    return place.groupBy("service", "path", "head").agg(F.min(F.struct("svc_seq", "ep_seq")).alias("e")).select("service", "path", "head", "e.svc_seq", "e.ep_seq")
+    return place.groupBy("service", "head_path", "head").agg(F.min(F.struct("svc_seq", "ep_seq")).alias("e")).select("service", "head_path", "head", "e.svc_seq", "e.ep_seq")
 
 
 def scan(spark: SparkSession, roots: dict[str, str], plugins: Registry = registry) -> dict[str, DataFrame]:
