@@ -10,6 +10,7 @@ from wirechart.operators import endpoints as E
 from wirechart.operators import facts as T
 from wirechart.operators import graph as G
 from wirechart.operators import interfaces as I
+from wirechart.operators import payloads as B
 from wirechart.operators import reports as P
 from wirechart.operators import resolve as S
 from wirechart.operators import usage as U
@@ -70,6 +71,29 @@ def payload_types(spark, d):
     return rows.select("service", "type_name", F.size("fields").cast("bigint").alias("n_fields"), F.element_at("fields.type", 1).alias("type"), F.element_at("fields.required", 1).alias("required"), F.array_join("fields.name", ",").alias("names"))
 
 
+_NUMBER = "CASE n % 5 WHEN 0 THEN 'number' ELSE 'integer' END"
+_AFTER = f"{HANDLERS}, x AS (SELECT a.n, a.s, b.s AS after FROM h a JOIN h b ON a.n = b.n AND b.i = (a.i + 1) % a.k)"
+
+
+@query(f"""WITH {_AFTER} SELECT 'nation-' || n AS service, '/nation-' || n || '/supplier/' || s AS full_path, 'Supplier' || s || 'Dto' AS body_type, CASE WHEN s % 2 = 0 THEN 'size:' || {_NUMBER} || ',next:Supplier' || after || 'Dto!' ELSE '' END AS body_fields,
+  'Reply' || s AS response_type, 0 AS response_fields FROM x""")
+def endpoint_payloads(spark, d):
+    """Shapes of request and response types: declared ones with their fields, all others as placeholders."""
+    ends = E.richest(trees.every(trees.controllers, spark, d, E.endpoints))
+    rows = B.with_payloads(ends, trees.every(trees.payloads, spark, d, T.payload_types))
+    said = F.transform("request_body.fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"], F.when(f["required"], "!").otherwise("")))
+    return rows.select("service", "full_path", F.col("request_body.type_name").alias("body_type"), F.array_join(said, ",").alias("body_fields"), F.col("response_body.type_name").alias("response_type"), F.size("response_body.fields").alias("response_fields"))
+
+
+@query(f"""WITH RECURSIVE {_AFTER}, w AS (
+  SELECT n, s AS root, s, 1 AS depth, '' AS up, [s] AS seen FROM x WHERE s % 2 = 0
+  UNION ALL SELECT w.n, w.root, x.after, depth + 1, up || 'next.', list_append(seen, x.after) FROM w JOIN x ON x.s = w.s WHERE x.after % 2 = 0 AND NOT list_contains(seen, x.after) AND depth < {B.LEVELS}
+) SELECT 'nation-' || w.n AS service, 'Supplier' || root || 'Dto' AS root, up || f AS place, depth, CASE f WHEN 'size' THEN CASE w.n % 5 WHEN 0 THEN 'number' ELSE 'integer' END ELSE 'Supplier' || after || 'Dto' END AS type, f = 'next' AND list_contains(seen, after) AS is_cycle
+  FROM w JOIN x ON x.s = w.s, (VALUES ('size'), ('next')) AS v(f)""")
+def nested_payloads(spark, d):
+    return B.nested(trees.every(trees.payloads, spark, d, T.payload_types)).select("service", "root", "place", "depth", "type", "is_cycle")
+
+
 @query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, 'SUPPLIER_' || s || CASE WHEN n % 5 = 2 THEN '_Url' ELSE '_URL' END AS key, 'http://nation-' || t AS value, CAST(i + 1 AS INTEGER) AS line FROM h""")
 def url_hints(spark, d):
     return trees.every(trees.hints, spark, d, T.url_hints).select("service", "key", "value", "line")

@@ -129,6 +129,24 @@ def dtos(spark: SparkSession, d: str, language: str) -> DataFrame:
     return _files(h, language, "types.go", "package main\ntype Nation<n>Dto struct {\n", '\tSupplier<s> *time.Time `json:"supplier<s>,omitempty"`\n', "}\n")
 
 
+def payloads(spark: SparkSession, d: str, language: str) -> DataFrame:
+    """The body type of every supplier with an even key, with a number and the body type of the next supplier of its nation.
+
+    The last one of a nation names the first, so types nest in a circle.
+    """
+    h = handlers(spark, d)
+    after = h.select("n", (F.col("i") - 1).alias("i"), F.col("s").alias("t")).unionByName(h.where("i = 0").select("n", (F.col("k") - 1).cast("int").alias("i"), F.col("s").alias("t")))
+    h = h.drop("t").join(after, ["n", "i"])
+    body = {
+        "typescript": "export interface Supplier<s>Dto {\n  size?: number;\n  next: Supplier<t>Dto;\n}\n",
+        "java": "public class Supplier<s>Dto {\n    private Integer size;\n    @NotNull\n    private Supplier<t>Dto next;\n}\n",
+        "csharp": "public class Supplier<s>Dto\n{\n    public int? size { get; set; }\n    [Required]\n    public Supplier<t>Dto next { get; set; }\n}\n",
+        "python": "class Supplier<s>Dto(BaseModel):\n    size: Optional[int] = None\n    next: Supplier<t>Dto\n\n",
+        "go": "type Supplier<s>Dto struct {\n\tSize *int `json:\"size\"`\n\tNext Supplier<t>Dto `json:\"next\"`\n}\n",
+    }
+    return _files(h.where("s % 2 = 0"), language, "src/payloads.dto", "", body[language], "")
+
+
 def usages(spark: SparkSession, d: str, language: str) -> DataFrame:
     """A line for each supplier that publishes on a topic, subscribes to another, uses a table and imports a library."""
     h = handlers(spark, d).withColumn("i", F.col("s") % 3)
