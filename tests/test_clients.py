@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wirechart import scan
+import wirechart
 from wirechart.operators import calls, endpoints
 
 from test_extraction import files, got
@@ -31,7 +31,7 @@ def test_a_scan_of_a_go_service_has_chains(spark, tmp_path):
         (tmp_path / name / "go.mod").write_text("module x\nrequire github.com/gin-gonic/gin v1\n")
         (tmp_path / name / "main.go").write_text(f'package main\nfunc routes(r *gin.Engine) {{\n\tr.GET("/{name}", handle)\n}}\n')
         (tmp_path / name / "handle.go").write_text(f'package main\nfunc handle(c *gin.Context) {{\n\thttp.Get("http://{other}/{other}")\n}}\n' if name == "front" else "package main\nfunc handle(c *gin.Context) {\n}\n")
-    tables = scan.scan(spark, {x: str(tmp_path / x) for x in ("front", "back")})
+    tables = wirechart.scan(spark, {x: str(tmp_path / x) for x in ("front", "back")})
     assert got(tables["edges"], "from_service", "from_endpoint", "to_service", "to_endpoint") == [("front", "GET /front", "back", "GET /back")]
 
 
@@ -59,3 +59,28 @@ def test_stubs_and_documents_over_files(spark):
         ("r.ts", 1, "GRAPHQL_MUTATION", "graphql-operation://MakeIt"), ("r.ts", 2, "GRAPHQL_QUERY", "graphql-operation://UNKNOWN"), ("s.ts", 1, "GRAPHQL_QUERY", "graphql-operation://Alone"),
         ("t.go", 1, "GRAPHQL_QUERY", "http://g/graphql"), ("t.go", 2, "GRAPHQL_QUERY", "graphql-operation://req"),
     ]
+
+
+def test_a_frontend_at_the_root_hides_no_backend(spark, tmp_path):
+    """A service whose TypeScript has no endpoints is read by the language that its other marker names; payloads come with their fields."""
+    shop = tmp_path / "shop"
+    shop.mkdir()
+    (shop / "package.json").write_text('{"dependencies": {"react": "1"}}')
+    (shop / "page.ts").write_text("export const x = 1;\n")
+    (shop / "requirements.txt").write_text("fastapi\n")
+    (shop / "api.py").write_text('router = APIRouter()\nclass Ask(BaseModel):\n    n: int\n\n@router.post("/ask")\ndef ask(body: Ask) -> Answer:\n    httpx.get("http://stock/x")\n')
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "package.json").write_text("{}")
+    (plain / "requirements.txt").write_text("")
+    tables = wirechart.scan(spark, {"shop": str(shop), "plain": str(plain)})
+    assert got(tables["services"], "service", "language", "confidence") == [("plain", "typescript", 0.7), ("shop", "python", 0.9)]
+    assert got(tables["endpoints"], "service", "full_path", "request_body.type_name", F.element_at("request_body.fields.type", 1).alias("t"), "response_body.type_name", F.size("response_body.fields").alias("k")) == [("shop", "/ask", "Ask", "integer", "Answer", 0)]
+    assert got(tables["resolved"], "service", "raw_url") == [("shop", "http://stock/x")]
+
+
+def test_nested_types_end_at_cycles(spark):
+    from wirechart.operators import payloads
+
+    t = spark.createDataFrame([("s", "A", [("b", "B[]", True), ("x", "string", False)], "dto-class"), ("s", "B", [("a", "A", True)], "dto-class"), ("s", "C", [], "dto-class")], "service string, type_name string, fields array<struct<name: string, type: string, required: boolean>>, source string")
+    assert got(payloads.nested(t), "root", "place", "depth", "is_cycle") == [("A", "b", 1, False), ("A", "b.a", 2, True), ("A", "x", 1, False), ("B", "a", 1, False), ("B", "a.b", 2, True), ("B", "a.x", 2, False)]

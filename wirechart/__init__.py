@@ -3,10 +3,10 @@
 import importlib
 
 _PLACES = {
-    "scan": "wirechart.scan",
-    "extract": "wirechart.scan",
-    "connect": "wirechart.scan",
-    "save_scan": "wirechart.scan",
+    "scan": "wirechart.scanning",
+    "extract": "wirechart.scanning",
+    "connect": "wirechart.scanning",
+    "save_scan": "wirechart.scanning",
     "source_files": "wirechart.sources.files",
     "service_roots": "wirechart.sources.files",
     "detect": "wirechart.operators.detect",

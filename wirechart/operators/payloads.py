@@ -47,8 +47,8 @@ def with_payloads(endpoints: DataFrame, types: DataFrame) -> DataFrame:
 
 def bare(kind: Column) -> Column:
     """The name of a field's type without list marks, wrappers and nulls."""
-    inner = F.regexp_replace(F.regexp_replace(kind, r"^\w+\s*[<\[]\s*(?:\w+\s*,\s*)?", ""), r"[>\]\[?*\s]+$", "")
-    return F.regexp_replace(inner, r"^[\[\]*\s]+|\s*\|.*$", "")
+    one = F.regexp_replace(F.regexp_replace(kind, r"\s*\|.*$", ""), r"^[\[\]*\s]+|(?:\[\]|[?*\s])+$", "")
+    return F.regexp_replace(F.regexp_replace(one, r"^\w+\s*[<\[]\s*(?:\w+\s*,\s*)?", ""), r"[>\]?*\s]+$", "")
 
 
 def nested(types: DataFrame, levels: int = LEVELS) -> DataFrame:

@@ -12,6 +12,7 @@ from wirechart.operators import detect as D
 from wirechart.operators import endpoints as E
 from wirechart.operators import facts as T
 from wirechart.operators import interfaces as I
+from wirechart.operators import payloads as B
 from wirechart.operators import reports as P
 from wirechart.operators import resolve as S
 from wirechart.operators import usage as U
@@ -27,24 +28,72 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+#: Languages that a TypeScript service without endpoints is tried in, by the files at its root that speak for them; the first counts.
+OTHERS = [("java", ["pom.xml", "build.gradle", "build.gradle.kts"]), ("go", ["go.mod"]), ("python", ["requirements.txt", "pyproject.toml"])]
+#: Fixed value: the confidence of a language that a service is read by after all.
+SECOND = 0.9
+
+
+def candidates(files: DataFrame, detected: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(service, language, detected_from): TypeScript services without endpoints and what else their root speaks for, one language each."""
+    rules = F.create_map(*[F.lit(x) for i, (language, names) in enumerate(OTHERS) for j, n in enumerate(names) for x in (n, f"{i}{j} {language}")])
+    empty = detected.where("language = 'typescript'").select("service").join(endpoints.select("service").distinct(), "service", "left_anti")
+    said = files.where(F.col("path").isin([n for _, names in OTHERS for n in names])).join(empty, "service", "left_semi")
+    best = said.groupBy("service").agg(F.min(F.struct(F.element_at(rules, F.col("path")).alias("rule"), F.col("path").alias("detected_from"))).alias("b"))
+    return best.select("service", F.element_at(F.split("b.rule", " "), 2).alias("language"), "b.detected_from")
+
+
+def _of(files: DataFrame, services: DataFrame, language: str) -> DataFrame:
+    own = files.join(services.where(F.col("language") == language).select("service"), "service", "left_semi")
+    return sources.of_language(own, language).select("service", "path", "content")
+
+
+def languages(files: DataFrame, detected: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(services with the language that each is read by, endpoints of all).
+
+    A TypeScript service without endpoints may be a repository of several languages: it is read a second time by the language
+    that ``candidates`` names, and goes over to it if that finds endpoints. Only such services are read twice.
+    """
+    present = {r.language for r in detected.select("language").distinct().collect()}
+    found = [written(E.richest(E.endpoints(_of(files, detected, x), x)), "endpoints") for x in sources.LANGUAGES if x in present]
+    if "typescript" not in present:
+        return detected, _all(found) if found else None
+    again = written(candidates(files, detected, _all(found)), "candidates")
+    named = {r.language for r in again.select("language").distinct().collect()}
+    more = [written(E.richest(E.endpoints(_of(files, again, x), x)), "endpoints") for x, _ in OTHERS if x in named]
+    if not more:
+        return detected, _all(found)
+    over = again.join(_all(more).groupBy("service").agg(F.first("framework").alias("framework")), "service")
+    over = over.select("service", F.col("language").alias("_language"), F.col("framework").alias("_framework"), F.col("detected_from").alias("_from"))
+    out = detected.join(over, "service", "left")
+    moved = F.col("_language").isNotNull()
+    news = {"language": F.coalesce("_language", "language"), "framework": F.coalesce("_framework", "framework"), "confidence": F.when(moved, F.lit(SECOND)).otherwise(F.col("confidence"))}
+    if "detected_from" in detected.columns:
+        news["detected_from"] = F.coalesce("_from", "detected_from")
+    return written(out.withColumns(news).select(*detected.columns), "services"), _all([*found, *more])
+
+
 def extract(files: DataFrame, plugins: Registry = registry) -> dict[str, DataFrame]:
     """services, endpoints, calls, hints, types, messages, stores and imports of files(service, path, content).
 
-    Every service is read by the language that detection finds; GraphQL and, in Go, proto files add endpoints.
+    Every service is read by the language that detection finds, or by another if that has no endpoints; GraphQL and, in Go, proto
+    files add endpoints. Endpoints come with the shapes of their request and response types.
     """
     detected = written(D.detect(files, plugins.rules()), "services")
     tables: dict[str, list[DataFrame]] = {x: [] for x in ("endpoints", "calls", "hints", "types", "messages", "stores", "imports")}
+    detected, every = languages(files, detected)
     present = {r.language for r in detected.select("language").distinct().collect()}
     # without any known language one stands for the columns of the empty tables
     for language in [x for x in sources.LANGUAGES if x in present] or ["typescript"]:
-        own = files.join(detected.where(F.col("language") == language).select("service"), "service", "left_semi")
-        own = sources.of_language(own, language).select("service", "path", "content")
-        found = written(E.richest(E.endpoints(own, language)), "endpoints")
+        own = _of(files, detected, language)
+        if every is None:
+            every = E.richest(E.endpoints(own, language))
+        found = every.join(detected.where(F.col("language") == language).select("service"), "service", "left_semi")
         tables["endpoints"].append(found)
         made = [C.outbound_calls(own, language), C.grpc_calls(own, language), C.graphql_calls(own)]
         if language == "java":
             made.append(C.feign_calls(own))
-        made = _all(made)
+        made = written(_all(made), "made")
         near = C.by_handler(made, found.where("framework <> 'express'"), own, language)
         if language == "typescript":
             near = near.unionByName(C.by_handler(made, found.where("framework = 'express'"), own, language, EXPRESS_REACH), allowMissingColumns=True)
@@ -62,7 +111,9 @@ def extract(files: DataFrame, plugins: Registry = registry) -> dict[str, DataFra
     tables["endpoints"].append(rpcs.join(places, "path").withColumn("line", F.lit(0)).join(detected.where("language = 'go'").select("service"), "service", "left_semi"))
     if (more := plugins.endpoints(files, detected)) is not None:
         tables["endpoints"].append(more)
-    return {"services": detected} | {name: written(_all(parts), name) for name, parts in tables.items()}
+    types = written(_all(tables.pop("types")), "types")
+    ends = B.with_payloads(_all(tables.pop("endpoints")), types)
+    return {"services": detected, "types": types, "endpoints": written(ends, "endpoints")} | {name: written(_all(parts), name) for name, parts in tables.items()}
 
 
 def connect(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
