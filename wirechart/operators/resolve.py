@@ -2,8 +2,9 @@
 
 Inputs: services(svc_seq, service), hints(svc_seq, hint_seq, service, key, value), endpoints(svc_seq, ep_seq, service,
 method, path, full_path), calls(call_id, svc_seq, ep_seq, call_seq, service, method, raw_url and, where a call came
-resolved, pre_service, pre_path). Containment of names in keys and URLs is an equi join on substrings, so no table is
-joined with another row by row; each rank gives candidate rows and the least rank of a call wins.
+resolved, pre_service, pre_path). Whether a text holds a name is an equi join of the text's three-letter pieces with the name's
+first three letters, then a test of the whole name, so no table is joined with another row by row and names of any length
+count; each rank gives candidate rows and the least rank of a call wins.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ CONFIDENCE = {"1": 0.95, "2a": 0.90, "2b": 0.85, "3a": 0.95, "3b": 0.85, "3c": 0
 #: Endings that are taken off an environment key, in order, and path segments that say nothing.
 KEY_ENDS = ["-url", "-host", "-endpoint", "-base-url", "-service"]
 EMPTY_SEGMENTS = ["api", "v1", "v2", "v3", "rest", "service"]
-#: Longest name that is looked for inside another text.
-LONGEST = 60
+#: Letters that a name and a text must share before the whole name is looked for; shorter names are never looked for.
+PIECE = 3
 _WRITE = ["map", "map_key", "service", "seq", "weak"]
 
 
@@ -63,11 +64,12 @@ def upper_snake(name: Column) -> Column:
     return F.upper(F.replace(kebab(name), F.lit("-"), F.lit("_")))
 
 
-def _parts(text: Column, least: int) -> Column:
-    """The distinct substrings of a text from ``least`` to LONGEST characters."""
-    ends = lambda i: F.transform(F.sequence(F.lit(least), F.least(F.lit(LONGEST), F.greatest(F.length(text) - i + 1, F.lit(least)))), lambda n: F.substring(text, i, n))
-    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (least - 1), F.lit(1))), ends)))
-    return F.filter(every, lambda x: F.length(x) >= least)
+def holding(texts: DataFrame, text: str, names: DataFrame, name: str, least: int = PIECE) -> DataFrame:
+    """Rows of texts with each row of names whose name, of ``least`` characters or more, the text holds."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (PIECE - 1), F.lit(1)))
+    pieces = texts.withColumn("_piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(PIECE))))))
+    own = names.where(F.length(name) >= least).withColumn("_piece", F.substring(name, 1, PIECE))
+    return pieces.join(own, "_piece").where(F.contains(text, name)).drop("_piece")
 
 
 def _forms(services: DataFrame) -> DataFrame:
@@ -84,10 +86,9 @@ def guess_by_key(keys: DataFrame, services: DataFrame, every: bool = False) -> D
     rows = keys.withColumn("k", kebab(F.col("key")))
     seen = F.lit(True) if every else F.col("svc") <= F.col("svc_seq")
     forms = _forms(services)
-    holds = rows.select("id", "svc_seq", "service", F.explode(_parts(F.col("k"), 3)).alias("form")).join(forms, "form").where(seen & (F.col("target") != F.col("service")))
+    holds = holding(rows.select("id", "svc_seq", "service", "k"), "k", forms, "form").where(seen & (F.col("target") != F.col("service")))
     stem = reduce(lambda later, e: F.when(F.col("k").endswith(e), F.substring(F.col("k"), F.lit(1), F.length("k") - len(e))).otherwise(later), reversed(KEY_ENDS), F.col("k"))
-    inside = forms.select("svc", "target", F.explode(_parts(F.col("form"), 3)).alias("stem")).distinct()
-    held = rows.select("id", "svc_seq", "service", stem.alias("stem")).where(F.length("stem") > 2).join(inside, "stem").where(seen & (F.col("target") != F.col("service")))
+    held = holding(forms, "form", rows.select("id", "svc_seq", "service", stem.alias("stem")), "stem").where(seen & (F.col("target") != F.col("service")))
     both = holds.select("id", F.lit(0).alias("way"), "svc", "target").unionByName(held.select("id", F.lit(1).alias("way"), "svc", "target"))
     return both.groupBy("id").agg(F.min(F.struct("way", "svc", "target")).alias("g")).select("id", F.col("g.target").alias("target"))
 
@@ -101,14 +102,19 @@ def guess_by_name(names: DataFrame, services: DataFrame, every: bool = False) ->
     seen = F.lit(True) if every else F.col("svc") <= F.col("svc_seq")
     known = services.select(F.col("svc_seq").alias("svc"), F.col("service").alias("target"), flat(core(F.col("service"))).alias("form"), core(F.col("service")).alias("core"))
     same = rows.withColumn("form", flat(core(F.col("k")))).where("form <> ''").join(known, "form").where(seen & (F.col("target") != F.col("service")))
-    parts = rows.select("id", "svc_seq", "service", F.explode(_parts(F.col("k"), 3)).alias("core")).join(known.where(F.length("core") > 2), "core").where(seen & (F.col("target") != F.col("service")))
+    parts = holding(rows.select("id", "svc_seq", "service", "k"), "k", known, "core").where(seen & (F.col("target") != F.col("service")))
     both = same.select("id", F.lit(0).alias("way"), "svc", "target").unionByName(parts.select("id", F.lit(1).alias("way"), "svc", "target"))
     return both.groupBy("id").agg(F.min(F.struct("way", "svc", "target")).alias("g")).select("id", F.col("g.target").alias("target"))
 
 
+def place(service: Column, phase: Column, n: Column) -> Column:
+    """A place in the order of writes: services, what they write, and the places of that."""
+    return F.struct(service.cast("bigint").alias("svc"), phase.cast("int").alias("phase"), n.cast("bigint").alias("n"))
+
+
 def registry_writes(services: DataFrame, hints: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(map, map_key, service, seq, weak): every write of the five maps in its place in the order of services."""
-    at = lambda phase, n=F.lit(0): (F.col("svc_seq").cast("bigint") * 10_000_000 + phase * 1_000_000 + n.cast("bigint"))
+    at = lambda phase, n=F.lit(0): place(F.col("svc_seq"), F.lit(phase), n)
     write = lambda df, name, key, service, seq, weak=False: df.select(F.lit(name).alias("map"), key.alias("map_key"), service.alias("service"), seq.alias("seq"), F.lit(weak).alias("weak"))
     c = F.col
     h = hints.withColumn("id", F.concat_ws("/", "svc_seq", "hint_seq"))
@@ -124,7 +130,7 @@ def registry_writes(services: DataFrame, hints: DataFrame, endpoints: DataFrame)
     inner = inner.withColumn("id", F.concat_ws("/", "svc_seq", "hint_seq")).join(inner_to, "id").select("svc_seq", "hint_seq", "target", F.explode(F.array("k", "host")).alias("k"))
     plain = h.where(c("value").isNotNull() & ~c("value").rlike("^[a-z]+://")).select("svc_seq", "hint_seq", "service", F.regexp_replace(F.lower("value"), "[^a-z0-9-]", "-").alias("k"))
     env = guessed.select("svc_seq", "hint_seq", "target", F.explode(F.array_distinct(F.array(c("key"), F.upper("key"), upper_snake(c("key"))))).alias("k"))
-    client_keys = guessed.where(c("key").startswith("HTTP_CLIENT_")).select("svc_seq", "hint_seq", "target", F.lower(F.substring("key", 13, LONGEST)).alias("k"))
+    client_keys = guessed.where(c("key").startswith("HTTP_CLIENT_")).select("svc_seq", "hint_seq", "target", F.lower(F.regexp_replace("key", "^HTTP_CLIENT_", "")).alias("k"))
     own = services.select("svc_seq", "service", F.explode(F.array_distinct(F.array(c("service"), F.lower("service"), flat(c("service")), F.lower(flat(c("service")))))).alias("k"))
     pieces = services.select("svc_seq", "service", F.explode(F.array_distinct(F.array(c("service"), flat(c("service"))))).alias("k"))
     says = lambda x: (F.length(x) > 2) & ~x.startswith("{") & ~x.startswith(":") & ~F.lower(x).isin(EMPTY_SEGMENTS)
@@ -184,10 +190,12 @@ def resolve(calls: DataFrame, services: DataFrame, hints: DataFrame, endpoints:
     """
     c = F.col
     maps = written(maps, "registry")  # every rank looks it up
-    calls = calls.withColumns({"url_host": url_host(F.regexp_replace("raw_url", r"\$?\{[^}]*\}", "placeholder")), "var": _variable(c("raw_url"))})
+    # every rank reads the calls again, so host and variable are found once
+    calls = written(calls.withColumns({"url_host": url_host(F.regexp_replace("raw_url", r"\$?\{[^}]*\}", "placeholder")), "var": _variable(c("raw_url"))}), "calls")
     at = lambda name, key: maps.where(c("map") == name).select(c("map_key").alias(key), c("service").alias("target"), "position")
     other = lambda df: df.where(c("target") != c("service"))
-    give = lambda df, rank, path, tie=F.lit(0): df.select("call_id", F.lit(rank).alias("rank"), tie.cast("bigint").alias("tie"), c("target"), path.cast("string").alias("resolved_path"))
+    first_ = place(F.lit(0), F.lit(0), F.lit(0))
+    give = lambda df, rank, path, tie=first_: df.select("call_id", F.lit(rank).alias("rank"), tie.alias("tie"), c("target"), path.cast("string").alias("resolved_path"))
     web = calls.where(c("raw_url").startswith("http"))
     out = [give(calls.where(c("pre_service").isNotNull()).withColumn("target", c("pre_service")), "0", c("pre_path"))]
     out.append(give(web.withColumn("target", external_name(c("url_host"))).where("target is not null"), "1", _after(c("raw_url"))))
@@ -200,12 +208,12 @@ def resolve(calls: DataFrame, services: DataFrame, hints: DataFrame, endpoints:
     out.append(give(said.withColumn("target", external_name(c("value_host"))).where("target is not null"), "2a", _after(c("value"))))
     out.append(give(other(said.join(at("host", "value_host"), "value_host")), "2b", _after(c("value"))))
     scheme = calls.withColumn("name", F.regexp_extract("raw_url", r"^(?:feign|lb)://([^/]+)", 1)).where("name <> ''")
-    place = F.regexp_extract("raw_url", r"^\w+://[^/]+([^?#]*)", 1)
-    place = template_path(F.when(place == "", "/").otherwise(place))
+    where = F.regexp_extract("raw_url", r"^\w+://[^/]+([^?#]*)", 1)
+    where = template_path(F.when(where == "", "/").otherwise(where))
     clients = at("client", "k")
-    out.append(give(other(scheme.withColumn("k", F.explode(F.array_distinct(F.array("name", F.lower("name"))))).join(clients, "k")), "3a", place))
+    out.append(give(other(scheme.withColumn("k", F.explode(F.array_distinct(F.array("name", F.lower("name"))))).join(clients, "k")), "3a", where))
     guessed = guess_by_name(scheme.select(c("call_id").alias("id"), "svc_seq", "service", "name"), services, every=True)
-    out.append(give(scheme.join(guessed.withColumnRenamed("id", "call_id"), "call_id"), "3b", place))
+    out.append(give(scheme.join(guessed.withColumnRenamed("id", "call_id"), "call_id"), "3b", where))
     out.append(give(other(calls.where(~c("raw_url").rlike(r"[/{]|^http")).withColumn("k", c("raw_url")).join(clients, "k")), "3c", F.lit(None)))
     path = F.when(~_after(c("raw_url")).startswith("/placeholder"), _after(c("raw_url")))
     hosts = at("host", "url_host")
@@ -223,12 +231,12 @@ def resolve(calls: DataFrame, services: DataFrame, hints: DataFrame, endpoints:
     left = calls.join(first, "call_id", "left_anti")
     late = []
     for rank, name, least in (("6", "fragment", 3), ("7", "client", 4)):
-        held = left.select("call_id", "service", "raw_url", F.explode(_parts(F.lower("raw_url"), least)).alias("k")).join(at(name, "k"), "k")
+        held = holding(left.select("call_id", "service", "raw_url", F.lower("raw_url").alias("url")), "url", at(name, "k"), "k", least)
         tail = F.substring(c("raw_url"), F.instr(F.lower("raw_url"), c("k")) + F.length("k"), F.length("raw_url"))
         late.append(give(other(held), rank, F.when(tail == "", "/").otherwise(tail), c("position")))
     same = endpoints.select(template_path(c("path")).alias("n"), c("service").alias("target"), "svc_seq", "ep_seq")
     own = left.where(c("raw_url").startswith("/")).withColumn("n", template_path(c("raw_url"))).drop("svc_seq", "ep_seq").join(same, "n")
-    late.append(give(other(own), "8", c("raw_url"), c("svc_seq") * 1_000_000 + c("ep_seq")))
+    late.append(give(other(own), "8", c("raw_url"), place(c("svc_seq"), F.lit(0), c("ep_seq"))))
     best = reduce(DataFrame.unionByName, [first, *late])
     best = best.groupBy("call_id").agg(F.min(F.struct("rank", "tie", "target", "resolved_path")).alias("b"))
     sure = F.create_map(*[F.lit(x) for pair in ({"0": 0.95} | CONFIDENCE).items() for x in pair])

@@ -18,6 +18,7 @@ from wirechart.plans import trees
 from wirechart.plans.catalog import query
 from wirechart.plans.trees import CALLS, HANDLER, HANDLERS, LINES, RESOLVED
 from wirechart.sources.files import service_roots
+from wirechart.storage import written
 
 
 @query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, CAST({LINES} AS INTEGER) AS line, 'GET' AS method, '/nation-' || n || '/supplier/' || s AS full_path, {HANDLER} AS handler,
@@ -170,8 +171,12 @@ def spec_dependencies(spark, d):
     return I.spec_dependencies(I.openapi_specs(trees.interface_files(spark, d, "openapi")))
 
 
+def _inputs(spark, d):
+    return {name: written(table, name) for name, table in trees.graph_inputs(spark, d).items()}
+
+
 def _resolved(spark, d):
-    t = trees.graph_inputs(spark, d)
+    t = _inputs(spark, d)
     maps = S.registry(S.registry_writes(t["services"], t["hints"], t["endpoints"]))
     return t, S.resolve(t["calls"], t["services"], t["hints"], t["endpoints"], maps)
 
@@ -259,7 +264,7 @@ def conditional_calls(spark, d):
 
 
 def _registry(spark, d):
-    t = trees.graph_inputs(spark, d)
+    t = _inputs(spark, d)
     return t, S.registry(S.registry_writes(t["services"], t["hints"], t["endpoints"]))
 
 
@@ -281,6 +286,31 @@ def resolve_by_hints(spark, d):
     return out.select("call_id", "rank", "resolved_service", "resolved_path", "confidence")
 
 
+_LATE = f"""WITH {HANDLERS}, c AS (SELECT *, s % 3 AS f FROM h)
+  SELECT s AS call_id, CASE f WHEN 0 THEN '5c' WHEN 1 THEN '7' ELSE '8' END AS rank, CASE f WHEN 0 THEN 'depot-' || t WHEN 1 THEN 'depot-' || t ELSE 'depot-' || CASE WHEN n = 0 THEN 1 ELSE 0 END END AS resolved_service,
+    CASE f WHEN 0 THEN '/z/{{x}}' WHEN 1 THEN '/tail' ELSE '/common/' || ':id' END AS resolved_path, CAST(CASE f WHEN 0 THEN 0.8 ELSE 0.55 END AS DOUBLE) AS confidence FROM c"""
+
+
+@query(_LATE)
+def resolve_late_ranks(spark, d):
+    """Calls that only a variable's value, a client's name inside the URL or a path that another service declares can resolve."""
+    h = trees.handlers(spark, d)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    name = lambda c: F.concat(F.lit("depot-"), c.cast("string"))
+    services = written(h.select(F.col("n").alias("svc_seq"), name(F.col("n")).alias("service")).distinct(), "services")
+    # each nation says where the next one is under a key that names no service
+    hints = h.where("i = 0").select(F.col("n").alias("svc_seq"), F.lit(0).alias("hint_seq"), name(F.col("n")).alias("service"), F.concat(F.lit("PEER_"), two(F.col("t")), F.lit("_AT")).alias("key"), F.concat(F.lit("http://host-"), two(F.col("t")), F.lit("/v")).alias("value"))
+    ends = h.where("i = 0").select(F.col("n").alias("svc_seq"), F.lit(0).alias("ep_seq"), name(F.col("n")).alias("service"), F.lit("GET").alias("method"), F.lit("/common/{id}").alias("path"), F.lit("/common/{id}").alias("full_path"))
+    known = services.select(F.lit("host").alias("map"), F.concat(F.lit("host-"), two(F.col("svc_seq"))).alias("map_key"), "service", S.place(F.col("svc_seq"), F.lit(0), F.lit(0)).alias("position"))
+    clients = services.select(F.lit("client").alias("map"), F.concat(F.lit("peer_"), two(F.col("svc_seq"))).alias("map_key"), "service", S.place(F.col("svc_seq"), F.lit(1), F.lit(0)).alias("position"))
+    form = F.col("s") % 3
+    url = F.when(form == 0, F.concat(F.lit("${"), F.lit("PEER_"), two(F.col("t")), F.lit("_AT}/z/${id}"))).when(form == 1, F.concat(F.lit("x:PEER_"), two(F.col("t")), F.lit("/tail"))).otherwise(F.lit("/common/:id"))
+    nothing = F.lit(None).cast("string")
+    calls = h.select(F.col("s").alias("call_id"), F.col("n").alias("svc_seq"), F.col("i").alias("ep_seq"), F.lit(1).alias("call_seq"), name(F.col("n")).alias("service"), F.lit("GET").alias("method"), url.alias("raw_url"), nothing.alias("pre_service"), nothing.alias("pre_path"))
+    out = S.resolve(calls, services, written(hints, "hints"), written(ends, "ends"), known.unionByName(clients))
+    return out.select("call_id", "rank", "resolved_service", "resolved_path", "confidence")
+
+
 def _endpoint_edges(spark, d):
     h = trees.handlers(spark, d)
     name = lambda c: F.concat(F.lit("nation-"), F.col(c).cast("string"))
