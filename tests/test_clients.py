@@ -84,3 +84,30 @@ def test_nested_types_end_at_cycles(spark):
 
     t = spark.createDataFrame([("s", "A", [("b", "B[]", True), ("x", "string", False)], "dto-class"), ("s", "B", [("a", "A", True)], "dto-class"), ("s", "C", [], "dto-class")], "service string, type_name string, fields array<struct<name: string, type: string, required: boolean>>, source string")
     assert got(payloads.nested(t), "root", "place", "depth", "is_cycle") == [("A", "b", 1, False), ("A", "b.a", 2, True), ("A", "x", 1, False), ("B", "a", 1, False), ("B", "a.b", 2, True), ("B", "a.x", 2, False)]
+
+
+def test_several_topics_brokers_and_hidden_roots(spark):
+    from wirechart.operators import facts, usage
+    from wirechart.sources import files as sources
+
+    java = '@KafkaListener(groupId = "g", topics = {"a", "b"})\n@SendTo("c")\n'
+    assert got(usage.messages(files(spark, ("A.java", java)), "java"), "topic", "direction", "pattern") == [("a", "subscribe", "kafka"), ("b", "subscribe", "kafka"), ("c", "publish", "kafka")]
+    python = '@app.task(name="mails.send")\ndef f():\n    pass\nconsumer.subscribe(["x", "y"])\n'
+    assert got(usage.messages(files(spark, ("a.py", python)), "python"), "topic", "pattern") == [("mails.send", "redis-pubsub"), ("x", "kafka"), ("y", "kafka")]
+    assert got(usage.messages(files(spark, ("a.ts", "await consumer.subscribe({ fromBeginning: true, topics: ['p', 'q'] });\n")), "typescript"), "topic") == [("p",), ("q",)]
+    go = 'db.Model(&models.Order{}).Where()\n'
+    assert got(usage.stores(files(spark, ("a.go", go)), "go"), "name", "access") == [("Order", "gorm-model")]
+    roots = spark.createDataFrame([("r", p, "{}") for p in (".github/x/package.json", "node_modules/y/package.json", "z/package.json")], "root string, path string, content string")
+    assert got(sources.service_roots(roots), "folder") == [("z",)]
+    settings = '{\n  "Stock": {\n    "BaseUrl": "http://stock",\n    "Level": "info"\n  }\n}\n'
+    sharp = 'services.AddHttpClient("mail-api", c => c.BaseAddress = new Uri("http://mail:1"));\nservices.AddHttpClient("plain");\n'
+    assert got(facts.url_hints(files(spark, ("appsettings.json", settings), ("S.cs", sharp)), "csharp"), "key", "value") == [("BaseUrl", "http://stock"), ("HTTP_CLIENT_MAIL_API", "http://mail:1"), ("HTTP_CLIENT_PLAIN", "http://plain")]
+
+
+def test_serializers_list_fields_of_models(spark):
+    from wirechart.operators import facts
+
+    models = "class Thing(models.Model):\n    name = models.CharField(max_length=9)\n    size = models.IntegerField(null=True)\n"
+    own = 'class A(serializers.ModelSerializer):\n    class Meta:\n        model = models.Thing\n        fields = ["size", "extra"]\n\nclass B(serializers.ModelSerializer):\n    code = serializers.IntegerField()\n    class Meta:\n        model = Thing\n        fields = "__all__"\n\nclass C(serializers.ModelSerializer):\n    class Meta:\n        model = Thing\n        exclude = ("size",)\n'
+    rows = facts.payload_types(files(spark, ("models.py", models), ("s.py", own)), "python").collect()
+    assert {r.type_name: [(f.name, f.type, f.required) for f in r.fields] for r in rows if r.source == "serializer"} == {"A": [("size", "integer", False), ("extra", "any", False)], "B": [("code", "integer", True)], "C": [("name", "string", True)]}

@@ -20,30 +20,34 @@ def _message(name: str, pattern: str, direction: str) -> Rule:
 #: By language: broker, pattern of a topic and direction.
 MESSAGES = {
     "java": [
-        _message("kafka", r"@KafkaListener\([^)]*topics\s*=\s*\{?\s*\"([^\"]+)\"", "subscribe"),
+        _message("kafka", r"@KafkaListener\([^)]*\btopics\s*=\s*(\{[^}]*\}|\"[^\"]+\")", "subscribe"),
         _message("kafka", r"\b\w*[kK]afkaTemplate\.send\(\s*\"([^\"]+)\"", "publish"),
-        _message("rabbitmq", r"@RabbitListener\([^)]*queues\s*=\s*\{?\s*\"([^\"]+)\"", "subscribe"),
-        _message("rabbitmq", r"\b\w*[rR]abbitTemplate\.convertAndSend\(\s*\"([^\"]+)\"", "publish"),
+        _message("rabbitmq", r"@RabbitListener\([^)]*\bqueues\s*=\s*(\{[^}]*\}|\"[^\"]+\")", "subscribe"),
+        _message("rabbitmq", r"\b\w*[rR]abbitTemplate\.(?:convertAndSend|send)\(\s*\"([^\"]+)\"", "publish"),
+        _message("kafka", r"@SendTo\(\s*(\{[^}]*\}|\"[^\"]+\")", "publish"),
     ],
     "csharp": [
         _message("kafka", r"\.Subscribe\(\s*\"([^\"]+)\"", "subscribe"),
+        _message("kafka", r"\.Subscribe\(\s*new\s*(?:List<string>|\[\]|string\[\])?\s*(?:\(\))?\s*(\{[^}]*\})", "subscribe"),
+        _message("rabbitmq", r"\.ReceiveEndpoint\(\s*\"([^\"]+)\"", "subscribe"),
         _message("kafka", r"\.ProduceAsync\(\s*\"([^\"]+)\"", "publish"),
         _message("rabbitmq", r"\.BasicConsume\(\s*(?:queue:\s*)?\"([^\"]+)\"", "subscribe"),
         _message("rabbitmq", r"\.BasicPublish\(\s*(?:exchange:\s*)?\"([^\"]*)\"", "publish"),
     ],
     "python": [
         _message("kafka", r"\bKafkaConsumer\(\s*[\"']([^\"']+)", "subscribe"),
+        _message("kafka", r"\bconsumer\.subscribe\(\s*(\[[^\]]*\])", "subscribe"),
         _message("kafka", r"\bproducer\.send(?:_and_wait)?\(\s*[\"']([^\"']+)", "publish"),
         _message("rabbitmq", r"\.basic_consume\([^)]*queue\s*=\s*[\"']([^\"']+)", "subscribe"),
         _message("rabbitmq", r"\.basic_publish\([^)]*(?:routing_key|exchange)\s*=\s*[\"']([^\"']+)", "publish"),
-        _message("rabbitmq", r"@(?:\w+\.)?task\([^)]*name\s*=\s*[\"']([^\"']+)", "subscribe"),
-        _message("rabbitmq", r"\.send_task\(\s*[\"']([^\"']+)", "publish"),
+        _message("redis-pubsub", r"@(?:\w+\.)?task\([^)]*name\s*=\s*[\"']([^\"']+)", "subscribe"),
+        _message("redis-pubsub", r"\.send_task\(\s*[\"']([^\"']+)", "publish"),
         _message("redis-pubsub", r"\.subscribe\(\s*[\"']([^\"']+)", "subscribe"),
         _message("redis-pubsub", r"\bredis\w*\.publish\(\s*[\"']([^\"']+)", "publish"),
     ],
     "typescript": [
         _message("kafka", rf"@(?:MessagePattern|EventPattern)\(\s*{_Q}", "subscribe"),
-        _message("kafka", rf"\bconsumer\.subscribe\(\s*\{{[^}}]*topics?\s*:\s*\[?\s*{_Q}", "subscribe"),
+        _message("kafka", rf"\bconsumer\.subscribe\(\s*\{{[^}}]*?\btopics?\s*:\s*(\[[^\]]*\]|[\"'`][^\"'`]+[\"'`])", "subscribe"),
         _message("kafka", rf"\bproducer\.send\(\s*\{{[^}}]*topic\s*:\s*{_Q}", "publish"),
         _message("kafka", rf"\b\w*[cC]lient\.(?:emit|send)\(\s*{_Q}", "publish"),
         _message("rabbitmq", rf"\bchannel\.consume\(\s*{_Q}", "subscribe"),
@@ -66,6 +70,9 @@ def messages(files: DataFrame, language: str) -> DataFrame:
     """(service, path, line, topic, direction, pattern): once for each broker, direction and topic of a service."""
     rows = with_context(lines(files), ahead=4, back=0)
     marks = apply(rows, MESSAGES[language], ["topic", "direction"], ["service", "path", "line"]).where("topic is not null")
+    # a list of topics in brackets, or one in its quotes, is as many messages as it has texts
+    every = F.regexp_extract_all("topic", F.lit("[\"'`]([^\"'`]+)[\"'`]"), F.lit(1))
+    marks = marks.withColumn("topic", F.explode(F.when(F.col("topic").rlike("^[{\\[\"'`]"), every).otherwise(F.array("topic"))))
     once = first_of(marks, ["service", "rule", "direction", "topic"], ["path", "line", "rank"])
     return once.select("service", "path", "line", "topic", "direction", F.col("rule").alias("pattern"))
 
@@ -85,7 +92,7 @@ STORES = {
         _store("sql", "sequelize-table", r"\btableName\s*:\s*[\"'`](\w+)"),
         _store("sql", "knex", r"\bknex\(\s*[\"'`](\w+)"),
         _store("sql", "raw", _STATEMENT),
-        _store("mongodb", "mongoose", r"\b(?:mongoose\.)?model(?:<[^>]*>)?\(\s*[\"'`](\w+)"),
+        _store("mongodb", "mongoose", r"(?:(?<![.\w])|\b(?:mongoose|conn|connection|db)\.)model(?:<[^()\n]*>)?\(\s*[\"'`](\w+)"),
         _store("mongodb", "driver", r"\.collection\(\s*[\"'`](\w+)"),
         _store("redis", "cache-key", r"\bredis\w*\.(?:get|set|hget|hset|del|setex|expire)\(\s*[\"'`](\w+)"),
         _store("dynamodb", "table", r"\bTableName\s*:\s*[\"'`]([\w.-]+)"),
@@ -93,6 +100,8 @@ STORES = {
     ],
     "python": [
         _store("sql", "orm-model", r"__tablename__\s*=\s*[\"'](\w+)"),
+        _store("sql", "orm-table", r"(?<![.\w])Table\(\s*[\"'](\w+)"),
+        _store("sql", "orm-query", r"\bsession\.query\(\s*(?:\w+\.)*([A-Z]\w*)"),
         _store("sql", "django-table", r"\bdb_table\s*=\s*[\"'](\w+)"),
         _store("sql", "django-model", r"^class\s+(\w+)\(\s*models\.Model\s*\)"),
         _store("sql", "raw", _STATEMENT),
@@ -104,15 +113,18 @@ STORES = {
     "go": [
         _store("sql", "raw", _STATEMENT),
         _store("sql", "gorm", r"\.Table\(\s*\"(\w+)\""),
+        _store("sql", "gorm-model", r"\.Model\(\s*&?(?:\w+\.)*([A-Z]\w*)\{"),
+        _store("dynamodb", "table", r"\bTableName:\s*aws\.String\(\s*\"([\w.-]+)"),
         _store("sql", "gorm-name", r"TableName\(\)\s*string\s*\{\s*return\s*\"(\w+)\""),
         _store("mongodb", "driver", r"\.Collection\(\s*\"(\w+)\""),
         _store("redis", "cache-key", r"\b(?:rdb|redis\w*)\.(?:Get|Set|HGet|HSet|Del)\(\s*\w+\s*,\s*\"(\w+)"),
     ],
     "java": [
-        _store("sql", "table", r"@Table\(\s*(?:name\s*=\s*)?\"(\w+)\""),
+        _store("sql", "table", r"@Table\((?:[^()]*\bname\s*=)?\s*\"(\w+)\""),
         _store("sql", "query", r"@Query\([^\"]*\"[^\"]*?" + _SQL),
         _store("sql", "raw", _STATEMENT),
         _store("mongodb", "document", r"@Document\(\s*(?:collection\s*=\s*|value\s*=\s*)?\"(\w+)\""),
+        _store("dynamodb", "table", r"@DynamoDBTable\(\s*tableName\s*=\s*\"([\w.-]+)"),
         _store("redis", "hash", r"@RedisHash\(\s*\"(\w+)\""),
         _store("elasticsearch", "index", r"@Document\(\s*indexName\s*=\s*\"([\w-]+)\""),
     ],
@@ -122,6 +134,8 @@ STORES = {
         _store("sql", "to-table", r"\.ToTable\(\s*\"(\w+)\""),
         _store("sql", "raw", _STATEMENT),
         _store("mongodb", "driver", r"\.GetCollection<\w+>\(\s*\"(\w+)\""),
+        _store("mongodb", "attribute", r"\[(?:Bson)?Collection\(\s*\"(\w+)\""),
+        _store("dynamodb", "table", r"\[DynamoDBTable\(\s*\"([\w.-]+)\""),
         _store("redis", "cache-key", r"\.String(?:Get|Set)(?:Async)?\(\s*\$?\"(\w+)"),
     ],
 }

@@ -72,6 +72,13 @@ def payload_types(spark, d):
     return rows.select("service", "type_name", F.size("fields").cast("bigint").alias("n_fields"), F.element_at("fields.type", 1).alias("type"), F.element_at("fields.required", 1).alias("required"), F.array_join("fields.name", ",").alias("names"))
 
 
+@query(f"""WITH {HANDLERS} SELECT 'nation-' || n AS service, 'NationSerializer' AS type_name, coalesce(string_agg('supplier' || s || ':decimal', ',' ORDER BY s) FILTER (WHERE n % 3 = 0 OR s % 2 = 0), '') AS fields FROM h GROUP BY n""")
+def serializer_fields(spark, d):
+    """Serializers that list their fields in Meta take types from the model's class in another file."""
+    rows = T.payload_types(written(trees.serializers(spark, d), "sources"), "python").where("source = 'serializer'")
+    return rows.select("service", "type_name", F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",").alias("fields"))
+
+
 _NUMBER = "CASE n % 5 WHEN 0 THEN 'number' ELSE 'integer' END"
 _AFTER = f"{HANDLERS}, x AS (SELECT a.n, a.s, b.s AS after FROM h a JOIN h b ON a.n = b.n AND b.i = (a.i + 1) % a.k)"
 

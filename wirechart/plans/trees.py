@@ -147,6 +147,20 @@ def payloads(spark: SparkSession, d: str, language: str) -> DataFrame:
     return _files(h.where("s % 2 = 0"), language, "src/payloads.dto", "", body[language], "")
 
 
+def serializers(spark: SparkSession, d: str) -> DataFrame:
+    """A model for each nation in one file, with a field for each supplier, and a serializer in another that lists all, the even or all but the odd ones."""
+    h = handlers(spark, d)
+    head = F.concat(F.lit("class Nation"), F.col("n").cast("string"), F.lit("(models.Model):\n"))
+    even = F.array_join(F.transform(F.filter("x", lambda x: x["s"] % 2 == 0), lambda x: F.concat(F.lit("'supplier"), x["s"].cast("string"), F.lit("'"))), ", ")
+    odd = F.array_join(F.transform(F.filter("x", lambda x: x["s"] % 2 == 1), lambda x: F.concat(F.lit('"supplier'), x["s"].cast("string"), F.lit('"'))), ",\n            ")
+    listed = F.when(F.col("n") % 3 == 0, F.lit("        fields = '__all__'\n")).when(F.col("n") % 3 == 1, F.concat(F.lit("        fields = ["), even, F.lit("]\n"))).otherwise(F.concat(F.lit("        exclude = (\n            "), odd, F.lit(")\n")))
+    each = h.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("s", _fill("    supplier<s> = models.DecimalField(null=True)\n").alias("a")))).alias("x"))
+    name = F.concat(F.lit("nation-"), F.col("n").cast("string")).alias("service")
+    models = each.select(name, F.lit("models.py").alias("path"), F.concat(head, F.array_join(F.transform("x", lambda x: x["a"]), "")).alias("content"))
+    own = F.concat(F.lit("class NationSerializer(serializers.ModelSerializer):\n    class Meta:\n        model = Nation"), F.col("n").cast("string"), F.lit("\n"), listed)
+    return models.unionByName(each.select(name, F.lit("serializers.py").alias("path"), own.alias("content")))
+
+
 def usages(spark: SparkSession, d: str, language: str) -> DataFrame:
     """A line for each supplier that publishes on a topic, subscribes to another, uses a table and imports a library."""
     h = handlers(spark, d).withColumn("i", F.col("s") % 3)

@@ -146,6 +146,9 @@ def service_roots(files: DataFrame, depth: int = 3) -> DataFrame:
     rows = files.select("root", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("folder"), F.element_at(parts, -1).alias("name"), (F.size(parts) - 1).alias("depth"), "content")
     workspace = (F.col("depth") == 0) & (F.col("name") == "package.json") & F.get_json_object("content", "$.workspaces").isNotNull()
     marked = rows.withColumn("rank", _rank(F.col("name"))).where(F.col("rank").isNotNull() & (F.col("depth") <= depth) & ~F.coalesce(workspace, F.lit(False)))
+    # hidden folders and those that are never read mark nothing, nor does what lies in them
+    hidden = lambda x: x.startswith(".") | x.isin(SKIPPED)
+    marked = marked.where(~F.exists(F.split("folder", "/"), hidden))
     best = marked.groupBy("root", "folder", "depth").agg(F.min(F.struct("rank", "name")).alias("m"))
     names = F.array(*[F.lit(x) for _, x in MARKERS])
     best = best.select("root", "folder", "depth", F.col("m.name").alias("marker"), F.get(names, F.col("m.rank")).alias("language"))
