@@ -78,3 +78,21 @@ def test_names_and_paths(spark):
         X.kebab(F.lit("OrderPlaced")).alias("kebab"),
     ).first()
     assert tuple(row) == ("acme-order-service", "/api/users/{x}/{x}", "order_service", "/", "/api", "order-placed")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_reach_each_other(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(str(rng.randrange(16)), str(rng.randrange(16))) for _ in range(24)}
+    reach = {n: {b for a, b in pairs if a == n and a != b} for n in map(str, range(16))}
+    for _ in range(16):
+        reach = {a: own | {c for b in own for c in reach[b]} for a, own in reach.items()}
+    want = {(a, min(b for b in own if a in reach[b])) for a, own in reach.items() if a in own}
+    assert {tuple(r) for r in G.strong_components(edges(spark, *pairs)).collect()} == want
+
+
+def test_walks_of_a_dense_graph_without_cycles_end_at_once(spark):
+    """Every path of this graph is a walk that can't close: 2 ** 38 of them would be followed without components."""
+    dense = edges(spark, *[(f"{a:02}", f"{b:02}") for a in range(40) for b in range(a + 1, 40)], ("39", "40"), ("40", "39"))
+    assert [r.cycle for r in G.cycles(dense).collect()] == ["39>40>39"]
+    assert G.cycles(edges(spark, ("a", "b"))).count() == 0

@@ -82,9 +82,67 @@ def _levels(start: DataFrame, step, depth: int | None) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that begin at a called service and end at a calling one, again and again until all do: what is left leads from cycles to cycles."""
+    left, n = edges, edges.count()
+    while n:
+        called = left.select(F.col("to_service").alias("from_service")).distinct()
+        calling = left.select(F.col("from_service").alias("to_service")).distinct()
+        left = written(left.join(called, "from_service", "left_semi").join(calling, "to_service", "left_semi").select("from_service", "to_service"), "trimmed")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(service, component) of every service on a cycle; a component is all that reach each other, named by its least service.
+
+    Forward and backward colouring: after trimming, each service takes the least name that reaches it; what reaches that
+    name within its colour is a component. The rest goes on in the next round, so at least one component leaves in each.
+    """
+    left = written(edges.where("from_service <> to_service").select("from_service", "to_service").distinct(), "edges")
+    found = []
+    while True:
+        left = _trimmed(left)
+        if left.isEmpty():
+            break
+        colours = left.select(F.explode(F.array("from_service", "to_service")).alias("service")).distinct().withColumns({"colour": F.col("service"), "moved": F.lit(True)})
+        while True:
+            given = left.join(colours.where("moved").select(F.col("service").alias("from_service"), "colour"), "from_service").groupBy(F.col("to_service").alias("service")).agg(F.min("colour").alias("new"))
+            colours = colours.join(given, "service", "left").select("service", F.least("colour", F.coalesce("new", "colour")).alias("colour"), F.coalesce(F.col("new") < F.col("colour"), F.lit(False)).alias("moved"))
+            colours = written(colours, "colours")
+            if colours.where("moved").isEmpty():
+                break
+        own = colours.select("service", "colour")
+        inner = left.join(own.toDF("from_service", "colour"), "from_service").join(own.toDF("to_service", "end"), "to_service").where("colour = end").select("from_service", "to_service")
+        inner = written(inner, "inner")
+        members = last = own.where("service = colour")
+        while True:
+            more = inner.join(last.select(F.col("service").alias("to_service"), "colour"), "to_service").select(F.col("from_service").alias("service"), "colour").distinct()
+            last = written(more.join(members, "service", "left_anti"), "members")
+            if last.isEmpty():
+                break
+            members = members.unionByName(last)
+        members = written(members.select("service", F.col("colour").alias("component")), "components")
+        found.append(members)
+        gone = members.select("service")
+        left = written(left.join(gone.toDF("from_service"), "from_service", "left_anti").join(gone.toDF("to_service"), "to_service", "left_anti"), "left")
+    if not found:
+        return left.select(F.col("from_service").alias("service"), F.col("to_service").alias("component")).where(F.lit(False))
+    every = reduce(DataFrame.unionByName, found)
+    return every.join(every.groupBy("component").count().where("count > 1"), "component", "left_semi").select("service", "component")
+
+
 def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """Elementary cycles as 'a>b>..>a' from the least name on; with ``longest``, those of at most so many services."""
-    e = written(edges.where("from_service <> to_service").select("from_service", "to_service").distinct(), "edges")
+    """Elementary cycles as 'a>b>..>a' from the least name on; with ``longest``, those of at most so many services.
+
+    Walks begin and stay inside a strong component, so none is followed that can't come back.
+    """
+    members = strong_components(edges)
+    e = edges.where("from_service <> to_service").select("from_service", "to_service").distinct()
+    e = e.join(members.toDF("from_service", "component"), "from_service").join(members.toDF("to_service", "other"), "to_service")
+    e = written(e.where("component = other").select("from_service", "to_service"), "edges")
     start = e.where("to_service > from_service").select(F.col("from_service").alias("root"), F.col("to_service").alias("at"), F.concat(F.lit(">"), "from_service", F.lit(">"), "to_service", F.lit(">")).alias("path"))
 
     def step(walk: DataFrame) -> DataFrame:
@@ -154,14 +212,23 @@ def neighbourhood(edges: DataFrame, centre: DataFrame) -> DataFrame:
     return centre.select("service").unionByName(there).unionByName(back).distinct()
 
 
-def insights(calls: DataFrame, cycle_rows: DataFrame) -> DataFrame:
-    """severity, type, subject, n for cycles, fan-out, fan-in and tight coupling."""
+def insights(calls: DataFrame, cycle_rows: DataFrame, missing: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """severity, type, subject, n for cycles, fan-out, fan-in and tight coupling.
+
+    missing(from_service, n), calls that nothing resolved, adds one row for all of them; services(service, endpoints) one for each that
+    has endpoints but no edge.
+    """
     d = degrees(calls)
-    row = lambda df, severity, kind, subject, n: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.col(subject).alias("subject"), F.col(n).cast("bigint").alias("n"))
+    row = lambda df, severity, kind, subject, n: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.col(subject).cast("string").alias("subject"), F.col(n).cast("bigint").alias("n"))
     parts = [
         row(cycle_rows.withColumn("n", F.size(F.split("cycle", ">")) - 1), "error", "circular-dependency", "cycle", "n"),
         row(d.where(F.col("out_degree") >= FAN_OUT), "warning", "high-fan-out", "service", "out_degree"),
         row(d.where(F.col("in_degree") >= FAN_IN), "warning", "high-fan-in", "service", "in_degree"),
-        row(tight_coupling(calls).withColumn("pair", F.concat_ws(">", "from_service", "to_service")), "warning", "tight-coupling", "pair", "calls"),
     ]
+    if missing is not None:
+        whole = missing.agg(F.sum("n").alias("n"), F.count("*").alias("of")).where("n > 0").withColumn("of", F.concat("of", F.lit(" services")))
+        parts.append(row(whole, "info", "unresolved-calls", "of", "n"))
+    parts.append(row(tight_coupling(calls).withColumn("pair", F.concat_ws(">", "from_service", "to_service")), "warning", "tight-coupling", "pair", "calls"))
+    if services is not None:
+        parts.append(row(isolated(services, calls), "info", "isolated-service", "service", "endpoints"))
     return reduce(DataFrame.unionByName, parts)

@@ -164,6 +164,31 @@ def insights_union(spark, d):
     return G.insights(calls, G.cycles(calls))
 
 
+@query(f"""WITH RECURSIVE {SPARSE}, x AS (SELECT DISTINCT from_service AS a, to_service AS b FROM g WHERE from_service <> to_service), reach AS (SELECT a, b FROM x UNION SELECT reach.a, x.b FROM reach JOIN x ON reach.b = x.a)
+  SELECT f.a AS service, min(f.b) AS component FROM reach f JOIN reach r ON f.a = r.b AND f.b = r.a GROUP BY f.a""")
+def strong_components(spark, d):
+    return G.strong_components(supplier_calls(spark, d))
+
+
+_SERVED = "v AS (SELECT CAST(o_custkey AS VARCHAR) AS from_service, CAST(o_custkey * 7 % 1500 AS VARCHAR) AS to_service, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+@query(f"""WITH {_SERVED}, g AS (SELECT * FROM v WHERE o_orderkey % 4 > 0 AND CAST(from_service AS INTEGER) < CAST(to_service AS INTEGER)), {_DEGREES.format('g')}, m AS (SELECT from_service, count(*) AS n FROM v WHERE o_orderkey % 4 = 0 GROUP BY 1),
+  pc AS (SELECT from_service, to_service, count(*) AS calls, CAST(sum(count(*)) OVER (PARTITION BY from_service) AS BIGINT) AS total FROM g WHERE from_service <> to_service GROUP BY 1, 2)
+  SELECT 'warning' AS severity, 'high-fan-out' AS type, service AS subject, out_degree AS n FROM d WHERE out_degree >= 3 UNION ALL SELECT 'warning', 'high-fan-in', service, in_degree FROM d WHERE in_degree >= 4
+  UNION ALL SELECT 'warning', 'tight-coupling', from_service || '>' || to_service, calls FROM pc WHERE calls * 10 >= total * 4 AND calls >= 3
+  UNION ALL SELECT 'info', 'unresolved-calls', count(*) || ' services', CAST(sum(n) AS BIGINT) FROM m HAVING sum(n) > 0
+  UNION ALL SELECT 'info', 'isolated-service', CAST(c_custkey AS VARCHAR), c_nationkey FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer) WHERE c_nationkey > 0 AND CAST(c_custkey AS VARCHAR) NOT IN (SELECT from_service FROM g WHERE from_service <> to_service UNION SELECT to_service FROM g WHERE from_service <> to_service)""")
+def insights_in_full(spark, d):
+    """All six kinds of findings over a graph without cycles: a fourth of its calls is resolved by nothing, and some services have no edge."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    rows = urgent.select(F.col("o_custkey").cast("string").alias("from_service"), (F.col("o_custkey") * 7 % 1500).cast("string").alias("to_service"), F.col("o_orderkey").alias("call_seq"), F.lit("?").alias("raw_url"))
+    calls = rows.where(F.col("call_seq") % 4 > 0).where(F.col("from_service").cast("int") < F.col("to_service").cast("int"))
+    missing = G.unresolved(rows.where(F.col("call_seq") % 4 == 0).withColumn("to_service", F.lit(None).cast("string")))
+    services = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("service"), F.col("c_nationkey").alias("endpoints"))
+    return G.insights(calls, G.cycles(calls), missing, services)
+
+
 @query(f"WITH {SPARSE} SELECT service FROM (SELECT 'NATION_10' AS service UNION SELECT to_service FROM g WHERE from_service = 'NATION_10' UNION SELECT from_service FROM g WHERE to_service = 'NATION_10')")
 def one_hop_neighbourhood(spark, d):
     return G.neighbourhood(supplier_calls(spark, d), spark.range(1).select(F.lit("NATION_10").alias("service")))
