@@ -7,6 +7,8 @@ _PLACES = {
     "extract": "wirechart.scanning",
     "connect": "wirechart.scanning",
     "save_scan": "wirechart.scanning",
+    "save_documents": "wirechart.sources.saved",
+    "read_documents": "wirechart.sources.saved",
     "source_files": "wirechart.sources.files",
     "service_roots": "wirechart.sources.files",
     "detect": "wirechart.operators.detect",

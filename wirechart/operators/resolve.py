@@ -66,10 +66,15 @@ def upper_snake(name: Column) -> Column:
 
 def holding(texts: DataFrame, text: str, names: DataFrame, name: str, least: int = PIECE) -> DataFrame:
     """Rows of texts with each row of names whose name, of ``least`` characters or more, the text holds."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (PIECE - 1), F.lit(1)))
-    pieces = texts.withColumn("_piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(PIECE))))))
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))
+
+    # a name goes by its first letters, a shorter one by itself
+    cut = texts.withColumn("_piece", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(min(least, PIECE), PIECE + 1)]))))
     own = names.where(F.length(name) >= least).withColumn("_piece", F.substring(name, 1, PIECE))
-    return pieces.join(own, "_piece").where(F.contains(text, name)).drop("_piece")
+    return cut.join(own, "_piece").where(F.contains(text, name)).drop("_piece")
 
 
 def _forms(services: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from wirechart.operators import usage as U
 from wirechart.plans import trees
 from wirechart.plans.catalog import query
 from wirechart.plans.trees import CALLS, HANDLER, HANDLERS, LINES, RESOLVED
+from wirechart.sources import saved
 from wirechart.sources.files import service_roots
 from wirechart.storage import written
 
@@ -398,3 +399,17 @@ def call_sites(spark, d):
 @query("""WITH j AS (SELECT '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS r FROM nation) SELECT '{"meta":{"schemaVersion":"1.0"},"nations":[' || string_agg(r, ',' ORDER BY r) || ']}' AS document FROM j""")
 def saved_document(spark, d):
     return P.document(nations=spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey"))
+
+
+@query(f"WITH {HANDLERS} SELECT 'nation-' || n AS service, i AS ep_seq, 0 AS call_seq, 'http://nation-' || t || '/x' AS raw_url, CAST(CASE WHEN s % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence, s % 3 = 0 AS conditional, '/supplier/' || s AS path FROM h")
+def saved_calls(spark, d):
+    """Documents as their JSON text, read back into tables: calls with the endpoints that they belong to."""
+    h = trees.handlers(spark, d)
+    name = lambda c: F.concat(F.lit("nation-"), c.cast("string"))
+    call = F.struct(F.concat(F.lit("http://"), name(F.col("t")), F.lit("/x")).alias("rawUrl"), F.lit("GET").alias("method"), F.when(F.col("s") % 2 == 0, 0.9).otherwise(0.5).alias("confidence"), (F.col("s") % 3 == 0).alias("conditional"), F.lit("kept out").alias("unknown"))
+    end = F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/supplier/"), F.col("s").cast("string")).alias("path"), F.array(call).alias("outboundCalls"))
+    result = h.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", end.alias("e")))), lambda x: x["e"]).alias("endpoints"))
+    text = F.to_json(F.struct(F.struct(F.lit("1.0").alias("schemaVersion")).alias("meta"), F.array(F.struct(name(F.col("n")).alias("serviceName"), "endpoints")).alias("codeScanResults")))
+    found = saved.tables(result.select(F.from_json(text, saved.SCHEMA).alias("d")).select("d.*"))
+    ends = found["endpoints"].select("service", "ep_seq", "path")
+    return found["calls"].select("service", "ep_seq", "call_seq", "raw_url", "confidence", "conditional").join(ends, ["service", "ep_seq"])

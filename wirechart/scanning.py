@@ -128,12 +128,13 @@ def connect(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for c in ("pre_service", "pre_path"):
         if c not in calls.columns:
             calls = calls.withColumn(c, F.lit(None).cast("string"))
-    ends = written(ends.select("svc_seq", "ep_seq", "service", "method", F.col("path_").alias("path"), "full_path", F.col("path").alias("file"), "request", "response", "summary"), "ends")
+    ends = written(ends.select("svc_seq", "ep_seq", "service", "method", F.col("path_").alias("path"), "full_path", F.col("path").alias("file"), "line", "controller", "handler", "request", "response", "request_body", "response_body", "summary"), "ends")
     hints = tables["hints"].join(services, "service").withColumn("hint_seq", F.row_number().over(Window.partitionBy("service").orderBy("path", "line", "key")) - 1)
-    maps = S.registry(S.registry_writes(services, written(hints, "hints"), ends))
+    hints = written(hints, "hints")
+    maps = S.registry(S.registry_writes(services, hints, ends))
     resolved = written(S.resolve(written(calls, "calls"), services, hints, ends, maps), "resolved")
     chains = written(S.call_chains(ends, resolved, S.target_endpoints(resolved, ends)), "chains")
-    return {"numbered_endpoints": ends, "resolved": resolved, "chains": chains, "edges": S.chain_edges(chains), "libraries": U.shared_libraries(tables["imports"])}
+    return {"numbered_endpoints": ends, "numbered_hints": hints, "resolved": resolved, "chains": chains, "edges": S.chain_edges(chains), "libraries": U.shared_libraries(tables["imports"])}
 
 
 def first_at(place: DataFrame) -> DataFrame:
