@@ -10,6 +10,7 @@ _PLACES = {
     "save_documents": "wirechart.sources.saved",
     "read_documents": "wirechart.sources.saved",
     "source_files": "wirechart.sources.files",
+    "source_names": "wirechart.sources.files",
     "service_roots": "wirechart.sources.files",
     "detect": "wirechart.operators.detect",
     "endpoints": "wirechart.operators.endpoints",
@@ -28,6 +29,9 @@ _PLACES = {
     "document": "wirechart.operators.reports",
     "export": "wirechart.operators.reports",
     "watch": "wirechart.streaming.watch",
+    "changed_files": "wirechart.streaming.watch",
+    "refresh": "wirechart.streaming.refresh",
+    "rescanner": "wirechart.streaming.refresh",
     "Plugin": "wirechart.plugins",
     "registry": "wirechart.plugins",
 }

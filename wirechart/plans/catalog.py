@@ -11,6 +11,7 @@ from wirechart.operators import reports as P
 from wirechart.operators import tables as R
 from wirechart.plans.bindings import EVENTS, NATIONS, PAGES, ROLES, SPARSE, TOPICS, event_calls, nation_calls, page_endpoints, role_calls, supplier_calls, table, topic_events
 from wirechart.storage import written
+from wirechart.streaming import watch as W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -388,6 +389,23 @@ def debounce_sessions(spark, d):
     return rows.select("user_id", F.unix_micros("w.start").alias("begin_us"), "n")
 
 
+_SNAPSHOTS = """b AS (SELECT CAST(l_orderkey AS VARCHAR) AS service, CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) AS path,
+    CAST(count(*) AS BIGINT) AS bytes, CAST(max(date_diff('day', DATE '1970-01-01', CAST({0} AS DATE))) AS BIGINT) AS modified_ns
+  FROM lineitem WHERE {1} GROUP BY 1, 2)"""
+
+
+@query(
+    f"WITH {_SNAPSHOTS.format('l_shipdate', 'l_linenumber > 1')}, a AS (SELECT * FROM (WITH {_SNAPSHOTS.format('l_shipdate', 'l_linenumber <> 3')} SELECT * FROM b)) "
+    "SELECT service, path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'altered' END AS change, coalesce(a.bytes, b.bytes) AS bytes, coalesce(a.modified_ns, b.modified_ns) AS modified_ns "
+    "FROM b FULL JOIN (SELECT *, service AS s FROM a) a USING (service, path) WHERE b.bytes IS DISTINCT FROM a.bytes OR b.modified_ns IS DISTINCT FROM a.modified_ns"
+)
+def manifest_changes(spark, d):
+    """Two listings of all orders' items: one made before their first lines came, one after their third lines went."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("service"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("path"), F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint").alias("day"), "l_linenumber")
+    listing = lambda wanted: rows.where(wanted).groupBy("service", "path").agg(F.count("*").alias("bytes"), F.max("day").alias("modified_ns"))
+    return W.changed_files(listing("l_linenumber > 1"), listing("l_linenumber <> 3"))
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM events WHERE contains(lower(event_type), 'c') GROUP BY ALL")
 def sidebar_search(spark, d):
     return table(spark, d, "events").where(F.contains(F.lower("event_type"), F.lit("c"))).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

@@ -1,8 +1,9 @@
 """Source trees as DataFrames: files of a language, interface files, service roots, configuration and saved documents.
 
-Spark's own file sources leave out names that begin with a dot or an underscore, so trees are read by a Python data
-source: the driver lists names only, tasks read the contents. A file that can't be read or decoded is a row with an
-error and without content, so nothing is lost silently.
+Spark's own file sources leave out names that begin with a dot or an underscore, so trees are listed by a Python data
+source: the driver opens only the uppermost folders, until there are parts enough; tasks walk the rest. The names are
+then dealt by their hash, so one huge folder is read by all tasks. A file that can't be read or decoded, or a folder that
+can't be listed, is a row with an error and without content, so nothing is lost silently.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Folders below a root that are never read.
 SKIPPED = ["node_modules", "vendor", "dist", "build", ".git", "__pycache__", ".venv", "venv", "env", ".env", "target", "bin", "obj", ".gradle", "coverage", ".nyc_output", ".next", ".nuxt", "out"]
@@ -47,67 +51,169 @@ TESTS = r"(?:^|/)(?:tests?|__tests__|spec|testdata|migrations)/|\.(?:spec|test|d
 #: Interface files by kind.
 SPECS = r"(?i)(?:^|/)(?:[^/]*\.)?(?:openapi|swagger)\.(?:json|ya?ml)$|(?:^|/)(?:openapi|swagger)/.*\.(?:json|ya?ml)$|(?:^|/)api-(?:spec|docs)\.(?:json|ya?ml)$"
 PROTOS, GRAPHQL = r"\.proto$", r"\.(?:graphql|gql)$|(?:^|/)schema\.(?:ts|js)$"
-#: Files of a listing for each task.
-PART = 200
+#: The driver opens folders until it has so many parts, or has seen so many entries; tasks walk what is left.
+PARTS, LOOKS = 256, 4096
+#: Contents leave a task in batches of about so many bytes.
+BATCH = 32 << 20
+#: A longer file isn't a text that Spark can hold.
+LONGEST = (1 << 31) - 1
+NAMES = "service string, root string, path string, bytes bigint, modified_ns bigint, error string"
 SCHEMA = "service string, root string, path string, content string, bytes bigint, modified double, error string"
 
 
 @dataclass
 class _Part(InputPartition):
-    files: list[tuple[str, str, str]]
+    #: service, root, folder below it, and whether the folders below belong to the part
+    places: list[tuple[str, str, str, bool]]
 
 
-class SourceTree(DataSource):
-    """Format ``source_tree``: options roots (JSON list of [service, folder]), pattern (of paths below a root), skipped (JSON list)."""
+class SourceNames(DataSource):
+    """Format ``source_names``: options roots (JSON list of [service, folder]), pattern (of paths below a root), skipped (JSON list).
+
+    A batch gives NAMES once; a stream gives the whole listing again for each trigger.
+    """
 
     @classmethod
     def name(cls) -> str:
-        return "source_tree"
+        return "source_names"
 
     def schema(self) -> str:
-        return SCHEMA
+        return NAMES
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options)
+        return _Names(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _NameStream(self.options)
 
 
-class _TreeReader(DataSourceReader):
+class _Names(DataSourceReader):
     def __init__(self, options):
         self.roots = json.loads(options["roots"])
         self.pattern = re.compile(options.get("pattern", ""))
         self.skipped = set(json.loads(options.get("skipped", json.dumps(SKIPPED))))
 
     def partitions(self) -> list[_Part]:
-        names = [(service, root, path) for service, root in self.roots for path in walked(root, self.skipped) if self.pattern.search(path)]
-        return [_Part(names[i : i + PART]) for i in range(0, len(names), PART)] or [_Part([])]
+        places = opened([(service, root, "", True) for service, root in self.roots], self.skipped)
+        n = max(1, min(len(places), PARTS))
+        return [_Part(places[i::n]) for i in range(n)]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        for service, root, path in part.files:
-            content, size, modified, error = None, None, None, None
-            try:
-                whole = os.path.join(root, path)
-                modified = os.path.getmtime(whole)
-                with open(whole, "rb") as f:
-                    raw = f.read()
-                size, content = len(raw), raw.decode("utf-8-sig")
-            except (OSError, UnicodeDecodeError) as e:
-                error = f"{type(e).__name__}: {e}"
-            yield service, root, path, content, size, modified, error
-
-
-def walked(root: str, skipped: set[str]) -> Iterator[str]:
-    """Paths below a root in order, without folders of those names; the root's own name doesn't count."""
-    for folder, folders, files in os.walk(root):
-        folders[:] = sorted(x for x in folders if x not in skipped)
+        for service, root, folder, deep in part.places:
+            failed: list[OSError] = []
+            for path in walked(root, self.skipped, folder, deep, failed.append):
+                if self.pattern.search(path):
+                    try:
+                        at = os.stat(os.path.join(root, path))
+                        yield service, root, path, at.st_size, at.st_mtime_ns, None
+                    except OSError as e:
+                        yield service, root, path, None, None, _said(e)
+            for e in failed:
+                yield service, root, _below(root, str(e.filename)), None, None, _said(e)
+
+
+class _NameStream(DataSourceStreamReader):
+    """Offsets only count triggers: what a batch holds is the state of the trees when its tasks ran."""
+
+    def __init__(self, options):
+        self.names = _Names(options)
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        return self.names.partitions()
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        return self.names.read(part)
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def _below(root: str, path: str) -> str:
+    return os.path.relpath(path, root).replace(os.sep, "/")
+
+
+def opened(places: list[tuple[str, str, str, bool]], skipped: set[str]) -> list[tuple[str, str, str, bool]]:
+    """The same trees in more parts, uppermost folders first, for at most LOOKS entries and about PARTS parts."""
+    waiting, done, looks = deque(places), [], 0
+    while waiting and len(waiting) + len(done) < PARTS and looks < LOOKS:
+        service, root, folder, _ = waiting.popleft()
+        below = []
+        try:
+            with os.scandir(os.path.join(root, folder)) as entries:
+                for e in entries:
+                    looks += 1
+                    if e.name not in skipped and e.is_dir(follow_symlinks=False):
+                        below.append((service, root, f"{folder}/{e.name}" if folder else e.name, True))
+                    if looks >= LOOKS:
+                        break
+                else:
+                    done.append((service, root, folder, False))
+                    waiting.extend(sorted(below))
+                    continue
+        except OSError:
+            pass  # the task that walks it says so
+        done.append((service, root, folder, True))
+    return [*done, *waiting]
+
+
+def walked(root: str, skipped: set[str], folder: str = "", deep: bool = True, onerror=None) -> Iterator[str]:
+    """Paths of a folder below a root in order, without folders of those names; the root's own name doesn't count."""
+    for at, folders, files in os.walk(os.path.join(root, folder) if folder else root, onerror=onerror):
+        folders[:] = sorted(x for x in folders if x not in skipped) if deep else []
         for name in sorted(files):
-            yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
+            yield _below(root, os.path.join(at, name))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    form = pa.schema([("service", pa.string()), ("root", pa.string()), ("path", pa.string()), ("content", pa.string()), ("bytes", pa.int64()), ("modified", pa.float64()), ("error", pa.string())])
+    rows, held = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            content, size, error = None, row["bytes"], row["error"]
+            if error is None:
+                try:
+                    if size > LONGEST:
+                        raise ValueError(f"{size} bytes are too many for one text")
+                    with open(os.path.join(row["root"], row["path"]), "rb") as f:
+                        raw = f.read()
+                    size, content = len(raw), raw.decode("utf-8-sig")
+                except (OSError, ValueError) as e:
+                    error = _said(e)
+            modified = None if row["modified_ns"] is None else row["modified_ns"] / 1e9
+            rows.append({"service": row["service"], "root": row["root"], "path": row["path"], "content": content, "bytes": size, "modified": modified, "error": error})
+            held += size or 0
+            if held >= BATCH:
+                yield pa.RecordBatch.from_pylist(rows, form)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, form)
+
+
+def options_of(roots: str | dict[str, str], pattern: str = "", skipped: list[str] = SKIPPED) -> dict[str, str]:
+    """Options of the format for one root, or for the root of each service."""
+    named = roots if isinstance(roots, dict) else {os.path.basename(os.path.normpath(roots)): roots}
+    return {"roots": json.dumps(list(named.items())), "pattern": pattern, "skipped": json.dumps(skipped)}
+
+
+def source_names(spark: SparkSession, roots: str | dict[str, str], pattern: str = "", skipped: list[str] = SKIPPED) -> DataFrame:
+    """NAMES of the files below the roots: sizes and times without contents."""
+    spark.dataSource.register(SourceNames)
+    return spark.read.format("source_names").options(**options_of(roots, pattern, skipped)).load()
 
 
 def source_files(spark: SparkSession, roots: str | dict[str, str], pattern: str = "", skipped: list[str] = SKIPPED) -> DataFrame:
     """SCHEMA for the files below a root, or below the root of each service; one that fails has an error in place of content."""
-    named = roots if isinstance(roots, dict) else {os.path.basename(os.path.normpath(roots)): roots}
-    spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").options(roots=json.dumps(list(named.items())), pattern=pattern, skipped=json.dumps(skipped)).load()
+    names = source_names(spark, roots, pattern, skipped)
+    # a count of its own: adaptive plans would read all files in one task, as their names are few bytes
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return names.repartition(tasks, "service", "path").mapInArrow(_contents, SCHEMA)
 
 
 def of_language(files: DataFrame, language: str, tests: bool = False) -> DataFrame:
