@@ -152,17 +152,20 @@ def prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def dealt(firsts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, label_a, b, label_b) of rows that share a seldom item, (part, side, id, label) of the blocks of the others)."""
-    counts = firsts.groupBy("item", "label").agg(F.count("*").alias("n"), F.sum(F.col("index").cast("long")).alias("i"))
-    sizes = counts.groupBy("item").agg(F.max(F.struct("n", "label", "i")).alias("most"), F.sum("n").alias("rows"), F.sum("i").alias("indexed"), F.count("*").alias("labels"))
-    sizes = sizes.where("labels > 1 and indexed > 0")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("item", "rows", F.col("most.label").alias("most"), blocks(F.col("most.n")).alias("main_probe"), blocks(F.col("rows") - F.col("most.n")).alias("rest_probe"), blocks(F.col("most.i")).alias("main_index"), blocks(F.col("indexed") - F.col("most.i")).alias("rest_index"))
-    rows = stored(firsts.join(stored(sizes, "shared"), "item"), "firsts")
+    groups = firsts.groupBy("item").agg(F.min("id").alias("lead"), F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("index").alias("any"))
+    groups = stored(groups.where("lo < hi and any").select("item", "lead", "rows"), "shared")
+    rows = stored(firsts.join(groups, "item"), "firsts")
     few = rows.where(F.col("rows") <= SELDOM)
     side = lambda s, own: own.select("item", F.col("id").alias(s), F.col("label").alias(f"label_{s}"), F.col("n").alias(f"n_{s}"))
     pairs = side("a", few.where("index")).join(side("b", few), "item").where("label_a <> label_b and (n_a < n_b or n_a = n_b and a < b)")
     pairs = pairs.where(100 * F.col("n_a") >= percent * F.col("n_b")).select("a", "label_a", "b", "label_b").distinct()
-    many = rows.where(F.col("rows") > SELDOM).withColumn("main", F.col("label") == F.col("most"))
+    # items that run together in a template have the same first row: their rows are dealt once, not for each of them
+    many = stored(rows.where(F.col("rows") > SELDOM).groupBy(F.col("lead").alias("item"), "id", "label").agg(F.bool_or("index").alias("index")), "many")
+    counts = many.groupBy("item", "label").agg(F.count("*").alias("n"), F.sum(F.col("index").cast("long")).alias("i"))
+    sizes = counts.groupBy("item").agg(F.max(F.struct("n", "label", "i")).alias("most"), F.sum("n").alias("rows"), F.sum("i").alias("indexed"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("item", F.col("most.label").alias("most"), blocks(F.col("most.n")).alias("main_probe"), blocks(F.col("rows") - F.col("most.n")).alias("rest_probe"), blocks(F.col("most.i")).alias("main_index"), blocks(F.col("indexed") - F.col("most.i")).alias("rest_index"))
+    many = many.join(stored(sizes, "sizes"), "item").withColumn("main", F.col("label") == F.col("most"))
     own = lambda main, rest: F.pmod(F.xxhash64("id", "item"), F.greatest(F.when(F.col("main"), F.col(main)).otherwise(F.col(rest)), F.lit(1))).cast("int")
     many = many.withColumn("own_index", own("main_index", "rest_index")).withColumn("own_probe", own("main_probe", "rest_probe"))
     numbers = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
