@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
 from wirechart.llm.components import components
-from wirechart.llm.crowded import joined
+from wirechart.llm.prefixes import joined
 from wirechart.llm.shared import TEXTS, Sieve, sieved, stored
 
 TREES, DEPTH, LEVELS = 16, 4, 6
