@@ -111,3 +111,16 @@ def test_serializers_list_fields_of_models(spark):
     own = 'class A(serializers.ModelSerializer):\n    class Meta:\n        model = models.Thing\n        fields = ["size", "extra"]\n\nclass B(serializers.ModelSerializer):\n    code = serializers.IntegerField()\n    class Meta:\n        model = Thing\n        fields = "__all__"\n\nclass C(serializers.ModelSerializer):\n    class Meta:\n        model = Thing\n        exclude = ("size",)\n'
     rows = facts.payload_types(files(spark, ("models.py", models), ("s.py", own)), "python").collect()
     assert {r.type_name: [(f.name, f.type, f.required) for f in r.fields] for r in rows if r.source == "serializer"} == {"A": [("size", "integer", False), ("extra", "any", False)], "B": [("code", "integer", True)], "C": [("name", "string", True)]}
+
+
+def test_messages_and_stores_name_what_is_sent_and_kept(spark):
+    from wirechart.operators import usage
+
+    sharp = 'channel.BasicPublish("", "jobs", null, body);\nchannel.BasicPublish(exchange: "all", routingKey: key);\nawait _bus.Publish(new OrderPaid(x));\n'
+    assert got(usage.messages(files(spark, ("A.cs", sharp)), "csharp"), "topic", "pattern", "payload_type") == [("all", "rabbitmq", None), ("jobs", "rabbitmq", None), ("order-paid", "rabbitmq", "OrderPaid")]
+    python = '@shared_task\ndef first():\n    def second():\n        pass\n@app.task(bind=True)\n\n\n\ndef far():\n    pass\nchannel.basic_publish(exchange="", routing_key="jobs")\n'
+    assert got(usage.messages(files(spark, ("a.py", python)), "python"), "topic", "direction") == [("first", "subscribe"), ("jobs", "publish")]
+    go = 'ch.Publish("", "jobs", false)\nch.Consume(q.Name, "")\nt, topics := consumer.Topics(), topics{[]string{\n"a.b", "c.d",\n"e",\n"f.g"}\n\n"h.i"\n'
+    assert got(usage.messages(files(spark, ("a.go", go)), "go"), "topic", "line", "direction") == [("a.b", 4, "subscribe"), ("c.d", 4, "subscribe"), ("f.g", 6, "subscribe"), ("jobs", 1, "publish"), ("queue", 2, "subscribe")]
+    plain, search = "const a = { index: 'x' };\n", "import { Client } from '@elastic/elasticsearch';\nclient.search({ index: 'y' });\nredis.get('whole'); redis.set('part:1', v);\n"
+    assert got(usage.stores(files(spark, ("a.ts", plain), ("b.ts", search), ("n.ts", None)), "typescript"), "name", "db_type", "access_pattern") == [("part", "redis", "cache-key"), ("y", "elasticsearch", "raw-query")]

@@ -128,6 +128,19 @@ def source_stores(spark, d):
     return trees.every(trees.usages, spark, d, U.stores).select("service", "name", "db_type", "line")
 
 
+@query(f"WITH {trees.said(trees.MESSAGES, ['topic', 'direction', 'pattern', 'payload_type'])} SELECT service, line, topic, direction, pattern, payload_type FROM r WHERE topic <> 'b' UNION ALL SELECT service, min(line), 'b', 'subscribe', 'kafka', NULL FROM r JOIN nation ON service = 'nation-' || n_nationkey WHERE n_nationkey % 5 = 1 AND s % 6 = 0 GROUP BY service")
+def messages_by_rule(spark, d):
+    """Each supplier's line is for one rule; a listener of two topics names a second one that all of its service share."""
+    found = trees.every(lambda spark, d, x: trees.by_rule(trees.MESSAGES, spark, d, x), spark, d, U.messages)
+    return found.select("service", "line", "topic", "direction", "pattern", "payload_type")
+
+
+@query(f"WITH {trees.said(trees.STORES, ['name', 'db_type', 'access_pattern'])} SELECT service, line, name, db_type, access_pattern FROM r")
+def stores_by_rule(spark, d):
+    found = trees.every(lambda spark, d, x: trees.by_rule(trees.STORES, spark, d, x), spark, d, U.stores)
+    return found.select("service", "line", "name", "db_type", "access_pattern")
+
+
 @query(f"""{_USES}, i AS (SELECT service, CASE n % 5 WHEN 0 THEN '@own/lib-' || j WHEN 1 THEN 'org.own.lib' || j || '.Thing' WHEN 2 THEN 'Own.Lib' || j WHEN 3 THEN 'own.lib' || j ELSE 'example.org/own/lib' || j END AS import_path FROM u)
   SELECT import_path, count(DISTINCT service) AS n, string_agg(DISTINCT service, ',' ORDER BY service) AS used_by, min(service) || '/src/use' AS first_file FROM i GROUP BY import_path HAVING count(DISTINCT service) >= 2""")
 def shared_libraries(spark, d):

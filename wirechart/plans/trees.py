@@ -25,9 +25,9 @@ def handlers(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"i": F.row_number().over(own.orderBy("s")) - 1, "k": F.count("*").over(own), "t": (F.col("n") + 1) % 25})
 
 
-def _fill(template: str) -> Column:
+def _fill(template: str | Column) -> Column:
     """A text with <n>, <s>, <t> and <i> filled in."""
-    out = F.lit(template)
+    out = F.lit(template) if isinstance(template, str) else template
     for c in ("n", "s", "t", "i"):
         out = F.replace(out, F.lit(f"<{c}>"), F.col(c).cast("string"))
     return out
@@ -174,6 +174,127 @@ def usages(spark: SparkSession, d: str, language: str) -> DataFrame:
     return _files(h, language, "src/use", "", lines[language], "")
 
 
+#: A line for every rule of messages: what is written, and the line in it, topic, direction, broker and payload type that it says.
+MESSAGES = {
+    "typescript": [
+        ("@EventPattern('a<s>')", 1, "a<s>", "subscribe", "kafka", None),
+        ("@MessagePattern(`b<s>`)", 1, "b<s>", "subscribe", "kafka", None),
+        ("this.bus.emit('c.<s>', body);", 1, "c.<s>", "publish", "kafka", None),
+        ("await kafkaConsumer.subscribe({ topic: 'd<s>' }); consumer.subscribe({ topic: 'd<s>' });", 1, "d<s>", "subscribe", "kafka", None),
+        ("await producer.send({\n  acks: 1,\n  topic: 'e<s>' });", 1, "e<s>", "publish", "kafka", None),
+        ("channel.consume('f<s>', work);", 1, "f<s>", "subscribe", "rabbitmq", None),
+        ("channel.sendToQueue('g<s>', body);", 1, "g<s>", "publish", "rabbitmq", None),
+        ("redis.subscribe('h<s>');", 1, "h<s>", "subscribe", "redis-pubsub", None),
+        ("redis.publish('i<s>', body);", 1, "i<s>", "publish", "redis-pubsub", None),
+    ],
+    "java": [
+        ('@KafkaListener(topics = "a<s>, b")', 1, "a<s>", "subscribe", "kafka", None),
+        ('@KafkaListener(groupId = "g",\n  topics = {"c<s>"})', 1, "c<s>", "subscribe", "kafka", None),
+        ('@RabbitListener(queues = "d<s>")', 1, "d<s>", "subscribe", "rabbitmq", None),
+        ('orderKafkaTemplate.send("e<s>", m);', 1, "e<s>", "publish", "kafka", None),
+        ('rabbitTemplate.convertAndSend("f<s>", "key", m);', 1, "f<s>", "publish", "rabbitmq", None),
+        ('@SendTo("g<s>")', 1, "g<s>", "publish", "kafka", None),
+    ],
+    "csharp": [
+        ('[EventSubscribe("a<s>")]', 1, "a<s>", "subscribe", "kafka", None),
+        ('await producer.ProduceAsync("b<s>", m);', 1, "b<s>", "publish", "kafka", None),
+        ('channel.BasicPublish(exchange: "c", routingKey: "<s>", body: b);', 1, "c:<s>", "publish", "rabbitmq", None),
+        ('channel.BasicConsume(queue: "d<s>", autoAck: true);', 1, "d<s>", "subscribe", "rabbitmq", None),
+        ("await _bus.Publish(new SaleMade<s>(x));", 1, "sale-made<s>", "publish", "rabbitmq", "SaleMade<s>"),
+        ('consumer.Subscribe(new[] { "e<s>" });', 1, "e<s>", "subscribe", "kafka", None),
+        ('cfg.ReceiveEndpoint("f<s>", e => e);', 1, "f<s>", "subscribe", "rabbitmq", None),
+    ],
+    "python": [
+        ("@shared_task\n@timed\ndef a<s>(x):", 1, "a<s>", "subscribe", "redis-pubsub", None),
+        ('@app.task(name="b<s>")\ndef other(x):', 1, "b<s>", "subscribe", "redis-pubsub", None),
+        ("app.send_task('c<s>', args)", 1, "c<s>", "publish", "redis-pubsub", None),
+        ('consumer.subscribe(["d<s>"])', 1, "d<s>", "subscribe", "kafka", None),
+        ('producer.produce("e<s>", value=v)', 1, "e<s>", "publish", "kafka", None),
+        ('channel.basic_consume(queue="f<s>", auto_ack=True)', 1, "f<s>", "subscribe", "rabbitmq", None),
+        ('channel.basic_publish(exchange="g", routing_key="<s>", body=b)', 1, "g:<s>", "publish", "rabbitmq", None),
+        ('channel.basic_publish(exchange="",\n    routing_key="h<s>")', 1, "h<s>", "publish", "rabbitmq", None),
+    ],
+    "go": [
+        ('names, topics := consumer.Topics(), topics[:0], []string{\n\t"a.<s>",', 2, "a.<s>", "subscribe", "kafka", None),
+        ('p.Input() <- &sarama.ProducerMessage{Topic: "b<s>"}', 1, "b<s>", "publish", "kafka", None),
+        ('ch.Consume("c<s>", "", true)', 1, "c<s>", "subscribe", "rabbitmq", None),
+        ('ch.Publish("d<s>", q.Name, false)', 1, "d<s>", "publish", "rabbitmq", None),
+        ('ch.Publish("", queue<s>.Name, false)', 1, "queue<s>.Name", "publish", "rabbitmq", None),
+        ('group.Consume(ctx, []string{"e<s>"}, h)', 1, "e<s>", "subscribe", "kafka", None),
+    ],
+}
+#: A line for every rule of stores: what is written, and the line in it, name, kind and access pattern that it says.
+STORES = {
+    "typescript": [
+        ("@Entity('a<s>')", 1, "a<s>", "sql", "orm-model"),
+        ("await prisma.b<s>.findMany();", 1, "b<s>s", "sql", "orm-model"),
+        ("sequelize.define('c<s>', {});", 1, "c<s>", "sql", "orm-model"),
+        ("  tableName: 'd<s>',", 1, "d<s>", "sql", "orm-model"),
+        ("await knex('own.e-<s>').select();", 1, "own.e-<s>", "sql", "raw-query"),
+        ("await db.query('delete from f<s> where id = 1');", 1, "f<s>", "sql", "raw-query"),
+        ("mongoose.model<Thing>('g-<s>', schema);", 1, "g-<s>", "mongodb", "collection"),
+        ("db.collection('h-<s>').find();", 1, "h-<s>", "mongodb", "collection"),
+        ("await redis.set(`i-<s>:${id}`, 1);", 1, "i-<s>", "redis", "cache-key"),
+        ("  TableName: 'j-<s>',", 1, "j-<s>", "dynamodb", "raw-query"),
+        ("elastic.search({ index: 'k-<s>' });", 1, "k-<s>", "elasticsearch", "raw-query"),
+    ],
+    "java": [
+        ('@Table(name = "a<s>")', 1, "a<s>", "sql", "orm-model"),
+        ("@Entity\npublic class StockItem<s> {", 1, "stock_item<s>", "sql", "orm-model"),
+        ('@Document(collection = "b-<s>")', 1, "b-<s>", "mongodb", "collection"),
+        ('jdbcTemplate.query("SELECT id FROM c<s> WHERE x = 1", m);', 1, "c<s>", "sql", "raw-query"),
+        ('TableRef.builder().tableName("d-<s>").build();', 1, "d-<s>", "dynamodb", "raw-query"),
+    ],
+    "csharp": [
+        ('[Table("a<s>")]', 1, "a<s>", "sql", "orm-model"),
+        ("public DbSet<Item<s>> Things { get; set; }", 1, "Item<s>", "sql", "orm-model"),
+        ('connection.Query<Row>("SELECT * FROM b<s>");', 1, "b<s>", "sql", "raw-query"),
+        ('[Collection("c-<s>")]', 1, "c-<s>", "mongodb", "collection"),
+        ('db.GetCollection<Row>("d-<s>");', 1, "d-<s>", "mongodb", "collection"),
+        ('cache.StringSet($"e-<s>:{id}", v);', 1, "e-<s>", "redis", "cache-key"),
+        ('  TableName = "f-<s>",', 1, "f-<s>", "dynamodb", "raw-query"),
+    ],
+    "python": [
+        ("    __tablename__ = 'a<s>'", 1, "a<s>", "sql", "orm-model"),
+        ('        db_table = "b<s>"', 1, "b<s>", "sql", "orm-model"),
+        ("things = Table('c<s>', metadata)", 1, "c<s>", "sql", "orm-model"),
+        ("session.query(Item<s>).all()", 1, "Item<s>", "sql", "orm-model"),
+        ('cursor.execute("INSERT INTO d<s> VALUES (1)")', 1, "d<s>", "sql", "raw-query"),
+        ('db["e-<s>"]', 1, "e-<s>", "mongodb", "collection"),
+        ("db.f<s>.find_one({})", 1, "f<s>", "mongodb", "collection"),
+        ('r.get(f"g-<s>:{key}")', 1, "g-<s>", "redis", "cache-key"),
+        ("client.put_item(TableName='h-<s>')", 1, "h-<s>", "dynamodb", "raw-query"),
+    ],
+    "go": [
+        ('db.QueryContext(ctx, "SELECT x FROM a<s>")', 1, "a<s>", "sql", "raw-query"),
+        ('db.Table("b_<s>")', 1, "b_<s>", "sql", "orm-model"),
+        ("db.Model(&Item<s>{}).Where()", 1, "Item<s>", "sql", "orm-model"),
+        ('db.Collection("c-<s>")', 1, "c-<s>", "mongodb", "collection"),
+        ('rdb.Set(ctx, "d-<s>:key", v, 0)', 1, "d-<s>", "redis", "cache-key"),
+        ('  TableName: aws.String("e-<s>"),', 1, "e-<s>", "dynamodb", "raw-query"),
+    ],
+}
+#: Lines of a file that one supplier has.
+HEIGHT = 6
+
+
+def by_rule(rules: dict[str, list[tuple]], spark: SparkSession, d: str, language: str) -> DataFrame:
+    """A line for each supplier by the rule that its key chooses, and blank ones up to HEIGHT."""
+    h = handlers(spark, d).where(F.col("n") % 5 == LANGUAGES.index(language))
+    texts = F.array(*[F.lit(x[0] + "\n" * (HEIGHT - x[0].count("\n"))) for x in rules[language]])
+    chosen = F.get(texts, (F.col("s") % len(rules[language])).cast("int"))
+    each = h.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("s", _fill(chosen).alias("a")))).alias("x"))
+    return each.select(F.concat(F.lit("nation-"), F.col("n").cast("string")).alias("service"), F.lit("src/use").alias("path"), F.array_join(F.transform("x", lambda x: x["a"]), "").alias("content"))
+
+
+def said(rules: dict[str, list[tuple]], names: list[str]) -> str:
+    """SQL of what the lines by rule say: r(s, service, line, names)."""
+    text = lambda x: "NULL" if x is None else "'" + x + "'"
+    rows = [f"({LANGUAGES.index(lang)}, {k}, {len(own)}, {r[1]}, {', '.join(text(x) for x in r[2:])})" for lang, own in rules.items() for k, r in enumerate(own)]
+    filled = ", ".join(f"replace({x}, '<s>', CAST(s AS VARCHAR)) AS {x}" for x in names)
+    return f"{HANDLERS}, w(l, nr, m, ln, {', '.join(names)}) AS (VALUES {', '.join(rows)}), r AS (SELECT s, 'nation-' || n AS service, CAST({HEIGHT} * i + ln AS INTEGER) AS line, {filled} FROM h JOIN w ON n % 5 = l AND s % m = nr)"
+
+
 def hints(spark: SparkSession, d: str, language: str) -> DataFrame:
     """A place for each supplier where the URL of the next nation is written down under a key of its own."""
     h = handlers(spark, d)

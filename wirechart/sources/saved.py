@@ -115,8 +115,8 @@ def of_scan(scanned: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "calls": scanned["resolved"].withColumn("call_seq", F.row_number().over(within) - 1).select("service", "ep_seq", "call_seq", "raw_url", "resolved_service", "resolved_path", "method", "rule", file, "line", "confidence", "conditional", "condition_hint"),
         "hints": scanned["numbered_hints"].select("service", "hint_seq", "key", "value", file),
         "types": scanned["types"].select("service", "type_name", "fields", "source"),
-        "messages": scanned["messages"].select("service", "topic", "direction", "pattern", nothing.alias("payload_type"), file, "line"),
-        "stores": scanned["stores"].select("service", "name", "db_type", "access", file, "line"),
+        "messages": scanned["messages"].select("service", "topic", "direction", "pattern", "payload_type", file, "line"),
+        "stores": scanned["stores"].select("service", "name", "db_type", F.col("access_pattern").alias("access"), file, "line"),
         "edges": scanned["edges"].select("root_service", "root_endpoint", (F.col("edge_seq") - 1).alias("edge_seq"), "from_service", "from_endpoint", "to_service", "to_endpoint", "raw_url", "confidence"),
         "dependencies": scanned["dependencies"],
         "libraries": scanned["libraries"].select("import_path", nothing.alias("name"), "used_by", F.col("first_file").alias("file")),
