@@ -113,6 +113,17 @@ def test_serializers_list_fields_of_models(spark):
     assert {r.type_name: [(f.name, f.type, f.required) for f in r.fields] for r in rows if r.source == "serializer"} == {"A": [("size", "integer", False), ("extra", "any", False)], "B": [("code", "integer", True)], "C": [("name", "string", True)]}
 
 
+def test_lists_of_serializers_have_no_longest_length(spark):
+    from wirechart.operators import facts
+
+    names = [f"f{i}" for i in range(60)]
+    models = "class Thing(models.Model):\n" + "".join(f"    {x} = models.IntegerField()\n" for x in [*names, "last"])
+    many = ",\n".join(f"            '{x}'" for x in names)
+    own = f"class A(serializers.ModelSerializer):\n    class Meta:\n        model = Thing\n        fields = [\n{many},\n        ]\n        read_only_fields = ['last']\n\nclass B(serializers.ModelSerializer):\n    class Meta:\n        exclude = (\n{many})\n        model = Thing\n"
+    rows = facts.payload_types(files(spark, ("models.py", models), ("s.py", own)), "python").collect()
+    assert {r.type_name: [f.name for f in r.fields] for r in rows if r.source == "serializer"} == {"A": names, "B": ["last"]}
+
+
 def test_messages_and_stores_name_what_is_sent_and_kept(spark):
     from wirechart.operators import usage
 
