@@ -131,3 +131,38 @@ def test_work_grows_with_the_rows_of_a_crowd(spark):
         assert pairs.where("a = b - 1 and a % 2 = 0").count() == n // 2
         sizes[n] = pairs.count() + blocks.count()
     assert sizes[8000] <= 4.2 * sizes[2000] and sizes[8000] <= 8000
+
+
+def test_suffix_arrays_of_any_size_find_what_brute_force_finds():
+    import numpy as np
+    import pyarrow as pa
+
+    from wirechart.llm import suffixes
+
+    rng = np.random.default_rng(5)
+    for span in (7, 14, 20, 100):
+        parts = [bytes(rng.integers(97, 99, span).astype(np.uint8)) for _ in range(4)]
+        texts = [b"".join(parts[i] for i in rng.integers(0, 4, 3))[int(rng.integers(0, 9)) :] for _ in range(30)]
+        seen, later = set(), set()
+        for doc, text in enumerate(texts):
+            for i in range(len(text) - span + 1):
+                if text[i : i + span] in seen:
+                    later.add((doc, i))
+                seen.add(text[i : i + span])
+        got = suffixes.repeats(texts, np.arange(30), np.zeros(30, np.int64), span)
+        assert set(zip(*(x.tolist() for x in got))) == later
+        # where only some suffixes are asked for, these stand in the order of all
+        body = np.concatenate([np.append(np.frombuffer(x, np.uint8).astype(np.int16) + 1, 0) for x in texts])
+        asked = rng.random(len(body)) < 0.4
+        order, _ = suffixes.suffix_array(body, span)
+        some, _ = suffixes.suffix_array(body, span, asked)
+        items = body.tolist()
+        heads = lambda places: [items[i : i + span] for i in places if asked[i]]
+        assert heads(order.tolist()) == heads(some.tolist())
+    # an array is made of little text, whatever a task holds, and its size changes nothing
+    rows = [(h, doc, 0, bytes(rng.integers(97, 99, 168).astype(np.uint8))) for h in range(2000) for doc in (2 * h, 2 * h + 1)]
+    rows = [(h, doc, lo, rows[h * 2][3] if h % 3 else text) for h, doc, lo, text in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "doc", "lo", "text"])
+    made = [[tuple(r.values()) for out in suffixes._sorted(iter([batch]), limit) for r in out.to_pylist()] for limit in (1, suffixes.ARRAY, 1 << 20)]
+    assert {x[0] for x in made[0]} == {2 * h + 1 for h in range(2000) if h % 3} and made[0] == made[1] == made[2]
+    assert suffixes.ARRAY <= 1 << 17 and suffixes.SLAB <= 1 << 17

@@ -30,6 +30,8 @@ from wirechart.llm import kernels as K
 from wirechart.llm.shared import TEXTS, Sieve, sieved, stored
 
 SPAN, GRAM, SHARD = 100, 32, 1 << 20
+#: Bytes of text that a suffix array is made of at least, and of a slab in which anchors are looked for: their arrays stay in the processor's cache.
+ARRAY, SLAB = 1 << 16, 1 << 15
 _REACH = SPAN - GRAM
 #: Contexts of one anchor that still fit a shard.
 HOT = SHARD // (SPAN + _REACH)
@@ -50,7 +52,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 @K.frugal
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, buf, starts in K.slabs(batch.column(1)):
+        for _, buf, starts in K.slabs(batch.column(1), SLAB):
             places, hashes = anchors(buf, starts)
             if len(places):
                 yield pa.RecordBatch.from_arrays([K.signed(hashes[places])], names=["h"])
@@ -78,7 +80,7 @@ def _occurrences(buf, starts, ids, places, hashes) -> dict[str, np.ndarray]:
 def _shared(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for row, buf, starts in K.slabs(batch.column(1)):
+        for row, buf, starts in K.slabs(batch.column(1), SLAB):
             places, hashes = anchors(buf, starts)
             places = places[sieve.keeps(hashes[places])]
             if len(places):
@@ -91,7 +93,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], several: Sieve, owners: Sieve,
     """The contexts that owners(key) names, by anchors that are among several(h); hot: those of an anchor that is spread."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for row, buf, starts in K.slabs(batch.column(1)):
+        for row, buf, starts in K.slabs(batch.column(1), SLAB):
             places, hashes = anchors(buf, starts)
             places = places[several.keeps(hashes[places])]
             if not len(places):
@@ -105,14 +107,17 @@ def _contexts(batches: Iterator[pa.RecordBatch], several: Sieve, owners: Sieve,
                 yield pa.RecordBatch.from_arrays([K.signed(x["h"][keep]), pa.array(x["doc"][keep]), pa.array(x["lo"][keep].astype(np.int32)), pa.array(texts, pa.binary()), pa.array(much)], names=["h", "doc", "lo", "text", "hot"])
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(suffixes in order of their first ``depth`` items or more, [(h, ranks by the first h items)]); items are under 512, 0 ends a string."""
+def suffix_array(text: np.ndarray, depth: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(suffixes in order of their first ``depth`` items or more, [(h, ranks by the first h items)]); items are under 512, 0 ends a string.
+
+    asked: where only the order of some suffixes counts; the others' places and ranks may then be those of half the depth.
+    """
     n = len(text)
     wide = np.zeros(n + 8, np.int64)
     wide[:n] = text
-    packed = np.zeros(n, np.int64)
-    for i in range(7):
-        packed = (packed << 9) | wide[i : n + i]
+    two = (wide[:-1] << 9) | wide[1:]
+    four = (two[:-2] << 18) | two[2:]
+    packed = (four[:n] << 27) | (two[4 : n + 4] << 9) | wide[6 : n + 6]
     order = np.argsort(packed)
     change = np.ones(n, bool)
     change[1:] = packed[order[1:]] != packed[order[:-1]]
@@ -127,6 +132,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
             return order, levels
         alone = change.copy()
         alone[:-1] &= change[1:]
+        if asked is not None and 2 * h >= depth:
+            alone |= ~asked[order]
         open_ = np.flatnonzero(~alone)
         if not len(open_):
             h = depth
@@ -150,12 +157,12 @@ def repeats(texts: list[bytes], docs: np.ndarray, begins: np.ndarray, span: int
     inside = np.ones(len(body), bool)
     inside[ends - 1] = False
     body[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
-    order, levels = suffix_array(body, span)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     offset = np.arange(len(body)) - (ends - sizes - 1)[owner]
+    fits = offset + span <= sizes[owner]
+    order, levels = suffix_array(body, span, fits)
     # neighbours that share h items, and h items after the first span - h, share span items
     h, ranks = max(x for x in levels if x[0] <= span) if levels[0][0] <= span else levels[0]
-    fits = offset + span <= sizes[owner]
     order = order[fits[order]]
     if len(order) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -194,7 +201,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, span: int = SPAN) -> pa.RecordBatc
 
 
 @K.frugal
-def _sorted(batches: Iterator[pa.RecordBatch], limit: int = SHARD) -> Iterator[pa.RecordBatch]:
+def _sorted(batches: Iterator[pa.RecordBatch], limit: int = ARRAY) -> Iterator[pa.RecordBatch]:
     """Repeats in rows (h, doc, lo, text) in order of h; a suffix array holds whole groups of h, about ``limit`` bytes."""
     held: list = []
     size, last = 0, None
