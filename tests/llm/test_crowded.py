@@ -166,3 +166,28 @@ def test_suffix_arrays_of_any_size_find_what_brute_force_finds():
     made = [[tuple(r.values()) for out in suffixes._sorted(iter([batch]), limit) for r in out.to_pylist()] for limit in (1, suffixes.ARRAY, 1 << 20)]
     assert {x[0] for x in made[0]} == {2 * h + 1 for h in range(2000) if h % 3} and made[0] == made[1] == made[2]
     assert suffixes.ARRAY <= 1 << 17 and suffixes.SLAB <= 1 << 17
+
+
+def test_only_values_that_several_lines_have_are_brought_together(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [word(120) for _ in range(2000)]
+    texts += [t[:110] + word(10) for t in texts[:200]] + texts[200:1200]  # near copies, and equal lines in other tasks
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = docs.mapInArrow(lambda it: lines._sketch(it, lines.SHINGLE), "doc_id bigint, line int, key bigint, key_b bigint, bands binary").cache()
+    lists, want = {r.key: np.frombuffer(r.bands, np.uint64) for r in rows.where("bands is not null").collect()}, {}
+    for key, values in lists.items():
+        for b, value in enumerate(values.tolist()):
+            want.setdefault(value ^ b, set()).add(key)
+    want = {(region, key) for region, keys in want.items() if len(keys) > 1 for key in keys}
+    got = {(r.region & (1 << 64) - 1, r.id) for r in lines.meeting(rows).collect()}
+    assert want and want <= got and len(got) <= len(want) + 0.01 * lines.BANDS * len(lists)
+
+
+def test_only_two_tables_of_line_dedup_stay(spark):
+    from wirechart.llm import shared
+
+    begun = shared.mark()
+    rows = [(i, f"the same line in all of them\nand line {i} of its own {i * i}") for i in range(100)]
+    out = lines.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert shared.mark() - begun == 2 and out.where("n_removed > 0").count() >= 99

@@ -119,17 +119,17 @@ def undecided(members: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("region", "to.kind", "to.x", "to.y").alias("part"), "to.side", "id", "label")
 
 
-def joined(members: DataFrame, roots: DataFrame, sets, percent: int) -> DataFrame:
+def joined(members: DataFrame, roots: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
     """roots(node, root) with the links that are left to find between rows of one region of members(region, id).
 
-    sets(ids): a table (id, items) of the distinct items, as bytes, of each id of ids(id).
+    texts: (id, text), also of other ids. Texts are dealt, as they are several times smaller than their sets;
+    sets(batches): rows whose last column is a text, with its distinct items, as bytes, in place of it.
     """
     dealt = stored(undecided(members, roots), "blocks")
     if dealt.isEmpty():
         return roots
-    items = stored(sets(stored(dealt.select("id").distinct(), "ids")), "sets")
-    rows = dealt.join(items, "id").select("part", "side", "label", "items").repartition("part").sortWithinPartitions("part", "side")
-    more = components(rows.mapInArrow(lambda it: compare(it, percent), "a bigint, b bigint")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    rows = dealt.join(texts, "id").select("part", "side", "label", "text").repartition("part").sortWithinPartitions("part", "side")
+    more = components(rows.mapInArrow(lambda it: compare(sets(it), percent), "a bigint, b bigint")).select(F.col("node").alias("old"), F.col("root").alias("new"))
     more = stored(more, "more")
     known = roots.join(more, roots["root"] == more["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
     return known.unionByName(more.select(F.col("old").alias("node"), F.col("new").alias("root")))

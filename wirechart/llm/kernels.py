@@ -229,6 +229,14 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
+def pieces(values: np.ndarray, cuts: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
+    """The stretches of values between cuts as an Arrow column of bytes; null where ``some`` is false."""
+    values = np.ascontiguousarray(values)
+    width = values.nbytes // max(1, len(values))
+    known = None if some is None else pa.array(some).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [known, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
