@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wirechart.llm import language, queries
+from wirechart.llm import kernels, language, queries, shared
 
 
 def words(text):
@@ -149,3 +149,42 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     trains = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     out = [r for r in language.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), trains).collect() if r.held_out]
     assert len(out) > 30 and sum(r.score for r in out) > 0.5 * sum(r.base_score for r in out)
+
+
+def test_dealt_n_grams_take_little_disk(spark, monkeypatch, tmp_path):
+    """A chunk asks for each n-gram once: before, all n-grams of all texts were stored, over three times the texts."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60))) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, write = [], shared.stored
+
+    def stored(*args):
+        out = write(*args)
+        seen.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(language, "stored", stored)
+    monkeypatch.setattr(shared, "folder", lambda session: f"file://{tmp_path}")
+    trains = F.col("doc_id") % 7 != 2
+    wide = sorted(tuple(r) for r in language.scored(frame, trains).collect())
+    seen.clear()
+    monkeypatch.setattr(language, "BOUND", 0)
+    assert sorted(tuple(r) for r in language.scored(frame, trains).collect()) == wide
+    assert len(seen) > 3 and max(seen) < 2 * sum(len(text) for _, text in rows)
+
+
+def test_small_chunks_and_copies_of_rows(spark, rows, exact, monkeypatch):
+    """Many chunks, runs of blocks and rows of keys; a chunk that equal rows have swollen is compacted on the way."""
+    for name, value in (("BOUND", 0), ("CHUNK", 2000), ("RUN", 2), ("PIECE", 16), ("HELD", 500)):
+        monkeypatch.setattr(language, name, value)
+    rows = rows + [(None, "w1 w2 w3 w1")] * 700
+    trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    same(language.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), trains, order=3).collect(), expected(rows, 3))
+
+
+def test_packed_keys_come_back():
+    key = kernels.distinct(np.random.default_rng(3).integers(0, (1 << 64) - 1, 5000, dtype=np.uint64))
+    cuts = np.array([0, 1, 2, 1700, 5000])
+    steps, lower = language.packed(key, cuts)
+    back, n = language.unpacked(steps.slice(1, 2), lower.slice(1, 2))
+    assert n.tolist() == [1, 1698] and (back == key[1:1700]).all()

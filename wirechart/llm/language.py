@@ -9,8 +9,9 @@ Probabilities are smoothed towards the shorter history: p(w|h) = (c(hw) + s p(w|
 counts from the filter alone; a longer n-gram's count is held to those of its parts. The base score takes exact counts: those of
 frequent words from a broadcast table of at most ``TIER`` rows, others from a join on what the filter doesn't rule out.
 
-A filter of at most ``BOUND`` bytes is broadcast. A larger one stays a table: the n-grams of each text are dealt to its blocks and the levels
-go back, which gives the same scores. Both grow in proportion to the texts.
+A filter of at most ``BOUND`` bytes is broadcast. A larger one stays a table: texts meet in chunks of about ``CHUNK`` bytes, chosen by a hash of
+their rows, and each chunk asks once for each of its distinct n-grams. Their keys go, in order and packed, to the runs of blocks that have them, a
+byte a level goes back to the chunk, and the same texts are scored with those, which gives the same scores. Both grow in proportion to the texts.
 
 Null and empty texts have one token, the end; texts are read whole. Rows with null or repeated ids are rows like all others, as
 are repeated rows; without training rows every probability is 1. An empty table gives no rows; other columns play no part.
@@ -18,15 +19,16 @@ are repeated rows; without training rows every probability is 1. An empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirechart.llm import kernels as K
-from wirechart.llm.shared import TEXTS, stored
+from wirechart.llm.shared import TEXTS, mark, release, stored, swept
 
 #: Length of the longest n-gram; growth of a count by a level; weight of the shorter history.
 ORDER, GROWTH, STRENGTH = 2, 1.5, 20.0
@@ -34,8 +36,10 @@ ORDER, GROWTH, STRENGTH = 2, 1.5, 20.0
 BITS, PROBES, BLOCK = 10, 4, 1 << 16
 #: Most bytes of a broadcast filter, most words in the exact table.
 BOUND, TIER = 128 << 20, 1 << 18
-#: n-grams that a task counts before it sends them; bytes of text for each range that counts are merged by; copies of a block.
-HELD, RANGE, COPIES = 1 << 23, 4 << 20, 16
+#: n-grams that a task counts before it sends them; bytes of text for each range that counts are merged by.
+HELD, RANGE = 1 << 23, 4 << 20
+#: Where the filter is a table: bytes of text that ask together, blocks of the filter that answer together, most keys in a row and rows of keys that go to a task at once.
+CHUNK, RUN, PIECE, ROWS = 16 << 20, 256, 1 << 13, 128
 _RULE = K.table("graph")
 _BEGIN, _END = (K.mix(np.array([x], np.uint64))[0] for x in (1, 2))
 _STEP = 0xD6E8FEB86659FD93
@@ -208,21 +212,24 @@ class Model:
     def __init__(self, texts: DataFrame, order: int = ORDER, strength: float = STRENGTH):
         spark = texts.sparkSession
         self.order, self.strength = order, strength
+        since = mark()
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
         ranges = max(1, -(-size // RANGE))
         counted = texts.select("text").mapInArrow(lambda it: _counted(it, order), "h bigint, n bigint")
         own = F.shiftright(F.shiftrightunsigned("h", 32) * ranges, 32)  # as block_of: a range holds whole blocks or is in one
         counted = counted.select(own.alias("range"), "h", "n").repartition("range").sortWithinPartitions("range")
-        self.counts = stored(counted.mapInArrow(_merged, "h bigint, n bigint"), "counts", TEXTS * 64)
+        counts = stored(counted.mapInArrow(_merged, "h bigint, n bigint"), "counts", TEXTS * 64)
+        del counted
+        swept(spark)
         word = F.col("h").bitwiseAND(F.lit(1)) == 1
         begin = F.col("h") == int((_BEGIN | np.uint64(1)).astype(np.int64))
         rung = (1 + F.floor(F.ln("n") / float(np.log(GROWTH)) + 1e-9)).cast("bigint")
-        row = self.counts.agg(F.sum(F.when(word & ~begin, F.col("n"))).alias("n"), F.count_if(word & ~begin).alias("v"), F.sum(rung).alias("levels")).first()
+        row = counts.agg(F.sum(F.when(word & ~begin, F.col("n"))).alias("n"), F.count_if(word & ~begin).alias("v"), F.sum(rung).alias("levels")).first()
         self.tokens, self.words = row.n or 0, row.v
-        self.exact = self.counts.where(word & ~begin)
+        self.exact = stored(counts.where(word & ~begin), "words")
         self.blocks = max(1, -(-(row.levels or 0) * BITS // BLOCK))
         blocks = self.blocks
-        bits = self.counts.mapInArrow(lambda it: _bits(it, blocks), "block bigint, bits binary")
+        bits = counts.mapInArrow(lambda it: _bits(it, blocks), "block bigint, bits binary")
         self.table = self.filter = None
         if self.blocks * BLOCK // 8 <= BOUND:
             whole = np.zeros((self.blocks, BLOCK // 8), np.uint8)
@@ -231,6 +238,8 @@ class Model:
             self.filter = spark.sparkContext.broadcast(whole.ravel())
         else:
             self.table = stored(bits, "filter")
+        release(since, 1 if self.table is None else 2)
+        self.since = since + 1  #: tables from here on are read until the texts are scored
         # the exact table: words from the least power of two on that leaves at most TIER of them
         by = {r.k: r.n for r in self.exact.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("n")).collect()}
         least, have = max(by, default=0) + 1, 0
@@ -253,113 +262,194 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
+def _lines(runs: Iterator[tuple[int, np.ndarray, np.ndarray]], order: int, strength: float, total: int, look: Callable[[np.ndarray], np.ndarray], tier) -> Iterator[pa.RecordBatch]:
+    """For runs of texts as from ``sequences``, per text: n_tokens, score, sums of the base score and words that are left to a join, with their numbers.
+
+    look: the levels of keys.
+    """
+    frequent, often = tier.value
+    for _, sequence, edges in runs:
+        n, size = len(edges) - 1, len(sequence)
+        doc = np.repeat(np.arange(n), np.diff(edges))
+        every = keys(sequence, edges, order)
+        word, back = np.unique(every[0][1], return_inverse=True)
+        at = np.minimum(np.searchsorted(frequent, word), max(len(frequent) - 1, 0))
+        common = frequent[at] == word if len(frequent) else np.zeros(len(word), bool)
+        exact = np.zeros(len(word), np.int64)
+        exact[common] = often[at[common]]
+        found = look(word)
+        rest = ~common & (found > 0) & (word != (_BEGIN | np.uint64(1)))  # the filter never understates, so words that it lacks are unknown for sure
+        levels = [(every[0][0], found[back]), *((places, look(key)) for places, key in every[1:])]
+        p = probabilities(levels, size, total, strength)
+        p[edges[:-1]] = 0
+        value = np.log10(exact + 1)[back]
+        value[edges[:-1]] = 0
+        known = (exact > 0)[back].astype(np.int64)
+        known[edges[:-1]] = 0
+        open_ = np.flatnonzero(rest[back])
+        pair, times = np.unique(doc[open_] * len(word) + back[open_], return_counts=True)
+        owner = pair // max(len(word), 1)
+        words = _lists(word[pair % max(len(word), 1)].view(np.int64), owner, n)
+        counts = _lists(times.astype(np.int64), owner, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.diff(edges) - 1), *(pa.array(np.add.reduceat(x, edges[:-1])) for x in (p, value, known)), words, counts], names=_COLUMNS)
+
+
+_COLUMNS = ["n_tokens", "score", "value", "known", "words", "counts"]
+
+
 @K.frugal
 def _scored(batches: Iterator[pa.RecordBatch], order: int, strength: float, total: int, blocks: int, filter_, tier) -> Iterator[pa.RecordBatch]:
-    """Per row (key, text): n_tokens, score, sums of the base score and words that are left to a join, with their numbers.
+    """Rows (key, text) with the columns of ``_lines``."""
+    for batch in batches:
+        row = 0
+        for own in _lines(sequences(batch.column(1)), order, strength, total, lambda key: looked_up(key, filter_.value, blocks), tier):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(own)), *own.columns], names=["key", *_COLUMNS])
+            row += len(own)
+
+
+def _stretches(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of rows next to each other that are equal in all columns."""
+    if len(columns[0]):
+        new = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(columns[0])]
+        yield from zip(cuts, cuts[1:])
+
 
-    Without a filter the score is null, all words outside of the tier are left, and ``asked`` holds the keys to deal out.
+def _bytes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What the cells of an Arrow column of bytes hold, one after the other, and the number of items of each."""
+    column, width = column.cast(pa.binary()), np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // width
+
+
+def packed(key: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Keys in order as bytes, a cell for each stretch between cuts: steps of the upper 16 bits, nearly all 0, and the lower 48 bits."""
+    upper = (key >> np.uint64(48)).astype(np.uint16)
+    steps = np.diff(upper, prepend=np.uint16(0))
+    steps[cuts[:-1]] = upper[cuts[:-1]]
+    return K.pieces(steps, cuts), K.pieces(key.view(np.uint16).reshape(-1, 4)[:, :3], cuts)
+
+
+def unpacked(steps: pa.Array, lower: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of cells made by ``packed`` and the number in each; no cell is empty."""
+    step, n = _bytes(steps, np.uint16)
+    out = np.empty((len(step), 4), np.uint16)
+    out[:, :3] = _bytes(lower, np.uint16)[0].reshape(-1, 3)
+    upper, first = np.cumsum(step, dtype=np.int64), np.cumsum(n) - n
+    out[:, 3] = upper - np.repeat(upper[first] - step[first], n)
+    return out.view(np.uint64).ravel(), n
+
+
+@K.frugal
+def _asked(batches: Iterator[pa.RecordBatch], order: int, blocks: int, run: int, piece: int, most: int) -> Iterator[pa.RecordBatch]:
+    """From rows (chunk, text) in order of chunks, the distinct keys of each chunk as rows (part, chunk, at, steps, lower): at is the place of a row's first key.
+
+    run: blocks of a part; piece: most keys of a row; most: keys that are held before they are compacted.
     """
-    frequent, often = tier.value
-    bits = filter_.value if filter_ else None
+    held: list[np.ndarray] = []
+    last, n = None, 0
+
+    def flush():
+        key = K.distinct(np.concatenate(held))
+        part = (block_of(key, blocks) // np.uint64(run)).astype(np.int64)
+        every = np.unique(np.concatenate([np.flatnonzero(part[1:] != part[:-1]) + 1, np.arange(0, len(key), piece), [len(key)]]))
+        for i in range(0, len(every) - 1, ROWS):
+            cuts = every[i : i + ROWS + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, last)), pa.array(cuts[:-1]), *packed(key[cuts[0] : cuts[-1]], cuts - cuts[0])], names=["part", "chunk", "at", "steps", "lower"])
+
     for batch in batches:
-        for row, sequence, edges in sequences(batch.column(1)):
-            n, size = len(edges) - 1, len(sequence)
-            doc = np.repeat(np.arange(n), np.diff(edges))
-            every = keys(sequence, edges, order)
-            word, back = np.unique(every[0][1], return_inverse=True)
-            at = np.minimum(np.searchsorted(frequent, word), max(len(frequent) - 1, 0))
-            common = frequent[at] == word if len(frequent) else np.zeros(len(word), bool)
-            exact = np.zeros(len(word), np.int64)
-            exact[common] = often[at[common]]
-            rest = ~common
-            score, asked = pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.int64()))
-            if bits is not None:
-                found = looked_up(word, bits, blocks)
-                rest &= found > 0  # the filter never understates, so these words are unknown for sure
-                levels = [(every[0][0], found[back]), *((places, looked_up(key, bits, blocks)) for places, key in every[1:])]
-                p = probabilities(levels, size, total, strength)
-                p[edges[:-1]] = 0
-                score = pa.array(np.add.reduceat(p, edges[:-1]))
-            else:
-                place = np.concatenate([x for x, _ in every])
-                by = np.argsort(doc[place], kind="stable")  # per text: single words in order, then pairs ..
-                asked = _lists(np.concatenate([x for _, x in every])[by].view(np.int64), doc[place][by], n)
-            rest &= word != (_BEGIN | np.uint64(1))
-            value = np.log10(exact + 1)[back]
-            value[edges[:-1]] = 0
-            known = (exact > 0)[back].astype(np.int64)
-            known[edges[:-1]] = 0
-            open_ = np.flatnonzero(rest[back])
-            pair, times = np.unique(doc[open_] * len(word) + back[open_], return_counts=True)
-            owner = pair // max(len(word), 1)
-            words = _lists(word[pair % max(len(word), 1)].view(np.int64), owner, n)
-            counts = _lists(times.astype(np.int64), owner, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(edges) - 1), score, pa.array(np.add.reduceat(value, edges[:-1])), pa.array(np.add.reduceat(known, edges[:-1])), words, counts, asked], names=["key", "n_tokens", "score", "value", "known", "words", "counts", "asked"])
+        chunk = batch.column(0).to_numpy()
+        for i, j in _stretches(chunk):
+            if held and chunk[i] != last:
+                yield from flush()
+                held, n = [], 0
+            last = chunk[i]
+            for _, sequence, edges in sequences(batch.column(1).slice(i, j - i)):
+                own = [key for _, key in keys(sequence, edges, order)]
+                held += own
+                n += sum(map(len, own))
+            if n >= most:  # many equal rows in one chunk
+                held, n = [K.distinct(np.concatenate(held))], 0
+    if held:
+        yield from flush()
 
 
 @K.frugal
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (block, copy, kind, bits, id, place, h) in order, a block's bits before its keys: (id, place, level)."""
+def _answered(batches: Iterator[pa.RecordBatch], blocks: int, run: int) -> Iterator[pa.RecordBatch]:
+    """From rows (part, kind, block, bits, chunk, at, steps, lower) in order, the bits of a part before its keys: (chunk, at, levels)."""
     now, bits = None, None
     for batch in batches:
-        block, copy, kind = (batch.column(i).to_numpy() for i in range(3))
-        cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (copy[1:] != copy[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(block)]
-        for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            if now != (block[i], copy[i]):
-                now, bits = (block[i], copy[i]), np.zeros(BLOCK // 8, np.uint8)
+        part, kind = (batch.column(i).to_numpy() for i in range(2))
+        for i, j in _stretches(part, kind):
+            if now != part[i]:
+                now, bits = part[i], np.zeros((run, BLOCK // 8), np.uint8)
+            own = batch.slice(i, j - i)
             if kind[i] == 0:
-                for own in batch.column(3).slice(i, j - i).to_pylist():
-                    bits |= np.frombuffer(own, np.uint8)
+                for block, more in zip(own.column(2).to_pylist(), own.column(3).to_pylist()):
+                    bits[block - now * run] |= np.frombuffer(more, np.uint8)
                 continue
-            key = K.unsigned(batch.column(6).slice(i, j - i))
-            found = looked_up(key, bits, 1, np.zeros(len(key), np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(4).slice(i, j - i), batch.column(5).slice(i, j - i), pa.array(found)], names=["id", "place", "level"])
+            key, n = unpacked(own.column(6), own.column(7))
+            found = looked_up(key, bits.ravel(), blocks, block_of(key, blocks) - np.uint64(now * run))
+            yield pa.RecordBatch.from_arrays([own.column(4), own.column(5), K.pieces(found.astype(np.uint8), np.append(0, np.cumsum(n)))], names=["chunk", "at", "levels"])
 
 
 @K.frugal
-def _gathered(batches: Iterator[pa.RecordBatch], order: int, strength: float, total: int) -> Iterator[pa.RecordBatch]:
-    """The score of each text from its levels (id, size, place, level) in order of ids and places."""
-    held: list[np.ndarray] = []
-    last, size = None, 0
+def _gathered(batches: Iterator[pa.RecordBatch], order: int, strength: float, total: int, tier) -> Iterator[pa.RecordBatch]:
+    """From rows (chunk, kind, at, levels, key, text) in order of chunks, (key, text) with the columns of ``_lines``.
+
+    Equal texts of a batch are held once, so a chunk that many copies of one row have swollen stays small.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[pa.Array, pa.Array, list]] = []
+    last = None
 
     def flush():
-        found, at, levels = np.concatenate(held), 0, []
-        for n in range(order):
-            places = np.arange(n, size)
-            levels.append((places, found[at : at + len(places)]))
-            at += len(places)
-        p = probabilities(levels, size, total, strength)
-        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([float(p[1:].sum())])], names=["id", "own"])
+        every = K.distinct(np.concatenate([key for _, _, runs in held for _, sequence, edges in runs for _, key in keys(sequence, edges, order)]))
+        levels = np.zeros(len(every), np.uint8)
+        for at, own in found:
+            levels[at : at + len(own)] = own
+        for key, which, runs in held:
+            own = pa.Table.from_batches(_lines(iter(runs), order, strength, total, lambda x: levels[np.searchsorted(every, x)].astype(np.int64), tier)).take(which).combine_chunks()
+            yield pa.RecordBatch.from_arrays([key, *(x.chunk(0) for x in own.columns)], names=["key", *_COLUMNS])
 
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            if held and ids[i] != last:
-                yield flush()
-                held = []
-            last, size = int(ids[i]), batch.column(1)[i].as_py()
-            held.append(batch.column(3).to_numpy()[i:j])
+        chunk, kind = (batch.column(i).to_numpy() for i in range(2))
+        for i, j in _stretches(chunk, kind):
+            if chunk[i] != last:
+                if held:
+                    yield from flush()
+                found, held, last = [], [], chunk[i]
+            own = batch.slice(i, j - i)
+            if kind[i] == 0:
+                levels, n = _bytes(own.column(3), np.uint8)
+                found += zip(own.column(2).to_pylist(), np.split(levels.copy(), np.cumsum(n)[:-1]))
+            else:
+                texts = pc.fill_null(own.column(5), "").dictionary_encode()
+                held.append((own.column(4), texts.indices, list(sequences(texts.dictionary))))
     if held:
-        yield flush()
+        yield from flush()
 
 
-def _dealt(rows: DataFrame, model: Model) -> DataFrame:
-    """(id, own): scores of rows whose ``asked`` keys are dealt to the blocks of a filter that is a table."""
-    order, strength, total, blocks = model.order, model.strength, model.total, model.blocks
-    copy = F.pmod("id", F.lit(COPIES)).cast("int")  # a frequent n-gram's keys go to several copies of its block
-    block = F.shiftright(F.shiftrightunsigned("h", 32) * blocks, 32)
-    asked = rows.select("id", F.posexplode("asked").alias("place", "h")).select(block.alias("block"), copy.alias("copy"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("bits"), "id", "place", "h")
-    none = F.lit(None).cast("bigint")
-    bits = model.table.select("block", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"), F.lit(0).alias("kind"), "bits", none.alias("id"), none.cast("int").alias("place"), none.alias("h"))
-    both = bits.unionByName(asked).repartition("block", "copy").sortWithinPartitions("block", "copy", "kind")
-    found = both.mapInArrow(_answered, "id bigint, place int, level bigint")
-    found = found.join(rows.select("id", (F.col("n_tokens") + 1).alias("size")), "id").select("id", "size", "place", "level")
-    return found.repartition("id").sortWithinPartitions("id", "place").mapInArrow(lambda it: _gathered(it, order, strength, total), "id bigint, own double")
+def _dealt(rows: DataFrame, model: Model, form: str) -> DataFrame:
+    """Rows (key, text) with the columns of ``_lines``, by chunks that ask the blocks of a filter that is a table."""
+    spark = rows.sparkSession
+    order, strength, total, blocks, tier = model.order, model.strength, model.total, model.blocks, model.tier
+    run, piece, most = RUN, PIECE, HELD
+    chunks = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // CHUNK))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks).cast("bigint")))
+    own = rows.select("chunk", "text").repartition("chunk").sortWithinPartitions("chunk")
+    asked = own.mapInArrow(lambda it: _asked(it, order, blocks, run, piece, most), "part bigint, chunk bigint, at bigint, steps binary, lower binary")
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asked = asked.select("part", F.lit(1).alias("kind"), null("bigint", "block"), null("binary", "bits"), "chunk", "at", "steps", "lower")
+    bits = model.table.select(F.floor(F.col("block") / run).cast("bigint").alias("part"), F.lit(0).alias("kind"), "block", "bits", null("bigint", "chunk"), null("bigint", "at"), null("binary", "steps"), null("binary", "lower"))
+    both = bits.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    levels = stored(both.mapInArrow(lambda it: _answered(it, blocks, run), "chunk bigint, at bigint, levels binary"), "levels", ROWS)
+    del own, asked, both
+    swept(spark)
+    levels = levels.select("chunk", F.lit(0).alias("kind"), "at", "levels", null(rows.schema["key"].dataType, "key"), null("string", "text"))
+    texts = rows.select("chunk", F.lit(1).alias("kind"), null("bigint", "at"), null("binary", "levels"), "key", "text")
+    both = levels.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return both.mapInArrow(lambda it: _gathered(it, order, strength, total, tier), form)
 
 
 def scored(documents: DataFrame, trains: Column, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
@@ -368,15 +458,15 @@ def scored(documents: DataFrame, trains: Column, order: int = ORDER, strength: f
     model = Model(documents.where(trains).select("text"), order, strength)
     total, blocks, filter_, tier = model.total, model.blocks, model.filter, model.tier
     rows = documents.select(F.struct("doc_id", (~trains).alias("held_out")).alias("key"), "text")
-    form = f"key struct<doc_id: {kind}, held_out: boolean>, n_tokens bigint, score double, value double, known bigint, words array<bigint>, counts array<bigint>, asked array<bigint>"
-    rows = rows.mapInArrow(lambda it: _scored(it, order, strength, total, blocks, filter_, tier), form)
+    form = f"key struct<doc_id: {kind}, held_out: boolean>, n_tokens bigint, score double, value double, known bigint, words array<bigint>, counts array<bigint>"
+    rows = _dealt(rows, model, form) if filter_ is None else rows.mapInArrow(lambda it: _scored(it, order, strength, total, blocks, filter_, tier), form)
     rows = stored(rows.withColumn("id", F.monotonically_increasing_id()), "scores", TEXTS)
+    release(model.since, 1)
+    swept(documents.sparkSession)
     left = rows.select("id", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("id", F.col("x.words").alias("h"), F.col("x.counts").alias("times"))
     rare = model.exact.where(F.col("n") < model.least)
     more = left.join(rare, "h").groupBy("id").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("v"), F.sum("times").alias("k"))
     out = rows.join(more, "id", "left")
-    if model.table is not None:
-        out = out.join(_dealt(rows, model), "id", "left").withColumn("score", F.col("own"))
     base = F.col("value") + F.coalesce("v", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total))
     known = (F.col("known") + F.coalesce("k", F.lit(0))).cast("bigint")
     return out.select("key.doc_id", "key.held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
