@@ -139,3 +139,50 @@ def test_one_long_conversation_in_stretches_and_its_turns(spark, monkeypatch):
     turns = fixed.turns().orderBy("conv_id", "stretch", "place").collect()
     for conv, (_, audit, own) in want.items():
         assert [(r.role, r.text, r.letter) for r in turns if r.conv_id == conv] == list(repair.repaired("begun", audit, iter(own)))
+
+
+def after(state, rows):
+    """Per symbol the least (cost, audit) from a symbol over all rows, the last letter a row's: every audit with up to two insertions before a row."""
+    best: dict = {}
+    for letters in itertools.product("DKR", repeat=len(rows)):
+        for inserted in itertools.product(range(3), repeat=len(rows)):
+            at, cost, audit = state, 0, ""
+            for (initial, fault), letter, n in zip(rows, letters, inserted):
+                for _ in range(n):
+                    at, cost = "answered" if at == "asked" else "asked", cost + 5
+                audit += "I" * n + letter
+                if letter == "D":
+                    cost += 2
+                    continue
+                word = "a" if at == "asked" else "u"
+                if letter == "K" and initial == "s" and at == "begun":
+                    at = "opened"
+                elif letter == "R" or initial == word:
+                    at = "answered" if at == "asked" else "asked"
+                else:
+                    break
+                if fault in ("b", "d"):
+                    break
+                cost += (letter == "R") + 5 * (fault == "t")
+            else:
+                best[at] = min(best.get(at, (cost, audit)), (cost, audit))
+    return best
+
+
+@pytest.mark.parametrize("state", repair.STATES)
+def test_ends_from_every_symbol_against_all_edit_sequences(state):
+    rng = random.Random(state)
+    for n in (1, 2, 3, 4) * 8:
+        rows = [(rng.choice(["s", "u", "a", "", "*", "é"]), rng.choice(["", "", "t", "b", "d"])) for _ in range(n)]
+        chart = repair.Chart(state)
+        for row in rows:
+            chart.scan(*row)
+        assert chart.ends == after(state, rows), rows
+
+
+def test_what_a_row_completes_is_found_once_for_each_kind_of_row():
+    repair._completed.cache_clear()
+    rng = random.Random(1)
+    for _ in range(20):
+        parse([(rng.choice("suax"), rng.choice(["", "t", "b", "d"])) for _ in range(100)])
+    assert repair._completed.cache_info().misses == 16

op11_repair: a row of the Earley chart carries on only the items that differ between columns

Symptom: the repair of 0.05 GB of conversations spends 280 Python CPU seconds a GB, most of them in the one stage that makes the charts.
Evidence: that stage takes 10 of the run's 16 s; in each column the chart predicts, scans and completes the same items for the roles again (121 us a row in a loop over 15,000 rows), although they depend on the row's kind only.
Fix: what a row completes of the predicted items is found once for each kind of row (role initial, fault), insertions come from the grammar, and only items begun before the first row go from column to column (13 us a row in the same loop); values compared and kept are the same, least cost and then least audit.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 322 -> 306 s, shuffle 0.17 -> 0.17 GB, spill 0.00 -> 0.00 GB, read 0.33 -> 0.21 GB, longest task 22 -> 6 s, most memory of a task 107 -> 107 MB; at 6 GB of input CPU 946 -> 566 s, shuffle 1.73 -> 1.74 GB, spill 0.00 -> 0.00 GB, read 3.32 -> 2.12 GB, longest task 39 -> 8 s, most memory of a task 203 -> 203 MB; with hot keys, at 0.6 GB of input CPU 339 -> 229 s, shuffle 0.12 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.15 GB, longest task 17 -> 4 s, most memory of a task 104 -> 104 MB.

@@ -22,6 +22,7 @@ has no conversations; other columns play no part.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -57,79 +58,66 @@ PRODUCTIONS = (
 )
 #: What a truncated row costs unless it is deleted.
 TRUNCATED = 5
-_RULES: dict[str, list[int]] = {}
-for _i, _p in enumerate(PRODUCTIONS):
-    _RULES.setdefault(_p[0], []).append(_i)
+#: Items whose first symbol spans all rows so far, by that symbol: (left side, awaited symbol, cost, letter).
+_ITEMS = {x: [(left, right[1], cost, letter) for left, right, cost, letter in PRODUCTIONS if len(right) == 2 and right[0] == x] for x in STATES}
+#: The same where the awaited symbol may be an empty row: (left side, cost, letters).
+_EMPTY = {left: (cost, letter) for left, right, cost, letter in PRODUCTIONS if not right}
+_INSERTS = {x: [(left, cost + _EMPTY[awaited][0], _EMPTY[awaited][1] + letter) for left, awaited, cost, letter in items if awaited in _EMPTY] for x, items in _ITEMS.items()}
+_WHOLE = [(right[0], cost, letter) for left, right, cost, letter in PRODUCTIONS if left == "conversation"]
+
+
+@functools.lru_cache(1024)
+def _completed(initial: str, fault: str) -> dict[str, tuple[int, str]]:
+    """The least (cost, letter) of each symbol that one row completes; faults: b(lank) and d(uplicate) rows must go, t(runcated) ones cost more if they stay."""
+    out = {ANY: (0, "")}
+    for left, right, cost, letter in PRODUCTIONS:
+        if len(right) == 1 and right[0] in (initial, ANY) and fault not in ("b", "d"):
+            value = (cost + TRUNCATED * (fault == "t"), letter)
+            out[left] = min(value, out.get(left, value))
+    return out
 
 
 class Chart:
-    """Earley's chart over rows (initial of the role, fault); an item is (production, dot, column of origin)."""
+    """Earley's chart over rows (initial of the role, fault).
+
+    Every column predicts the same symbols, so the items begun in it are the same too: what a row completes of them is found
+    once for each kind of row. Only the items begun before the first row differ; their values are those of the symbols in
+    ``spans``, which span all rows so far.
+    """
 
     def __init__(self, seed: str = "begun"):
-        self.at, self.values, self.waiting = 0, {}, {}
-        self._close([((i, 0, 0), (0, "")) for i in _RULES["conversation"]], seed)
-
-    def _close(self, items: list, seed: str | None = None) -> None:
-        """Predict and complete in a new column until no item gets a lesser value."""
-        i = self.at
-        best, waiting = self.values.setdefault(i, {}), self.waiting.setdefault(i, {})
-        self.done: dict = {}
         self.ends: dict = {}  # symbols that span all rows so far, by a last edit that used up a row
-        agenda: list = []
-
-        def add(item, value):
-            if item not in best or value < best[item]:
-                best[item] = value
-                agenda.append(item)
-
-        def complete(symbol, origin, value):
-            if value[1][-1:] not in ("", "I") and origin == 0 and symbol in STATES and value < self.ends.get(symbol, (value[0] + 1,)):
-                self.ends[symbol] = value
-            if (symbol, origin) in self.done and self.done[symbol, origin] <= value:
-                return
-            self.done[symbol, origin] = value
-            for p, dot, begun in self.waiting[origin].get(symbol, ()):
-                before = self.values[origin][p, dot, begun]
-                add((p, dot + 1, begun), (before[0] + value[0], before[1] + value[1]))
-
-        for item, value in items:
-            add(item, value)
-        while agenda or seed:
-            if not agenda:
-                complete(seed, 0, (0, ""))
-                seed = None
-                continue
-            p, dot, origin = item = agenda.pop()
-            left, right, cost, letter = PRODUCTIONS[p]
-            value = best[item]
-            if dot == len(right):
-                complete(left, origin, (value[0] + cost, value[1] + letter))
-                continue
-            symbol = right[dot]
-            waiting.setdefault(symbol, set()).add(item)
-            for q in _RULES.get(symbol, ()):
-                add((q, 0, i), (0, ""))
-            if have := self.done.get((symbol, i)):
-                add((p, dot + 1, origin), (value[0] + have[0], value[1] + have[1]))
+        self._close({seed: (0, "")})
+
+    def _close(self, values: dict) -> None:
+        """Complete by insertions in a new column until no symbol gets a lesser value."""
+        self.spans = dict(values)
+        agenda = list(values)
+        while agenda:
+            symbol = agenda.pop()
+            cost, audit = self.spans[symbol]
+            for left, more, letters in _INSERTS[symbol]:
+                value = (cost + more, audit + letters)
+                if left not in self.spans or value < self.spans[left]:
+                    self.spans[left] = value
+                    agenda.append(left)
 
     def scan(self, initial: str, fault: str) -> None:
-        """One more row; faults: b(lank) and d(uplicate) rows must go, t(runcated) ones cost more if they stay."""
-        items = []
-        for symbol in {initial, ANY}:
-            for item in self.waiting[self.at].get(symbol, ()) if symbol not in _RULES else ():
-                letter = PRODUCTIONS[item[0]][3]
-                if letter == "D" or fault not in ("b", "d"):
-                    cost, audit = self.values[self.at][item]
-                    items.append(((item[0], item[1] + 1, item[2]), (cost + TRUNCATED * (fault == "t" and letter != "D"), audit)))
-        self.at += 1
-        for kept in (self.values, self.waiting):
-            for column in [c for c in kept if 0 < c < self.at - 1]:
-                del kept[column]
-        self._close(items)
+        """One more row."""
+        row, ends = _completed(initial, fault), {}
+        for symbol, (cost, audit) in self.spans.items():
+            for left, awaited, more, letter in _ITEMS[symbol]:
+                if awaited in row:
+                    paid, edit = row[awaited]
+                    value = (cost + more + paid, audit + edit + letter)
+                    if left not in ends or value < ends[left]:
+                        ends[left] = value
+        self.ends = ends
+        self._close(ends)
 
     def result(self) -> tuple[int, str]:
         """(cost, audit) of the cheapest way to complete the conversation here."""
-        return self.done["conversation", 0]
+        return min((self.spans[x][0] + cost, self.spans[x][1] + letter) for x, cost, letter in _WHOLE if x in self.spans)
 
 
 #: What completing a conversation costs that ends with each symbol.
