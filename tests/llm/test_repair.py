@@ -186,3 +186,19 @@ def test_what_a_row_completes_is_found_once_for_each_kind_of_row():
     for _ in range(20):
         parse([(rng.choice("suax"), rng.choice(["", "t", "b", "d"])) for _ in range(100)])
     assert repair._completed.cache_info().misses == 16
+
+
+def test_charts_read_no_texts(spark):
+    said = [(c, t, "user", f"{t % 3}.") for c in (1, 2, None) for t in range(9)]
+    facts = repair.Repair(spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string"))._facts()
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "role#" not in plan
+    assert sorted((str(r.conv_id), r.fault) for r in facts.collect()) == sorted((c, f) for c in ("1", "2", "None") for f in [""] * 3 + ["d"] * 6)
+
+
+def test_faults_of_texts_by_how_they_end(spark):
+    ends = ["", " ", "\t", "\n", "\v", "\f", "\r", " \r\n\t", "\x1f", " ", " ", "é", "."]
+    texts = [a + b + c for a in ("", "x", "é", "a. b") for b in ("", ".", "!", "?", ",") for c in ends]
+    rows = repair.Repair(spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string"))._facts().collect()
+    solid = [x.strip(" \t\n\v\f\r") for x in texts]
+    assert {r.conv_id: r.fault for r in rows} == {i: "b" if not x else "" if x[-1] in ".!?" else "t" for i, x in enumerate(solid)}
